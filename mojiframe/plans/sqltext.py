@@ -134,3 +134,49 @@ def predictions_sql(variants_rel: str) -> str:
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def runs_sql() -> str:
+    """The run-config table in SQL, names built with printf."""
+    from mojiframe.sources.runs import RUNS, SHARED
+
+    vals = ", ".join(f"({no}, {q(m)}, {q(c)})" for no, m, c in RUNS)
+    lr, ep, bs, seed = SHARED["lr"], SHARED["epochs"], SHARED["batch_size"], SHARED["seed"]
+    name = (f"printf('%s_%s_roberta_lr%s_ep%d_bs%d_seed%d', fusion_mode, text_col, "
+            f"CASE WHEN {lr!r} < 1e-3 THEN printf('%.0e', {lr!r}) ELSE CAST({lr!r} AS VARCHAR) END, "
+            f"{ep}, {bs}, {seed})")
+    return (f"SELECT run_no, fusion_mode, text_col, {name} AS run FROM (VALUES {vals}) "
+            f"AS t(run_no, fusion_mode, text_col)")
+
+
+def corpus_variants_sql() -> str:
+    return variants_sql(corpus_sql())
+
+
+def predictions_named_sql(variants_rel: str | None = None) -> str:
+    """Predictions of the five runs over the corpus variants (needs lexm)."""
+    from mojiframe.sources.tables import N_RUNS, PRED_A, PRED_B
+
+    v = variants_rel or corpus_variants_sql()
+    p = f"(CAST(((v.id * {PRED_A} + r.run_no * {PRED_B}) % 1000) AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+    return (f"SELECT r.run, v.*, v.label AS y_true, {p} AS p, CAST({p} >= 0.5 AS INTEGER) AS y_pred "
+            f"FROM ({v}) v, ({runs_sql()}) r WHERE r.run_no BETWEEN 1 AND {N_RUNS}")
+
+
+def split_sql(rel: str, dev_size: float = 0.15, seed: int = 42) -> str:
+    """The stratified split in its window form (oracle for SP1)."""
+    return f"""
+    (WITH b AS (SELECT id, label, md5(concat_ws('-', '{seed}', CAST(id AS VARCHAR))) AS h FROM ({rel})),
+    c AS (SELECT label, count(*) AS n_c FROM b GROUP BY label),
+    t AS (SELECT sum(n_c) AS n FROM c),
+    q0 AS (SELECT c.label, c.n_c, t.n, CAST(t.n AS DOUBLE) - CAST(ceil({float(dev_size)!r} * t.n) AS DOUBLE) AS n_train
+           FROM c CROSS JOIN t),
+    q1 AS (SELECT *, CAST(n_c AS DOUBLE) / CAST(n AS DOUBLE) * n_train AS cont FROM q0),
+    q2 AS (SELECT *, floor(cont) AS base, cont - floor(cont) AS rem FROM q1),
+    q3 AS (SELECT *, n_train - sum(base) OVER () AS leftover,
+                  row_number() OVER (ORDER BY rem DESC, label) AS rk FROM q2),
+    q AS (SELECT label, CAST(n_c - (base + CASE WHEN rk <= leftover THEN 1 ELSE 0 END) AS BIGINT) AS dev_quota FROM q3)
+    SELECT b.id, b.label,
+           CASE WHEN row_number() OVER (PARTITION BY b.label ORDER BY b.h, b.id) <= q.dev_quota
+                THEN 'dev' ELSE 'train' END AS split
+    FROM b JOIN q ON b.label = q.label)"""

@@ -119,7 +119,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_name(run_no: Column) -> Column:
-    return F.format_string("run_%d", run_no)
+    from mojiframe.sources.runs import run_name_for
+
+    return run_name_for(run_no)
 
 
 def prediction_p(id_col: Column, run_no: Column) -> Column:
