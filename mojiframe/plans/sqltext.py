@@ -180,3 +180,41 @@ def split_sql(rel: str, dev_size: float = 0.15, seed: int = 42) -> str:
            CASE WHEN row_number() OVER (PARTITION BY b.label ORDER BY b.h, b.id) <= q.dev_quota
                 THEN 'dev' ELSE 'train' END AS split
     FROM b JOIN q ON b.label = q.label)"""
+
+
+CONFUSION_SQL = ("count(*) AS n, count_if(y_true = 0 AND y_pred = 0) AS tn, "
+                 "count_if(y_true = 0 AND y_pred = 1) AS fp, count_if(y_true = 1 AND y_pred = 0) AS fn, "
+                 "count_if(y_true = 1 AND y_pred = 1) AS tp")
+
+
+def _sdiv(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+def metrics_sql() -> str:
+    """G2-G6 from columns tn, fp, fn, tp (same arithmetic as the Spark side)."""
+    f0 = _sdiv("2 * tn", "2 * tn + fp + fn")
+    f1 = _sdiv("2 * tp", "2 * tp + fp + fn")
+    pres0 = "((tn + fp) + (tn + fn)) > 0"
+    pres1 = "((tp + fn) + (tp + fp)) > 0"
+    macro = (f"coalesce((CASE WHEN {pres0} THEN {f0} ELSE 0.0 END + CASE WHEN {pres1} THEN {f1} ELSE 0.0 END)"
+             f" / NULLIF(CAST(CAST({pres0} AS INTEGER) + CAST({pres1} AS INTEGER) AS DOUBLE), 0), 0.0)")
+    return ", ".join([
+        f"{_sdiv('tn + tp', 'tn + fp + fn + tp')} AS accuracy", f"{macro} AS macro_f1",
+        f"{_sdiv('tn', 'tn + fn')} AS p0", f"{_sdiv('tn', 'tn + fp')} AS r0", f"{f0} AS f0",
+        "CAST(tn + fp AS DOUBLE) AS s0",
+        f"{_sdiv('tp', 'tp + fp')} AS p1", f"{_sdiv('tp', 'tp + fn')} AS r1", f"{f1} AS f1",
+        "CAST(tp + fn AS DOUBLE) AS s1",
+    ])
+
+
+def preds_cte() -> str:
+    """CTEs ``lexm`` and ``preds`` (the five runs over the corpus)."""
+    return f"{lexicon_cte()}, preds AS ({predictions_named_sql()})"
+
+
+def by_slice_sql(rel: str = "preds") -> str:
+    return (f"SELECT run, slice, n, tn, fp, fn, tp, {metrics_sql()} FROM ("
+            f"SELECT run, CASE WHEN grouping(has_emoji) = 1 THEN 'all' WHEN has_emoji THEN 'emoji' "
+            f"ELSE 'no_emoji' END AS slice, {CONFUSION_SQL} FROM {rel} "
+            f"GROUP BY GROUPING SETS ((run), (run, has_emoji)))")
