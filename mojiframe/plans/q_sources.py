@@ -1 +1,57 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered source/sink and streaming queries (S1-S3, K1, S6/K3, streaming).
+
+Each writes derived data of the given tables to the shared checkpoint folder
+and reads it back, so the check covers the reader/writer options on whole
+texts (quotes, newlines, Unicode)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from mojiframe.plans import sqltext as S
+from mojiframe.plans.catalog import register
+from mojiframe.session import checkpoint_dir
+from mojiframe.sources import io as IO
+from mojiframe.sources import tables as T
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s01_csv_roundtrip", lambda: (
+    f"SELECT text AS tweet, label AS sarcastic, rephrase FROM ({S.corpus_sql()})"))
+def s01_csv_roundtrip(spark, sf):
+    """K1 + S1/S3: the corpus as a training CSV (with a stray index column,
+    multi-line quoted text) written and read back with the toolkit's reader."""
+    path = _scratch(spark, "train_csv")
+    c = T.corpus(spark, sf).select(F.col("id").alias("_c0"), F.col("text").alias("tweet"),
+                                   F.col("label").alias("sarcastic"), "rephrase")
+    IO.write_variants(c, path, fmt="csv")
+    return IO.read_labelled_csv(spark, path, IO.TRAIN_SCHEMA)
+
+
+@register("s06_predictions_roundtrip",
+          lambda: f"WITH {S.preds_cte()} SELECT run, id, y_true, y_pred, p FROM preds")
+def s06_predictions_roundtrip(spark, sf):
+    """K3 + S6: predictions written partitioned by run and read back."""
+    path = _scratch(spark, "predictions")
+    IO.write_predictions(T.predictions(spark, sf), path)
+    return IO.read_predictions(spark, path).select("run", "id", "y_true", "y_pred", "p")
+
+
+@register("st1_stream_variants", lambda: S.with_ctes(S.lexicon_cte(), body=(
+    "SELECT id, x_full, x_emoji, has_emoji, x_text, x_desc FROM (" +
+    S.variants_sql(f"({S.documents_emoji_sql()})") + ")")))
+def st1_stream_variants(spark, sf):
+    """Streaming: documents as a file stream -> variants -> parquet sink
+    (availableNow trigger), read back as a table."""
+    from mojiframe.streaming.variants_stream import document_stream, start_to_parquet, variants_stream
+
+    out, ck = _scratch(spark, "stream_out"), _scratch(spark, "stream_ckpt")
+    cores = spark.sparkContext.defaultParallelism
+    q = start_to_parquet(variants_stream(document_stream(spark, sf), spread_to=cores), out, ck)
+    q.awaitTermination()
+    return spark.read.parquet(out)
