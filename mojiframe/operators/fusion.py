@@ -56,17 +56,20 @@ def mix(g: Column, ht: Column, he: Column, dim: int, per_unit: bool = False) ->
     return F.transform(F.sequence(F.lit(1), F.lit(dim)), at)
 
 
-def scalar_gate(ht: Column, he: Column, w: list[float], b: float) -> Column:
-    """M9: ``sigmoid(w . [ht; he] + b)``."""
-    return sigmoid(dot(lit_array(w), F.concat(ht, he)) + F.lit(b))
+def scalar_gate(hh: Column, w: list[float], b: float) -> Column:
+    """M9: ``sigmoid(w . hh + b)`` with ``hh = [ht; he]``."""
+    return sigmoid(dot(lit_array(w), hh) + F.lit(b))
 
 
-def vector_gate(ht: Column, he: Column, W: list[list[float]], b: list[float],
+def vector_gate(hh: Column, W: list[list[float]], b: list[float],
                 emoji_present: Column | None = None) -> Column:
-    """One gate per hidden unit; with ``emoji_present`` = 0 the gate
-    is 1 (text only)."""
-    hh = F.concat(ht, he)
+    """One gate per hidden unit from ``hh = [ht; he]`` (pass a column
+    reference: every unit reads it); with ``emoji_present`` = 0 the gate is 1
+    (text only)."""
     g = F.transform(lit_matrix(W), lambda r, j: sigmoid(dot(r, hh) + F.element_at(lit_array(b), j + 1)))
+    # dimension guard (NULL on mismatch); the second reference to hh also
+    # keeps the optimizer from inlining its computation into every unit
+    g = F.when(F.size(hh) == len(W[0]), g)
     if emoji_present is not None:
         g = F.when(emoji_present == 0, F.array_repeat(F.lit(1.0), len(b))).otherwise(g)
     return g
@@ -107,32 +110,28 @@ def fuse(pairs: DataFrame, mode: str, dim: int, params: dict | None = None,
     if mode not in MODES:
         raise ValueError(f"Unknown fusion mode: {mode!r}")
     P = params or fusion_params(dim)
-    t, e = as_double_array(ht), as_double_array(he)
-    gate = F.lit(None).cast("double")
-    if mode == "text_only":
-        h = t
-    elif mode == "emoji_only":
-        h = e
-    elif mode == "concat":
-        h = F.concat(t, e)
+    # materialise the double vectors once: lambdas below read them per unit
+    pairs = pairs.select("*", as_double_array(ht).alias("__t"), as_double_array(he).alias("__e"))
+    pairs = pairs.select("*", F.concat("__t", "__e").alias("__hh"))
+    t, e, hh = F.col("__t"), F.col("__e"), F.col("__hh")
+    no_gate = F.lit(None).cast("double")
+    if mode in ("text_only", "emoji_only", "concat"):
+        h = {"text_only": t, "emoji_only": e, "concat": F.concat(t, e)}[mode]
+        base = pairs.select("*", no_gate.alias("gate"), h.alias("h"))
     elif mode == "gated":
-        gate = scalar_gate(t, e, P["gate_w"], P["gate_b"])
-        h = None
-    else:
-        g = vector_gate(t, e, P["vgate_W"], P["vgate_b"],
-                        F.col(present) if mode == "gated_vector_masked" else None)
-        gate = F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(dim))
-        h = None
-    base = pairs.select("*", gate.alias("gate"))
-    if mode == "gated":
+        # the gate is materialised once, then read by every unit of the mix
+        base = pairs.select("*", scalar_gate(hh, P["gate_w"], P["gate_b"]).alias("gate"))
         base = base.withColumn("h", mix(F.col("gate"), t, e, dim))
-    elif mode.startswith("gated_vector"):
-        base = base.withColumn("g", g).withColumn("h", mix(F.col("g"), t, e, dim, per_unit=True))
     else:
-        base = base.withColumn("h", h)
+        g = vector_gate(hh, P["vgate_W"], P["vgate_b"],
+                        F.col(present) if mode == "gated_vector_masked" else None)
+        base = pairs.select("*", g.alias("g"))
+        base = base.select("*", (F.aggregate("g", F.lit(0.0), lambda acc, x: acc + x)
+                                 / F.lit(float(dim))).alias("gate"),
+                           mix(F.col("g"), t, e, dim, per_unit=True).alias("h"))
     d = 2 * dim if mode == "concat" else dim
     W, b = P["head"][d]
-    out = base.withColumn("logits", head(F.col("h"), W, b))
+    out = base.withColumn("logits", head(F.col("h"), W, b)).drop("__t", "__e", "__hh")
     return out.select("*", softmax_p1(F.col("logits")).alias("p"), argmax(F.col("logits")).alias("y_pred"),
                       F.lit(mode).alias("mode"))
 

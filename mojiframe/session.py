@@ -16,6 +16,9 @@ from pyspark.sql import SparkSession
 LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # shuffle partitions are sized to the local cores already; keep AQE from
+    # merging small-by-bytes but compute-heavy partitions (text, vectors)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",

@@ -62,8 +62,9 @@ N_RUNS = 5
 # --- end of fixed values ----------------------------------------------------
 
 
-# Tables whose rows carry long text: worth spreading when the scan is narrow.
-TEXT_TABLES = {"documents", "conversations", "pages"}
+# Tables with heavy per-row work (long text, vectors): worth spreading when
+# the scan is narrow.
+TEXT_TABLES = {"documents", "conversations", "pages", "embeddings"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
