@@ -154,7 +154,11 @@ def non_emoji_run() -> str:
 def seq_pattern() -> str:
     """One emoji sequence, longest form first: flag pair, keycap, or an
     emoji with optional VS16/skin tone, chained by ZWJ."""
-    e = emoji_class()
+    return seq_pattern_with(emoji_class())
+
+
+def seq_pattern_with(e: str) -> str:
+    """``seq_pattern`` with ``e`` as the single-emoji pattern."""
     mod = "(?:\\x{FE0F}|[\\x{1F3FB}-\\x{1F3FF}])?"
     flag = "[\\x{1F1E6}-\\x{1F1FF}]{2}"
     keycap = "[0-9#*]\\x{FE0F}?\\x{20E3}"

@@ -33,6 +33,14 @@ FLAG_FULL = "^[\\x{1F1E6}-\\x{1F1FF}]{2}$"
 KEYCAP_FULL = "^[0-9#*]\\x{FE0F}?\\x{20E3}$"
 SEQ_PART = "([^\\x{200D}\\x{FE0F}])"
 WORD_TOKEN = "[\\p{L}\\p{N}_]{2,}"
+
+# Spark-side forms of the same patterns.  Java tests a character against a
+# class range by range; every emoji is >= U+00A9, so a one-range lookahead
+# rejects ASCII/Latin-1 text before the ~150-range class is tried.  The
+# matches are identical (the SQL oracle uses the plain forms above).
+_HI = "(?=[^\\x{0}-\\x{A8}])"
+EMOJI_FAST = _HI + EMOJI
+SEQ_FAST = L.seq_pattern_with(EMOJI_FAST)
 # runs of two or more whitespace characters (the char analyzer's collapse rule)
 WS_RUN = "[" + "".join("\\x{%X}" % ord(c) for c in L.STRIP_CHARS) + "]{2,}"
 
@@ -62,13 +70,14 @@ def as_text(col: Column | str, null_text: str = "nan") -> Column:
 # F1 -------------------------------------------------------------------------
 def is_emoji(col: Column | str) -> Column:
     """True when the value is exactly one emoji code point."""
-    return _c(col).rlike(f"^{EMOJI}$")
+    return _c(col).rlike(f"^{EMOJI_FAST}$")
 
 
 # F2 / F3 ----------------------------------------------------------------------
 def extract_emoji(col: Column | str) -> Column:
     """Emoji code points in order, duplicates kept, no separator; NULL -> ''."""
-    return F.regexp_replace(F.coalesce(_c(col), F.lit("")), _re(NON_EMOJI_RUN), F.lit(""))
+    found = F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), _re(f"({EMOJI_FAST})"), 1)
+    return F.array_join(found, "")
 
 
 def extract_emoji_only(col: Column | str) -> Column:
@@ -78,12 +87,12 @@ def extract_emoji_only(col: Column | str) -> Column:
 # F4 / F5 ----------------------------------------------------------------------
 def remove_emoji_sequences(col: Column | str) -> Column:
     """Remove whole emoji sequences (ZWJ chains, flags, keycaps, VS16, tones)."""
-    return F.regexp_replace(_c(col), _re(SEQ), F.lit(""))
+    return F.regexp_replace(_c(col), _re(SEQ_FAST), F.lit(""))
 
 
 def remove_emoji_code_points(col: Column | str) -> Column:
     """Remove single emoji code points, then strip (notebook variant)."""
-    return py_strip(F.regexp_replace(_c(col), _re(EMOJI), F.lit("")))
+    return py_strip(F.regexp_replace(_c(col), _re(EMOJI_FAST), F.lit("")))
 
 
 # F6 -------------------------------------------------------------------------
@@ -105,28 +114,29 @@ def emoji_name(piece: Column) -> Column:
 
 
 def has_emoji_sequence(col: Column | str) -> Column:
-    return _c(col).rlike(SEQ)
+    return _c(col).rlike(SEQ_FAST)
 
 
 def demojize(col: Column | str, delimiters: tuple[str, str] = (" ", " ")) -> Column:
     """Replace every emoji sequence by ``<d0>name<d1>``; other text unchanged.
 
-    Only texts that contain a sequence are split into pieces."""
+    The text is split at the sequences (n + 1 parts) and the sequences are
+    extracted (n), then interleaved; only the emoji are looked up.  Texts
+    without a sequence are returned as they are."""
     t = _c(col)
-    pieces = F.regexp_extract_all(t, _re(PIECES), 1)
-    named = F.transform(
-        pieces,
-        lambda p: F.when(p.rlike(SEQ_FULL),
-                         F.concat(F.lit(delimiters[0]), emoji_name(p), F.lit(delimiters[1])))
-        .otherwise(p),
-    )
-    return F.when(has_emoji_sequence(t), F.array_join(named, "")).otherwise(t)
+    parts = F.split(t, SEQ_FAST, -1)
+    seqs = F.regexp_extract_all(t, _re(f"({SEQ_FAST})"), 1)
+    # zip_with evaluates both arrays once per row (no re-split per emoji)
+    named = F.zip_with(F.slice(parts, 1, F.size(seqs)), seqs, lambda p, x: F.concat(
+        p, F.lit(delimiters[0]), emoji_name(x), F.lit(delimiters[1])))
+    joined = F.concat(F.array_join(named, ""), F.element_at(parts, -1))
+    return F.when(has_emoji_sequence(t), joined).otherwise(t)
 
 
 # F8-F12 ---------------------------------------------------------------------
 def has_emoji(col: Column | str) -> Column:
     """True when any single code point is an emoji (flags/keycaps alone: False)."""
-    return F.coalesce(_c(col).rlike(EMOJI), F.lit(False))
+    return F.coalesce(_c(col).rlike(EMOJI_FAST), F.lit(False))
 
 
 def has_emoji_from_stream(col: Column | str) -> Column:

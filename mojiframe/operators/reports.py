@@ -93,7 +93,7 @@ def emoji_frequency(df: DataFrame, text: str = "text", sequences: bool = False)
     """Emoji (code points, or whole sequences) -> occurrences and
     number of texts containing it.  Partial aggregation before the shuffle;
     rows carry only the emoji found, never the text."""
-    pat = "(" + (TX.SEQ if sequences else TX.EMOJI) + ")"
+    pat = "(" + (TX.SEQ_FAST if sequences else TX.EMOJI_FAST) + ")"
     found = df.select("id", F.regexp_extract_all(F.col(text), F.lit(pat), 1).alias("found"))
     e = found.select("id", F.explode_outer("found").alias("emoji")).where(F.col("emoji").isNotNull())
     return e.groupBy("emoji").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_texts"))

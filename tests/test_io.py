@@ -54,3 +54,30 @@ def test_manifest_and_missing_json(spark):
     assert s == {(0, "train"), (2, "train"), (1, "dev")}
     empty = IO.read_json_table(spark, d + "/nope", IO.PREDICTION_SCHEMA)
     assert empty.count() == 0
+
+
+def test_train_dev_load_and_sinks(spark):
+    from mojiframe.operators.splits import stratified_split
+    from mojiframe.sources import runs as RN
+
+    d = tempfile.mkdtemp(prefix="mf-s5-")
+    with open(os.path.join(d, "train.csv"), "w", encoding="utf-8") as f:
+        f.write(",tweet,sarcastic,rephrase\n" + "".join(
+            f'{i},"text {i} \U0001F644",{int(i % 4 == 0)},\n' for i in range(40)))
+    full = IO.load_train(spark, d)
+    splits = stratified_split(full.withColumnRenamed("sarcastic", "label"), 0.25, 42)
+    IO.write_splits(splits, d + "/splits", 42, 0.25, "test.csv")
+    train, dev = IO.load_train_dev(spark, d, d + "/splits/ids")
+    assert train.count() + dev.count() == 40 and dev.count() == 10
+    # The test file gets variants too (text column detection by name)
+    test = IO.load_test(spark, d, IO.TRAIN_SCHEMA)
+    assert "x_desc" in test.columns
+    # K7: ignore keeps what is there; K8/K9 JSON sinks round-trip
+    out = d + "/lb"
+    IO.write_json_table(train.select("id", "tweet"), out)
+    IO.write_json_table(dev.select("id", "tweet"), out, mode="ignore")
+    assert spark.read.json(out).count() == train.count()
+    # Checkpoint value, else config value, else default
+    df = spark.createDataFrame([(None, 64), (None, None), (32, 64)], "ck int, cfg int")
+    vals = [r.max_len for r in RN.with_fallbacks(df, "max_len", "ck", "cfg", 128).collect()]
+    assert vals == [64, 128, 32]
