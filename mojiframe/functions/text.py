@@ -40,7 +40,8 @@ WORD_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 # matches are identical (the SQL oracle uses the plain forms above).
 _HI = "(?=[^\\x{0}-\\x{A8}])"
 EMOJI_FAST = _HI + EMOJI
-SEQ_FAST = L.seq_pattern_with(EMOJI_FAST)
+# every sequence starts with a keycap base or a code point >= U+00A9
+SEQ_FAST = "(?=[0-9#*[^\\x{0}-\\x{A8}]])(?:" + L.seq_pattern_with(EMOJI_FAST) + ")"
 # runs of two or more whitespace characters (the char analyzer's collapse rule)
 WS_RUN = "[" + "".join("\\x{%X}" % ord(c) for c in L.STRIP_CHARS) + "]{2,}"
 
@@ -120,16 +121,19 @@ def has_emoji_sequence(col: Column | str) -> Column:
 def demojize(col: Column | str, delimiters: tuple[str, str] = (" ", " ")) -> Column:
     """Replace every emoji sequence by ``<d0>name<d1>``; other text unchanged.
 
-    The text is split at the sequences (n + 1 parts) and the sequences are
-    extracted (n), then interleaved; only the emoji are looked up.  Texts
-    without a sequence are returned as they are."""
+    The text between sequences (n + 1 segments) and the sequences (n) are
+    extracted, then interleaved; only the emoji are looked up.  Texts
+    without a sequence are returned as they are.  (``split`` would compile
+    the pattern once per row; ``regexp_extract_all`` compiles it once.)"""
     t = _c(col)
-    parts = F.split(t, SEQ_FAST, -1)
+    # segment before each sequence, then the tail (a trailing empty match
+    # may follow: the tail is taken by position, n + 1)
+    parts = F.regexp_extract_all(t, _re(f"(?s)(.*?)(?:{SEQ_FAST}|\\z)"), 1)
     seqs = F.regexp_extract_all(t, _re(f"({SEQ_FAST})"), 1)
     # zip_with evaluates both arrays once per row (no re-split per emoji)
     named = F.zip_with(F.slice(parts, 1, F.size(seqs)), seqs, lambda p, x: F.concat(
         p, F.lit(delimiters[0]), emoji_name(x), F.lit(delimiters[1])))
-    joined = F.concat(F.array_join(named, ""), F.element_at(parts, -1))
+    joined = F.concat(F.array_join(named, ""), F.element_at(parts, F.size(seqs) + 1))
     return F.when(has_emoji_sequence(t), joined).otherwise(t)
 
 

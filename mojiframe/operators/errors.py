@@ -31,18 +31,26 @@ def error_kind(y: str = "y_true", p: str = "y_pred"):
 
 def top_errors(df: DataFrame, k: int = 50, k_emoji: int = 25, key: str = "run",
                id_col: str = "id", score: str = "p", flag: str = "has_emoji",
-               columns: list[str] | None = None) -> DataFrame:
+               columns: list[str] | None = None, inputs: DataFrame | None = None,
+               y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """R2: the four error tables of every run as one table
     ``(run, kind, rank, ...)`` with kind in fp, fn, fp_emoji, fn_emoji.
 
     L1: FP by score descending, FN ascending (ties by id).  L2: top k, and
-    top k_emoji among errors with emoji (W4)."""
-    cols = [c for c in (columns or ERROR_COLUMNS) if c in df.columns]
-    e = df.withColumn("kind", error_kind()).where(F.col("kind").isNotNull())
+    top k_emoji among errors with emoji (W4).  Ranking runs on narrow rows;
+    text columns found in ``inputs`` (keyed by id) are joined onto the
+    top-k result only, which has at most k per (run, kind)."""
+    cols = list(columns or ERROR_COLUMNS)
+    wide = [c for c in cols if inputs is not None and c in inputs.columns and c != id_col]
+    narrow = [c for c in cols if c not in wide and c in df.columns]
+    need = list(dict.fromkeys([key, id_col, y, p, score, flag, *narrow]))
+    e = df.select(*need).withColumn("kind", error_kind(y, p)).where(F.col("kind").isNotNull())
     e = e.withColumn("skey", F.when(F.col("kind") == "fp", -F.col(score)).otherwise(F.col(score)))
     emoji = e.where(F.col(flag)).withColumn("kind", F.concat(F.col("kind"), F.lit("_emoji")))
     out = _top(e, k, key, id_col).unionByName(_top(emoji, k_emoji, key, id_col))
-    return out.select(key, "kind", "rank", id_col, *cols)
+    if wide:
+        out = out.join(inputs.select(id_col, *wide), id_col)
+    return out.select(key, "kind", "rank", id_col, *[c for c in cols if c in narrow or c in wide])
 
 
 def _top(e: DataFrame, k: int, key: str, id_col: str) -> DataFrame:

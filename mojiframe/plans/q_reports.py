@@ -44,16 +44,24 @@ def _ranked_sql(k: int | None, k_emoji: int | None) -> str:
     return _w(f"{top(e, k)} UNION ALL {top(emo, k_emoji)}")
 
 
+def _inputs(spark, sf):
+    from mojiframe.operators.variants import add_variants
+
+    return add_variants(T.corpus(spark, sf)).select("id", "x_text", "x_emoji")
+
+
 @register("l1_sorted_errors", lambda: _ranked_sql(None, None))
 def l1_sorted_errors(spark, sf):
     # every error ranked (k larger than any run): the full L1 ordering
-    return ER.top_errors(preds(spark, sf), k=1 << 30, k_emoji=1 << 30, columns=_ERR_COLS)
+    return ER.top_errors(preds(spark, sf), k=1 << 30, k_emoji=1 << 30, columns=_ERR_COLS,
+                         inputs=_inputs(spark, sf))
 
 
 @register("l2_top_errors", lambda: _ranked_sql(50, 25))
 def l2_top_errors(spark, sf):
     """R2: the four error tables of every run, top 50 / top 25 with emoji."""
-    return ER.top_errors(preds(spark, sf), k=50, k_emoji=25, columns=_ERR_COLS)
+    return ER.top_errors(preds(spark, sf), k=50, k_emoji=25, columns=_ERR_COLS,
+                         inputs=_inputs(spark, sf))
 
 
 def _by_slice(spark, sf):
