@@ -61,16 +61,18 @@ def test_train_dev_load_and_sinks(spark):
     from mojiframe.sources import runs as RN
 
     d = tempfile.mkdtemp(prefix="mf-s5-")
-    with open(os.path.join(d, "train.csv"), "w", encoding="utf-8") as f:
+    csv = os.path.join(d, "csv")
+    os.makedirs(csv)
+    with open(os.path.join(csv, "train.csv"), "w", encoding="utf-8") as f:
         f.write(",tweet,sarcastic,rephrase\n" + "".join(
             f'{i},"text {i} \U0001F644",{int(i % 4 == 0)},\n' for i in range(40)))
-    full = IO.load_train(spark, d)
+    full = IO.load_train(spark, csv)
     splits = stratified_split(full.withColumnRenamed("sarcastic", "label"), 0.25, 42)
     IO.write_splits(splits, d + "/splits", 42, 0.25, "test.csv")
-    train, dev = IO.load_train_dev(spark, d, d + "/splits/ids")
+    train, dev = IO.load_train_dev(spark, csv, d + "/splits/ids")
     assert train.count() + dev.count() == 40 and dev.count() == 10
     # The test file gets variants too (text column detection by name)
-    test = IO.load_test(spark, d, IO.TRAIN_SCHEMA)
+    test = IO.load_test(spark, csv, IO.TRAIN_SCHEMA)
     assert "x_desc" in test.columns
     # K7: ignore keeps what is there; K8/K9 JSON sinks round-trip
     out = d + "/lb"
