@@ -1,4 +1,4 @@
-"""Emoji-aware text expressions (F1-F19), built only from Spark SQL functions.
+"""Text expressions that keep, drop, name or isolate emoji (F1-F19), built only from Spark SQL functions.
 
 Every function takes and returns a ``Column``; nothing here runs Python per
 row, so the expressions stay inside whole-stage codegen and run unchanged on a
