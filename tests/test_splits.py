@@ -44,3 +44,20 @@ def test_keep_columns_ride_along(spark):
                                  F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     s = SP.stratified_split(df, 0.1, 1, keep=["text"])
     assert s.where(F.col("text") != F.concat(F.lit("t"), F.col("id").cast("string"))).count() == 0
+
+
+def test_hot_label_split_is_exact(spark):
+    # one label holds all rows but three: quotas stay exact and the result
+    # equals the window form, with no window over the hot class
+    df = spark.range(30000).select("id", (F.col("id") < 3).cast("int").alias("label"))
+    a = SP.stratified_split(df, 0.15, 9)
+    b = SP.stratified_split_window(df, 0.15, 9)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    got = {(r.split, r.label): r["count"] for r in a.groupBy("split", "label").count().collect()}
+    assert got[("dev", 0)] + got.get(("dev", 1), 0) == 4500
+    import re
+
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    # the only row ranking partitioned by label is the boundary-bucket one
+    # (the other row_number()s rank the one-row-per-class quota table)
+    assert len(re.findall(r"row_number\(\) windowspecdefinition\(label#\d+L?, h#", plan)) == 1
