@@ -6,21 +6,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import materialise, narrow
+from mojiframe.llm.common import materialise
+from mojiframe.llm import langid
 from mojiframe.llm.decontaminate import find_contamination
 
 #: Columns that every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REST = tuple(COLUMNS[1:])
+
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or with an unsure one, go."""
+    model = langid.train(langid.training_sample(docs, "doc_id", "text", "lang", None))
+    found = langid.identify_language(docs, model, keep=REST)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = narrow(found.where(F.col("n_hit") > 0), doc_id="doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=REST)
+    return found.where(F.col("n_hit") == 0).select(COLUMNS)
 
 
 STAGES = [
+    ("language ID", language_id),
     ("decontamination", decontamination),
 ]
 

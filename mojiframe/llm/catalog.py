@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mojiframe.llm import decontaminate
+from mojiframe.llm import decontaminate, langid
 
 QUERIES = {
+    "op10_language_id": langid.op10_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that one vectorised step works on; a longer single text is one step.
 SLICE_BYTES = 4 << 20
@@ -84,3 +85,30 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, text (as string) and the columns to carry along, under names of ours."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
+                       *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
+
+
+def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], new: str,
+             limit: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with the columns of the DDL string ``new``.  ``make()`` runs once a
+    task and gives the function from a slice of rows to the new columns."""
+    fresh = StructType.fromDDL(new)
+    names = [f.name for f in df.schema.fields + fresh.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for big in batches:
+            for b in slices(big, "text", limit):
+                yield pa.RecordBatch.from_arrays([*b.columns, *fn(b)], names=names)
+
+    return df.mapInArrow(run, StructType(df.schema.fields + fresh.fields))
+
+
+def named_again(df: DataFrame, id_col: str, keep: tuple[str, ...], *new: Column | str) -> DataFrame:
+    """Undo ``text_rows``: the id, the new columns, then what was carried along."""
+    return df.select(F.col("id").alias(id_col), *new, *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])

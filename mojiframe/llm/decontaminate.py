@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import narrow, slices, text_buffer
+from mojiframe.llm.common import map_text, named_again, narrow, slices, text_buffer, text_rows
 from mojiframe.llm.words import ALNUM_WORDS, mix, ngram_hashes, split
 
 WINDOW = 10
@@ -166,25 +166,24 @@ def item_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int)
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                       block_words: int = BLOCK_WORDS) -> DataFrame:
+                       block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (sorted ids of the
-    benchmark items with a window in it) and spans (start, end pairs of hit
-    words, flat)."""
+    benchmark items with a window in it), spans (start, end pairs of hit
+    words, flat) and the columns ``keep``."""
     spark = docs.sparkSession
     pieces = item_pieces(benchmark, item_col, item_text_col, window).cache()
     total = pieces.select(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     n_blocks = max(1, -(-2 * total // block_words))  # hashed blocks stay below the bound at twice the mean
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = narrow(docs, id=id_col, text=text_col).select(
-        "id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = text_rows(docs, id_col, text_col, keep).withColumns({
+        "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     for k in range(n_blocks):
         rows = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).collect()
         shared = spark.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in rows], window))
-        out = out.mapInArrow(_searcher(shared), f"id {kind}, text string, n_words long, spans array<int>, items array<string>")
+        out = map_text(out.withColumnsRenamed({"spans": "spans_before", "items": "items_before"}), _searcher(shared),
+                       "n_words long, spans array<int>, items array<string>").drop("spans_before", "items_before")
+        out = out.drop("n_words") if k < n_blocks - 1 else out
     pieces.unpersist()
-    return out.select(F.col("id").alias(id_col), "n_words", _covered("spans").alias("n_hit"),
-                      F.sort_array("items").alias("items"), "spans")
+    return named_again(out, id_col, keep, "n_words", _covered("spans").alias("n_hit"), F.sort_array("items").alias("items"), "spans")
 
 
 def _covered(spans: str):
@@ -193,32 +192,31 @@ def _covered(spans: str):
 
 
 def _searcher(shared):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         p = shared.value
-        for big in batches:
-            for b in slices(big, "text"):
-                w = split(*text_buffer(b.column(1)), ALNUM_WORDS)
-                hit = np.zeros(len(w.starts), bool)
-                seen: list[set] = [set(x) for x in b.column(4).to_pylist()]
-                for i, spans in enumerate(b.column(3).to_pylist()):  # hits of earlier blocks
-                    for s, e in zip(spans[::2], spans[1::2]):
-                        hit[w.first[i] + s:w.first[i] + e] = True
-                _scan(w, w.hashes(), p, hit, seen)
-                opens = hit.copy()
-                opens[1:] &= ~hit[:-1] | (w.doc[1:] != w.doc[:-1])
-                closes = hit.copy()
-                closes[:-1] &= ~hit[1:] | (w.doc[1:] != w.doc[:-1])
-                s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-                row = w.doc[s] if len(s) else s
-                flat = np.stack([s - w.first[row], e - w.first[row]], 1).ravel().astype(np.int32) if len(s) else np.zeros(0, np.int32)
-                ptr = 2 * np.searchsorted(row, np.arange(b.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0), b.column(1), pa.array(np.diff(w.first), pa.int64()),
+
+        def search(b: pa.RecordBatch) -> list[pa.Array]:
+            w = split(*text_buffer(b.column(1)), ALNUM_WORDS)
+            hit = np.zeros(len(w.starts), bool)
+            seen: list[set] = [set(x) for x in b.column("items_before").to_pylist()]
+            for i, spans in enumerate(b.column("spans_before").to_pylist()):  # hits of earlier blocks
+                for s, e in zip(spans[::2], spans[1::2]):
+                    hit[w.first[i] + s:w.first[i] + e] = True
+            _scan(w, w.hashes(), p, hit, seen)
+            opens, closes = hit.copy(), hit.copy()
+            opens[1:] &= ~hit[:-1] | (w.doc[1:] != w.doc[:-1])
+            closes[:-1] &= ~hit[1:] | (w.doc[1:] != w.doc[:-1])
+            s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            row = w.doc[s]
+            flat = np.stack([s - w.first[row], e - w.first[row]], 1).ravel().astype(np.int32)
+            ptr = 2 * np.searchsorted(row, np.arange(b.num_rows + 1))
+            return [pa.array(np.diff(w.first), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(flat)),
-                    pa.array([sorted(x) for x in seen], pa.list_(pa.string())),
-                ], names=["id", "text", "n_words", "spans", "items"])
+                    pa.array([sorted(x) for x in seen], pa.list_(pa.string()))]
+
+        return search
 
-    return search
+    return make
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
