@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiframe.llm.common import materialise
-from mojiframe.llm import langid
+from mojiframe.llm import bpe, langid
 from mojiframe.llm.decontaminate import find_contamination
 
 #: Columns that every stage but the last returns.
@@ -30,9 +30,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(F.col("n_hit") == 0).select(COLUMNS)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ids and the digests of ids and decoded bytes."""
+    return bpe.digests(bpe.encode(docs, keep=("lang", "source")), "doc_id", keep=("lang", "source"))
+
+
 STAGES = [
     ("language ID", language_id),
     ("decontamination", decontamination),
+    ("byte-level BPE", byte_bpe),
 ]
 
 #: No stage chain of models and hashes can be said in SQL; tests/llm has a brute-force version.

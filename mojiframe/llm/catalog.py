@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mojiframe.llm import decontaminate, langid
+from mojiframe.llm import bpe, decontaminate, langid
 
 QUERIES = {
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": langid.op10_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
