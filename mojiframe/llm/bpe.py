@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from mojiframe.llm.common import map_text, named_again, text_rows
 from mojiframe.llm.words import span_hashes
@@ -310,7 +311,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of the ids; null ids decode to null."""
     path = ranks or default_ranks()
-    schema = encoded.schema.add("decoded", "binary")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches):
         bpe = load(path)
