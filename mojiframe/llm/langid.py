@@ -182,7 +182,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     first = Window.partitionBy("lang").orderBy("h", "t")
     keys = d.select("lang", "h", "t", "size").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows)
     keys = keys.withColumn("s", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("s") <= size)
-    return d.join(keys.select("lang", "h", "t").distinct(), ["lang", "h", "t"], "left_semi").select("h", "t", "text", "lang")
+    last = keys.groupBy("lang").agg(F.max(F.struct("h", "t")).alias("last"))  # one row a language
+    found = d.join(F.broadcast(last), "lang").where(F.struct("h", "t") <= F.col("last"))
+    return found.select("h", "t", "text", "lang").dropDuplicates(["h", "t", "lang"])
 
 
 def train(sample: DataFrame, dims: int = DIMS) -> dict:
