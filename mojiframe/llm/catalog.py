@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mojiframe.llm import bpe, decontaminate, langid
+from mojiframe.llm import bpe, decontaminate, langid, setjoin
 
 QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": langid.op10_language_id,
+    "op6_jaccard_join": setjoin.op6_jaccard_join,
     "op8_decontaminate": decontaminate.op8_decontaminate,
 }
 
