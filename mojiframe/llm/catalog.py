@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from mojiframe.llm import bpe, decontaminate, langid, setjoin
+from functools import wraps
+
+from mojiframe.llm import bpe, decontaminate, langid, ngramlm, setjoin
+from mojiframe.llm.common import ship
 
 QUERIES = {
-    "op9_byte_bpe": bpe.op9_byte_bpe,
-    "op10_language_id": langid.op10_language_id,
+    "op3_ngram_lm": ngramlm.op3_ngram_lm,
     "op6_jaccard_join": setjoin.op6_jaccard_join,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_language_id": langid.op10_language_id,
 }
 
 SQL: dict[str, str] = {}
 
 
+def _shipped(fn):
+    @wraps(fn)
+    def run(spark, sf_dir):
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: _shipped(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,9 +3,12 @@ narrow input views and Arrow batch slicing."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files of an execution go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts lineage, survives lost
+    executors.  The shuffle files behind it are of no more use and go."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def delete_scratch(spark: SparkSession) -> None:
@@ -52,6 +74,16 @@ def narrow(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers where their path does not have it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or any("mojiframe-" in x for x in sc._python_includes):
+        return
+    stem = f"{tempfile.mkdtemp()}/mojiframe-{uuid.uuid4().hex}"
+    sc.addPyFile(shutil.make_archive(stem, "zip", root, "mojiframe"))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null has no remainder."""
     return F.crc32(col.cast("string").cast("binary")) % n
