@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mojiframe.llm.common import materialise, ship
-from mojiframe.llm import bpe, langid
+from mojiframe.llm import bpe, langid, linededup, setjoin
 from mojiframe.llm.decontaminate import find_contamination
 
 #: Columns that every stage but the last returns.
@@ -24,6 +24,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages stay at their first place; documents that were nothing else go."""
+    found = linededup.dedup_lines(docs, keep=REST[1:])
+    left = found.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", size).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at similarity 0.8 on five-word shingles one stays: the smallest id."""
+    found = setjoin.jaccard_components(docs, n=5, num=80, den=100)
+    copies = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=REST)
@@ -37,6 +52,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
     ("decontamination", decontamination),
     ("byte-level BPE", byte_bpe),
 ]
@@ -49,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import bpe, decontaminate, langid, ngramlm, setjoin
+from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, setjoin
 from mojiframe.llm.common import ship
 
 QUERIES = {
     "op3_ngram_lm": ngramlm.op3_ngram_lm,
+    "op5_collision_search": annsearch.op5_collision_search,
     "op6_jaccard_join": setjoin.op6_jaccard_join,
+    "op7_line_dedup": linededup.op7_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": langid.op10_language_id,
