@@ -19,7 +19,7 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with an unsure one, go."""
-    model = langid.train(langid.training_sample(docs, "doc_id", "text", "lang", None))
+    model = langid.train(docs)
     found = langid.identify_language(docs, model, keep=REST)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(COLUMNS)
 

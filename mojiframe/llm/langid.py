@@ -24,10 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import crc_mod, map_text, named_again, narrow, text_rows
+from mojiframe.llm.common import crc_mod, map_text, named_again, text_rows
+from mojiframe.llm.sampling import training_sample
 
 DIMS = 1 << 17
 SAMPLE_ROWS = 2000
@@ -172,23 +173,11 @@ def score(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]
     return np.where(some, p.argmax(1), -1), np.where(some, p.max(1), 0.0)
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, where: Column | None,
-                    rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, lang): per language the ``rows`` rows of smallest hash, as far as ``size`` bytes go."""
-    d = narrow(docs if where is None else docs.where(where), id=id_col, text=text_col, lang=lang_col)
-    d = d.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
-        "text", "lang", F.xxhash64(F.lit(11), F.col("id").cast("string")).alias("h"), F.xxhash64("text").alias("t"),
-        F.octet_length("text").alias("size")).where(F.col("size") <= size)
-    first = Window.partitionBy("lang").orderBy("h", "t")
-    keys = d.select("lang", "h", "t", "size").withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows)
-    keys = keys.withColumn("s", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("s") <= size)
-    last = keys.groupBy("lang").agg(F.max(F.struct("h", "t")).alias("last"))  # one row a language
-    found = d.join(F.broadcast(last), "lang").where(F.struct("h", "t") <= F.col("last"))
-    return found.select("h", "t", "text", "lang").dropDuplicates(["h", "t", "lang"])
-
-
-def train(sample: DataFrame, dims: int = DIMS) -> dict:
-    """Fit in one task over the bounded sample; the model comes back as one row."""
+def train(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+          lang_col: str = "lang", dims: int = DIMS) -> dict:
+    """Fit in one task over the bounded sample of the rows where ``where`` holds; the
+    model comes back as one row."""
+    sample = training_sample(docs, id_col, text_col, lang_col, where, SAMPLE_ROWS, SAMPLE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(4)]))
@@ -228,5 +217,5 @@ def identify_language(docs: DataFrame, model: dict, id_col: str = "doc_id", text
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_mod(F.col("doc_id"), 4) == 2
-    model = train(training_sample(docs, "doc_id", "text", "lang", ~held_out))
+    model = train(docs, ~held_out)
     return identify_language(docs, model).withColumn("held_out", held_out)
