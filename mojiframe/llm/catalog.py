@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, quality, setjoin
+from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, quality, setjoin, warc
 from mojiframe.llm.common import ship
 
 QUERIES = {
     "op2_compression_quality": quality.op2_compression_quality,
     "op3_ngram_lm": ngramlm.op3_ngram_lm,
+    "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_collision_search": annsearch.op5_collision_search,
     "op6_jaccard_join": setjoin.op6_jaccard_join,
     "op7_line_dedup": linededup.op7_line_dedup,
