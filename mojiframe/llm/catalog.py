@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, quality, setjoin, warc
+from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, quality, setjoin, urlfilter, warc
 from mojiframe.llm.common import ship
 
 QUERIES = {
+    "op1_url_filter": urlfilter.op1_url_filter,
     "op2_compression_quality": quality.op2_compression_quality,
     "op3_ngram_lm": ngramlm.op3_ngram_lm,
     "op4_warc_salvage": warc.op4_warc_salvage,
@@ -19,7 +20,9 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filter": urlfilter.SQL,
+}
 
 
 def _shipped(fn):
