@@ -16,7 +16,11 @@
    ``|x & z| = |r| - |r-x| - |r-z| + |(r-x) & (r-z)| + |(x-r) & (z-r)|``,
    so the answers of x are derived from those of r without reading x again.
    No candidate pairs are ever emitted as rows.
-5. Groups larger than ``BLOCK`` members are cut into pairs of blocks.  A group
+5. Before any set is fetched, the members of a group are compared by parity
+   bitmaps (as many bits as the set has elements): the number of bits that differ is at most the number
+   of elements that differ, so a pair beyond the bound is out.  Members that
+   may have partners form smaller groups with leaders of their own.
+6. Groups larger than ``BLOCK`` members are cut into pairs of blocks.  A group
    gives the smallest member of each of its components and link counts;
    the components are joined by alternating large-star and small-star rounds
    that read and write tables in the shared folder.
@@ -43,7 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import map_text, materialise, narrow, text_buffer, text_rows
+from mojiframe.llm import bitmap
+from mojiframe.llm.common import materialise, release, slices, text_buffer, text_rows
 from mojiframe.llm.words import SPACE_WORDS, mix, ngram_hashes, split
 
 HOT = 1 << 18
@@ -74,100 +79,133 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarr
     return val, np.append(0, np.cumsum(np.bincount(doc, minlength=rows)))
 
 
-def _binary(values: np.ndarray, ptr: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(values).view(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), len(ptr) - 1, [None, pa.py_buffer((ptr * 8).astype(np.int32)), pa.py_buffer(data)])
+class _Sets:
+    """The sets of one slice of texts."""
 
+    def __init__(self, b: pa.RecordBatch, n: int):
+        self.val, self.ptr = shingle_sets(*text_buffer(b.column(1)), n)
+        self.size = np.diff(self.ptr)
+        total = np.append(_U(0), np.cumsum(mix(self.val ^ _U(0x5851F42D4C957F2D))))
+        self.node = mix(total[self.ptr[1:]] - total[self.ptr[:-1]] + self.size.astype(_U)).view(np.int64)
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n (set size), node (fingerprint, null for an empty set), shingles (binary of uint64)."""
+    def keep(self, rows: np.ndarray) -> None:
+        """Only these rows from now on."""
+        self.val = self.val[np.repeat(rows, self.size)]
+        self.size, self.node = self.size[rows], self.node[rows]
+        self.ptr = np.append(0, np.cumsum(self.size))
 
-    def make():
-        def run(b: pa.RecordBatch) -> list[pa.Array]:
-            val, ptr = shingle_sets(*text_buffer(b.column(1)), n)
-            size = np.diff(ptr)
-            total = np.append(_U(0), np.cumsum(mix(val ^ _U(0x5851F42D4C957F2D))))
-            node = mix(total[ptr[1:]] - total[ptr[:-1]] + size.astype(_U)).view(np.int64)
-            return [pa.array(size), pa.array(node, mask=size == 0), _binary(val, ptr)]
+    def fresh(self, seen: set[int], able: np.ndarray) -> None:
+        """Drop copies that this task has had already (as far as ``seen`` goes)."""
+        out = np.zeros(len(self.node), bool)
+        for i, x in enumerate(self.node.tolist()):
+            out[i] = able[i] and x not in seen
+            if len(seen) < 1 << 20:
+                seen.add(x)
+        self.keep(out)
 
-        return run
 
-    return map_text(text_rows(docs, id_col, text_col), make, "n long, node long, shingles binary").drop("text")
+def parity_bitmaps(sets: _Sets) -> list[bytes]:
+    """One bit flip an element, in the next power of two of bits (64 at least)."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sets.size, 1))).astype(np.int64))
+    base = np.append(0, np.cumsum(bits))
+    at = np.repeat(base[:-1], sets.size) + (sets.val % np.repeat(bits, sets.size).astype(_U)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1).tobytes()
+    return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def _unpack(b: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray]:
-    raw, offs = text_buffer(b.column(b.schema.get_field_index(col)))
-    return raw.view(_U) if raw.flags.aligned and raw.ctypes.data % 8 == 0 else raw.copy().view(_U), offs // 8
+def _each_slice(texts: DataFrame, n: int, fn, schema: str) -> DataFrame:
+    """``fn(sets, rows, seen)`` for each slice gives the columns of ``schema``; rows
+    without words or id only come to it as rows, not as sets, where it asks so."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for big in batches:
+            for b in slices(big, "text"):
+                yield pa.RecordBatch.from_arrays(fn(_Sets(b, n), b, seen), names=names)
 
-def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of nodes that this task has not had yet, in steps of about a million shingles."""
-    seen: set[int] = set()
-    for big in batches:
-        node = big.column(big.schema.get_field_index("node")).to_pylist()
-        fresh = []
-        for x in node:
-            fresh.append(x is not None and x not in seen)
-            if len(seen) < 1 << 20:
-                seen.add(x)
-        b = big.filter(pa.array(fresh))
-        size = np.cumsum(b.column(b.schema.get_field_index("n")).to_numpy()) // (1 << 20) if b.num_rows else np.zeros(0)
-        for k in np.unique(size):
-            at = np.flatnonzero(size == k)
-            yield b.slice(int(at[0]), len(at))
+    return texts.mapInArrow(run, schema)
 
 
-def frequent_shingles(sets: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``hot`` shingle hashes of highest count, sorted, with their counts.
-    Only shingles that come twice in a step are counted: it orders, it decides nothing."""
+def _able(sets: _Sets, b: pa.RecordBatch) -> np.ndarray:
+    return (sets.size > 0) & b.column(0).is_valid().to_numpy(False)
 
-    def run(batches):
-        for b in _first_seen(batches):
-            val, count = np.unique(_unpack(b, "shingles")[0], return_counts=True)
-            val, count = val[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(val.view(np.int64)), pa.array(count)], names=["s", "c"])
-
-    counts = sets.select("n", "node", "shingles").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    counts = materialise(counts, "shingle-counts")
-    # the smallest count that keeps the table within its bound: the histogram has a row for each power of 2**(1/4)
+
+def set_rows(texts: DataFrame, n: int) -> DataFrame:
+    """Two kinds of rows: (id, n, node, flips) of every text, and (s, c) of the shingles
+    that come more than once among the texts of a slice."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def fn(sets: _Sets, b: pa.RecordBatch, seen: set[int]) -> list[pa.Array]:
+        size, node, flips = sets.size, pa.array(sets.node, mask=sets.size == 0), pa.array(parity_bitmaps(sets), pa.binary())
+        sets.fresh(seen, _able(sets, b))
+        s, c = np.unique(sets.val, return_counts=True)
+        s, c = s[c > 1], c[c > 1]
+        more, rows = len(s), b.num_rows
+        return [pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (b.column(0), pa.array(size), node, flips)] + [
+            pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x)]) for x in (s.view(np.int64), c)]
+
+    return _each_slice(texts, n, fn, f"id {kind}, n long, node long, flips binary, s long, c long")
+
+
+def frequent_shingles(counted: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``hot`` shingle hashes of highest count, sorted, with their counts.
+    Only shingles that come twice in a slice are counted: it orders, it decides nothing."""
+    counts = materialise(counted.groupBy("s").agg(F.sum("c").alias("c")), "shingle-counts")
+    # the smallest count that keeps the table within its bound; the histogram has a row for each power of 2**(1/4)
     level = F.ceil(4 * F.log2("c")).cast("long")
     room, least = hot, None
     for lv, k in sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("l")).count().collect()), reverse=True):
         if k > room:
             break
         room, least = room - k, lv
-    rows = [] if least is None else counts.where(level >= least).toArrow()
-    if least is None:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+    rows = counts.where(level >= F.lit(least)).toArrow()
+    release(counts)
     val, c = rows.column("s").to_numpy().view(_U), rows.column("c").to_numpy()
     order = np.argsort(val)
     return val[order], c[order]
 
 
-def prefix_entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> DataFrame:
+def prefix_entries(texts: DataFrame, n: int, frequent: tuple[np.ndarray, np.ndarray], num: int, den: int) -> DataFrame:
     """s (shingle), node, n, pos: the prefix of every set."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches):
+    def fn(sets: _Sets, b: pa.RecordBatch, seen: set[int]) -> list[pa.Array]:
         hot, count = shared.value
-        for b in _first_seen(batches):
-            val, ptr = _unpack(b, "shingles")
-            size = np.diff(ptr)
-            doc = np.repeat(np.arange(len(size)), size)
-            rank = np.zeros(len(val), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, val), len(hot) - 1)
-                rank = np.where(hot[at] == val, count[at], 0)
-            order = np.lexsort((val, rank, doc))
-            pos = np.arange(len(val)) - ptr[:-1][doc]
-            keep = pos < (size - -(-size * num // den) + 1)[doc]
-            doc, pos, val = doc[keep], pos[keep], val[order][keep]
-            node = b.column(b.schema.get_field_index("node")).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(val.view(np.int64)), pa.array(node[doc]), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32))],
-                names=["s", "node", "n", "pos"])
-
-    return sets.select("n", "node", "shingles").mapInArrow(run, "s long, node long, n int, pos int")
+        sets.fresh(seen, _able(sets, b))
+        val, ptr, size = sets.val, sets.ptr, sets.size
+        doc = np.repeat(np.arange(len(size)), size)
+        rank = np.zeros(len(val), np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, val), len(hot) - 1)
+            rank = np.where(hot[at] == val, count[at], 0)
+        order = np.lexsort((val, rank, doc))
+        pos = np.arange(len(val)) - ptr[:-1][doc]
+        keep = pos < (size - -(-size * num // den) + 1)[doc]
+        doc, pos, val = doc[keep], pos[keep], val[order][keep]
+        return [pa.array(val.view(np.int64)), pa.array(sets.node[doc]), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32))]
+
+    return _each_slice(texts, n, fn, "s long, node long, n int, pos int")
+
+
+def member_sets(texts: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
+    """(node, n, shingles) of the given nodes.  A bitmap of fixed size thins the
+    texts where they are read, an exact join decides."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap.build(nodes, F.col("node")))
+
+    def fn(sets: _Sets, b: pa.RecordBatch, seen: set[int]) -> list[pa.Array]:
+        sets.fresh(seen, _able(sets, b) & bitmap.holds(shared.value, sets.node))
+        data = np.ascontiguousarray(sets.val).view(np.uint8)
+        packed = pa.Array.from_buffers(pa.binary(), len(sets.size), [None, pa.py_buffer((sets.ptr * 8).astype(np.int32)), pa.py_buffer(data)])
+        return [pa.array(sets.node), pa.array(sets.size), packed]
+
+    found = _each_slice(texts, n, fn, "node long, n long, shingles binary")
+    return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _unpack(b: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray]:
+    raw, offs = text_buffer(b.column(b.schema.get_field_index(col)))
+    return np.frombuffer(raw.tobytes(), _U), offs // 8
 
 
 def leader_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -191,10 +229,75 @@ def leader_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
     return left.join(lead, ["s", "band"]).select("r", "node").distinct()
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocked(d: DataFrame, block: int) -> DataFrame:
+    """Rows of (r, node, ...) dealt to pairs of blocks (r, bi, bj), each in one task and together."""
+    size = d.groupBy("r").agg(F.count("*").alias("members"))
+    d = d.join(size, "r").withColumn("parts", F.ceil(F.col("members") / block).cast("int")).drop("members")
+    d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")}).drop("other", "parts")
+    return d.repartition("r", "bi", "bj").sortWithinPartitions("r", "bi", "bj")
+
+
+def _by_group(d: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(rows)`` for the rows (as dicts) of each (r, bi, bj) gives tuples of longs."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            got = fn(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(len(names))], names=names)
+
+        for b in batches:
+            for row in b.to_pylist():
+                if held and (held[0]["r"], held[0]["bi"], held[0]["bj"]) != (row["r"], row["bi"], row["bj"]):
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
+
+    return d.mapInArrow(run, schema)
+
+
+def _apart(rows: list[dict]) -> np.ndarray | bool:
+    """Pairs that this pair of blocks looks at: between two blocks, not inside one."""
+    if rows[0]["bi"] == rows[0]["bj"]:
+        return True
+    own = np.array([x["own"] for x in rows])
+    return own[:, None] != own[None, :]
+
+
+def _labels(node: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """The smallest node of each row's component."""
+    label = node.copy()
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
+        if (low == label).all():
+            return label
+        label = low
+
+
+def near_groups(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+    """(leader, node) of the members that may have a partner, by their bitmaps."""
+    node, n = np.array([x["node"] for x in rows]), np.array([x["n"] for x in rows], np.int64)
+    width = min(len(x["flips"]) for x in rows)  # longer ones fold: their bits are the same modulo the shorter width
+    flips = np.stack([np.bitwise_xor.reduce(np.frombuffer(x["flips"], np.uint8).reshape(-1, width), axis=0) for x in rows]).view(_U)
+    bound = (den - num) * (n[:, None] + n[None, :]) // (den + num)
+    near = np.empty((len(rows), len(rows)), bool)
+    for i in range(len(rows)):
+        near[i] = np.bitwise_count(flips ^ flips[i]).sum(1, dtype=np.int64) <= bound[i]
+    near &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
+    np.fill_diagonal(near, False)
+    near &= _apart(rows)
+    label = _labels(node, near)
+    return [(int(a), int(b)) for a, b, some in zip(label, node, near.any(1)) if some]
+
+
+def differences(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """(r, node, nr, n, plus, minus): what a member adds to and lacks of its leader."""
-    nodes = pairs.select("node").distinct()  # holds the leaders too
-    own = materialise(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "shingles"), "member-sets")
     d = pairs.join(own, "node").join(own.select(F.col("node").alias("r"), F.col("n").alias("nr"), F.col("shingles").alias("rs")), "r")
 
     def run(batches):
@@ -239,75 +342,42 @@ def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def group_links(rows: list[tuple], num: int, den: int) -> list[tuple[int, int, int]]:
-    """Of one group's (r, nr, bi, bj, block, node, n, copies, plus, minus, leaders): node,
-    smallest node of its component here, links that are counted here."""
-    r, nr, bi, bj = rows[0][:4]
-    node = np.array([x[5] for x in rows])
-    n = np.array([x[6] for x in rows], np.int64)
-    plus, minus = [np.frombuffer(x[8], _U) for x in rows], [np.frombuffer(x[9], _U) for x in rows]
+def group_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int, int]]:
+    """Node, smallest node of its component here, links that are counted here."""
+    node = np.array([x["node"] for x in rows])
+    n = np.array([x["n"] for x in rows], np.int64)
+    plus, minus = ([np.frombuffer(x[k], _U) for x in rows] for k in ("plus", "minus"))
     lack = np.array([len(x) for x in minus])
     # added and lacking shingles cannot be equal: the first are not in r, the second are
     same = shared_counts([np.concatenate(x) for x in zip(plus, minus)])
-    over = nr - lack[:, None] - lack[None, :] + same
+    over = rows[0]["nr"] - lack[:, None] - lack[None, :] + same
     link = (den + num) * over >= num * (n[:, None] + n[None, :])
     np.fill_diagonal(link, False)
-    if bi != bj:  # pairs inside a block belong to its own task
-        block = np.array([x[4] for x in rows])
-        link &= block[:, None] != block[None, :]
-    label = node.copy()
-    while True:
-        low = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
-        if (low == label).all():
-            break
-        label = low
-    copies = np.array([x[7] for x in rows], np.int64)
+    link &= _apart(rows)
+    label = _labels(node, link)
+    copies = np.array([x["copies"] for x in rows], np.int64)
     counted = link.copy()
-    several = [i for i, x in enumerate(rows) if len(x[10]) > 1]
+    several = [i for i, x in enumerate(rows) if len(x["leaders"]) > 1]
     if len(several) > 1:  # two that meet under several leaders count under the smallest
-        lead = {i: set(rows[i][10]) for i in several}
+        lead = {i: set(rows[i]["leaders"]) for i in several}
         sub = np.array(several)
         for a, b in zip(*np.nonzero(link[np.ix_(sub, sub)])):
             i, j = several[a], several[b]
-            counted[i, j] = min(lead[i] & lead[j]) == r
+            counted[i, j] = min(lead[i] & lead[j]) == rows[0]["r"]
     return list(zip(node.tolist(), label.tolist(), (counted @ copies).tolist()))
 
 
 def links(diffs: DataFrame, copies: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(node, low, k): edges to the smallest node of the local component, and link counts."""
-    size = diffs.groupBy("r").agg(F.count("*").alias("members"))
-    leaders = diffs.groupBy("node").agg(F.collect_set("r").alias("leaders"))  # at most two for each prefix shingle
-    d = diffs.join(size, "r").join(leaders, "node").join(copies.select("node", "copies"), "node")
-    parts = F.ceil(F.col("members") / block).cast("int")
-    d = d.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    d = d.select("r", "nr", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "n", "copies", "plus", "minus", "leaders")
-    d = d.repartition("r", "bi", "bj").sortWithinPartitions("r", "bi", "bj")
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def out(rows):
-            got = group_links(rows, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in range(3)], names=["node", "low", "k"])
-
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                if held and (held[0][0], held[0][2], held[0][3]) != (row[0], row[2], row[3]):
-                    yield out(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield out(held)
-
-    return d.mapInArrow(run, "node long, low long, k long")
+    leaders = diffs.groupBy("node").agg(F.collect_set("r").alias("leaders"))  # a few, at most one a prefix shingle and block
+    d = diffs.join(leaders, "node").join(copies.select("node", "copies"), "node")
+    return _by_group(_blocked(d, block), lambda rows: group_links(rows, num, den), "node long, low long, k long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, low): the smallest node of the component of each node with an edge.
     ``edges`` (node, low) has low < node; large-star and small-star rounds alternate
     until the edges stand still, each round a table in the shared folder."""
-    spark = edges.sparkSession
     edges = materialise(edges.select("node", "low").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
     state = mark(edges)
@@ -315,16 +385,16 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("low", "node"))
         low = both.groupBy("node").agg(F.least(F.min("low"), F.first("node")).alias("m"))
         large = both.join(low, "node").where("low > node and low != m").select(F.col("low").alias("node"), F.col("m").alias("low")).distinct()
-        # a node below which nothing lies keeps its edges to it through its neighbours
         least = large.groupBy("node").agg(F.min("low").alias("m"))
-        small = large.join(least, "node").select("node", "low", "m")
-        small = small.select(F.explode(F.array(F.struct("node", F.col("m").alias("low")), F.struct(F.col("low").alias("node"), F.col("m").alias("low")))).alias("e"))
-        edges = materialise(small.select("e.*").where("node != low").distinct(), "edges")
-        new = mark(edges)
-        if new == state:
+        small = large.join(least, "node").select(F.explode(F.array(
+            F.struct("node", F.col("m").alias("low")), F.struct(F.col("low").alias("node"), F.col("m").alias("low")))).alias("e"))
+        new_edges = materialise(small.select("e.*").where("node != low").distinct(), "edges")
+        release(edges)
+        edges, old = new_edges, state
+        state = mark(edges)
+        if state == old:
             break
-        state = new
-    return edges.groupBy("node").agg(F.min("low").alias("low")) if state[0] else spark.createDataFrame([], "node long, low long")
+    return edges
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3,
@@ -333,19 +403,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links) and n_links (documents linked directly, copies included)."""
     if not 0 < num <= den:
         raise ValueError("the similarity num / den lies in (0, 1]")
-    sets = materialise(set_rows(docs, id_col, text_col, n), "sets")
-    known = sets.where(F.col("node").isNotNull() & F.col("id").isNotNull())
-    copies = known.groupBy("node").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"))
-    frequent = frequent_shingles(known, hot)
-    pairs = materialise(leader_pairs(prefix_entries(known, frequent, num, den), num, den), "leader-pairs")
-    found = materialise(links(differences(pairs, known), copies, num, den, block), "links")
+    texts = text_rows(docs, id_col, text_col)
+    rows = materialise(set_rows(texts, n), "sets")
+    sets = rows.where(F.col("n").isNotNull()).select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    copies = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"))
+    flips = rows.where(F.col("id").isNotNull() & F.col("node").isNotNull()).select("node", "n", "flips")
+    frequent = frequent_shingles(rows.where(F.col("s").isNotNull()), hot)
+    entries = materialise(prefix_entries(texts, n, frequent, num, den), "entries")
+    pairs = materialise(leader_pairs(entries, num, den), "leader-pairs")
+    release(entries)
+    seen = pairs.join(flips.join(pairs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
+    near = _by_group(_blocked(seen, block), lambda g: near_groups(g, num, den), "r long, node long").distinct()
+    met, pairs = pairs, materialise(near, "near-pairs")
+    release(met)
+    own = materialise(member_sets(texts, n, pairs.select("node").distinct()), "member-sets")  # leaders are members too
+    diffs = materialise(differences(pairs, own), "differences")
+    release(own, pairs)
+    found = materialise(links(diffs, copies, num, den, block), "links")
+    release(diffs)
     comp = connected(found.where("low < node").select("node", "low"))
     count = found.groupBy("node").agg(F.sum("k").alias("k"))
     nodes = copies.join(comp, "node", "left").join(count, "node", "left").withColumn("low", F.coalesce("low", "node"))
     first = nodes.groupBy("low").agg(F.min("low_id").alias("component_id"))
     nodes = nodes.join(first, "low").select("node", "component_id", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = sets.select("id", "n", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
-    return rows.join(nodes, "node", "left").select(
+    return sets.join(nodes, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
