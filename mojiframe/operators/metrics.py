@@ -142,12 +142,11 @@ def best_epoch(epochs: DataFrame, key: str = "run", epoch: str = "epoch",
     init = F.struct(F.lit(-1.0e300).alias("best"), F.lit(None).cast("long").alias("best_epoch"),
                     F.lit(0).alias("bad"), F.lit(False).alias("stopped"),
                     F.lit(None).cast("long").alias("stop_epoch"))
-    pat = F.lit(patience if patience is not None else 1 << 30)
 
     def step(acc, x):
         improve = (~acc["stopped"]) & (x["s"] > acc["best"] + F.lit(tol))
         bad = F.when(acc["stopped"], acc["bad"]).when(improve, F.lit(0)).otherwise(acc["bad"] + 1)
-        stop_now = (~acc["stopped"]) & (~improve) & (bad >= pat)
+        stop_now = (~acc["stopped"]) & (~improve) & (bad >= patience) if patience is not None else F.lit(False)
         return F.struct(
             F.when(improve, x["s"]).otherwise(acc["best"]).alias("best"),
             F.when(improve, x["e"].cast("long")).otherwise(acc["best_epoch"]).alias("best_epoch"),

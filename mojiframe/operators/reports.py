@@ -41,8 +41,9 @@ def comparison_table(expected: DataFrame, metrics: DataFrame, digits: int = 4) -
 
 
 def missing_runs(expected: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Expected runs with no prediction rows (left anti join)."""
-    return expected.select("run").join(predictions.select("run"), "run", "left_anti")
+    """Expected runs with no prediction rows (left anti join).  Runs are made
+    distinct first (map-side), so the join sees one row a run."""
+    return expected.select("run").join(predictions.select("run").distinct(), "run", "left_anti")
 
 
 def run_pair_agreement(predictions: DataFrame, run_a: str, run_b: str,
@@ -91,12 +92,13 @@ def corpus_stats(labelled: DataFrame, split_col: str = "split", label: str = "la
 
 def emoji_frequency(df: DataFrame, text: str = "text", sequences: bool = False) -> DataFrame:
     """Emoji (code points, or whole sequences) -> occurrences and
-    number of texts containing it.  Partial aggregation before the shuffle;
-    rows carry only the emoji found, never the text."""
+    number of texts containing it.  A text counts its own emoji, so the shuffle
+    carries two partial sums per emoji and task and no ids."""
     pat = "(" + (TX.SEQ_FAST if sequences else TX.EMOJI_FAST) + ")"
-    found = df.select("id", F.regexp_extract_all(F.col(text), F.lit(pat), 1).alias("found"))
-    e = found.select("id", F.explode_outer("found").alias("emoji")).where(F.col("emoji").isNotNull())
-    return e.groupBy("emoji").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_texts"))
+    found = df.select(F.regexp_extract_all(F.col(text), F.lit(pat), 1).alias("found"))
+    own = found.select("found", F.explode_outer(F.array_distinct("found")).alias("emoji")).where(F.col("emoji").isNotNull())
+    own = own.select("emoji", F.size(F.filter("found", lambda x: x == F.col("emoji"))).alias("times"))
+    return own.groupBy("emoji").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("n_texts"))
 
 
 def chart_series(by_slice: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ Scale: a window ``partition by label`` would put a whole class (possibly a
 third of all rows or more) in one task.  Instead rows are bucketed by the
 first 20 bits of the hash; bucket counts per label (at most 2^20 per label,
 independent of data size) give, per label, the one boundary bucket where the
-quota is reached.  Rows below it are dev, above it train, and only the rows of
-that single boundary bucket (~n_c / 2^20) are ranked.
+quota is reached.  Only the rows of that single boundary bucket (~n_c / 2^20)
+are ranked, which gives the last dev row of each label in hash order; a row is dev
+if it does not come after it.  All of this reads ids and labels; the other columns
+pass once, through the final projection.
 """
 
 from __future__ import annotations
@@ -51,40 +53,36 @@ def stratified_split(df: DataFrame, dev_size: float = 0.15, seed: int = 42,
                      id_col: str = "id", label: str = "label", keep: list[str] = ()) -> DataFrame:
     """``(id, label, split, *keep)`` with split in ('train', 'dev'), exact
     quotas; ``keep`` columns ride along (no join back to the input)."""
-    keep = list(keep)
-    base = df.select(
-        F.col(id_col).alias("id"), F.col(label).alias("label"), *keep,
-        hash_key(F.col(id_col), seed).alias("h"),
-    ).withColumn("bucket", F.conv(F.substring("h", 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"))
-
-    bucket_counts = base.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    quotas = split_quotas(
-        bucket_counts.groupBy("label").agg(F.sum("cnt").alias("n_c")), dev_size
-    )
+    keyed = df.withColumn("__h", hash_key(F.col(id_col), seed))
+    narrow = df.select(F.col(id_col).alias("id"), F.col(label).alias("label")).withColumn("h", hash_key(F.col("id"), seed))
+    narrow = narrow.withColumn("bucket", F.conv(F.substring("h", 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"))
+    last = _last_dev_rows(narrow, dev_size)
+    # one row per class: a size bound that does not grow with the data
+    out = keyed.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__label")), "left")
+    dev = F.struct(F.col("__h"), F.col(id_col).alias("id")) <= F.col("__last")
+    return out.select(F.col(id_col).alias("id"), F.col(label).alias("label"),
+                      F.when(F.coalesce(dev, F.lit(False)), "dev").otherwise("train").alias("split"), *keep)
+
+
+def _last_dev_rows(narrow: DataFrame, dev_size: float) -> DataFrame:
+    """``(__label, __last)``: per label (null is one) the last ``(h, id)`` of dev in hash
+    order.  Reads ids and labels only: bucket counts find the boundary bucket, its
+    rows alone are ranked."""
+    bucket_counts = narrow.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    quotas = split_quotas(bucket_counts.groupBy("label").agg(F.sum("cnt").alias("n_c")), dev_size)
+    quotas = quotas.select(F.col("label").alias("q_label"), "dev_quota")
     w = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (bucket_counts.join(quotas.select("label", "dev_quota"), "label")
+    cum = (bucket_counts.join(F.broadcast(quotas), F.col("label").eqNullSafe(F.col("q_label")))
            .withColumn("cum_incl", F.sum("cnt").over(w)))
-    boundary = (cum.where(F.col("cum_incl") >= F.col("dev_quota"))
-                .groupBy("label", "dev_quota")
+    boundary = (cum.where((F.col("dev_quota") > 0) & (F.col("cum_incl") >= F.col("dev_quota")))
+                .groupBy("q_label", "dev_quota")
                 .agg(F.min_by(F.struct("bucket", (F.col("cum_incl") - F.col("cnt")).alias("before")),
                               F.col("bucket")).alias("b"))
-                .select("label",
-                        F.col("b.bucket").alias("b_star"),
-                        (F.col("dev_quota") - F.col("b.before")).alias("need")))
-    # one row per class: a size bound that does not grow with the data
-    tagged = base.join(F.broadcast(boundary), "label", "left").withColumn(
-        "pos", F.when(F.col("b_star").isNull(), F.lit(1))
-        .when(F.col("bucket") < F.col("b_star"), F.lit(-1))
-        .when(F.col("bucket") > F.col("b_star"), F.lit(1))
-        .otherwise(F.lit(0)))
-    decided = tagged.where(F.col("pos") != 0).select(
-        "id", "label", F.when(F.col("pos") < 0, "dev").otherwise("train").alias("split"), *keep)
+                .select("q_label", F.col("b.bucket").alias("b_star"), (F.col("dev_quota") - F.col("b.before")).alias("need")))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
-    edge = (tagged.where(F.col("pos") == 0)
-            .withColumn("r", rank)
-            .select("id", "label", F.when(F.col("r") <= F.col("need"), "dev").otherwise("train").alias("split"),
-                    *keep))
-    return decided.unionByName(edge)
+    edge = (narrow.join(F.broadcast(boundary), F.col("label").eqNullSafe(F.col("q_label")) & (F.col("bucket") == F.col("b_star")))
+            .withColumn("r", rank).where(F.col("r") == F.col("need")))
+    return edge.select(F.col("label").alias("__label"), F.struct(F.col("h").alias("__h"), "id").alias("__last"))
 
 
 def stratified_split_window(df: DataFrame, dev_size: float = 0.15, seed: int = 42,
@@ -100,12 +98,13 @@ def stratified_split_window(df: DataFrame, dev_size: float = 0.15, seed: int = 4
                     .otherwise("train").alias("split")))
 
 
-def sample_split(df: DataFrame, dev_size: float = 0.15, seed: int = 42,
-                 label: str = "label", labels=(0, 1)) -> DataFrame:
-    """SP2: approximate stratified split with ``sampleBy`` (cheap, inexact)."""
-    dev = df.sampleBy(label, {lab: dev_size for lab in labels}, seed).select("id").withColumn("split", F.lit("dev"))
-    return (df.select("id", label).join(dev, "id", "left")
-            .select("id", label, F.coalesce("split", F.lit("train")).alias("split")))
+def sample_split(df: DataFrame, dev_size: float = 0.15, seed: int = 42, label: str = "label") -> DataFrame:
+    """SP2: approximate stratified split (cheap, inexact): dev are the rows whose
+    hash lies in the first ``dev_size`` of its range, in every label alike.  The
+    result does not depend on how the rows lie in partitions."""
+    cut = f"{int(dev_size * 2 ** 32):08x}"
+    dev = F.substring(hash_key(F.col("id"), seed), 1, 8) < cut
+    return df.select("id", label, F.when(dev, "dev").otherwise("train").alias("split"))
 
 
 def select_split(df: DataFrame, splits: DataFrame, which: str, key: str = "id") -> DataFrame:

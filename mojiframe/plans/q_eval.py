@@ -97,8 +97,8 @@ def _train_sql() -> str:
 
 
 def train_rows(spark, sf):
-    c = T.corpus(spark, sf)
-    return SP.select_split(c, SP.stratified_split(c, DEV_SIZE, SEED), "train")
+    """The training rows' ids and labels, straight from the split."""
+    return SP.stratified_split(T.corpus(spark, sf), DEV_SIZE, SEED).where(F.col("split") == "train")
 
 
 @register("g14_class_weight", lambda: (
@@ -167,7 +167,28 @@ def m15_weighted_ce(spark, sf):
 
 
 # epochs = the five runs read as five epochs of one training ------
-@register("g19_best_epoch")
+def _best_epoch_sql(patience: int | None) -> str:
+    """The running rule as a recursive walk over the epochs."""
+    from mojiframe.sources.tables import N_RUNS, PRED_A, PRED_B
+
+    p = f"(CAST(((c.id * {PRED_A} + e * {PRED_B}) % 1000) AS DOUBLE) / 1000.0)"
+    stop = f"s.bad + 1 >= {patience}" if patience is not None else "false"
+    better = "NOT s.stopped AND m.macro_f1 > s.best + 1e-6"
+    return (f"WITH RECURSIVE ep AS (SELECT e AS epoch, {S.CONFUSION_SQL} FROM ("
+            f"SELECT e, c.label AS y_true, CAST({p} >= 0.5 AS INTEGER) AS y_pred FROM ({S.corpus_sql()}) c, "
+            f"(SELECT unnest(range(1, {N_RUNS + 1})) AS e)) GROUP BY e), "
+            f"m AS (SELECT epoch, {S.metrics_sql()} FROM ep), "
+            f"s AS (SELECT CAST(0 AS BIGINT) AS epoch, CAST(-1e300 AS DOUBLE) AS best, CAST(NULL AS BIGINT) AS best_epoch, 0 AS bad, "
+            f"false AS stopped, CAST(NULL AS BIGINT) AS stop_epoch UNION ALL "
+            f"SELECT m.epoch, CASE WHEN {better} THEN m.macro_f1 ELSE s.best END, CASE WHEN {better} THEN m.epoch ELSE s.best_epoch END, "
+            f"CASE WHEN s.stopped THEN s.bad WHEN {better} THEN 0 ELSE s.bad + 1 END, "
+            f"s.stopped OR (NOT ({better}) AND {stop}), "
+            f"CASE WHEN NOT s.stopped AND NOT ({better}) AND {stop} THEN m.epoch ELSE s.stop_epoch END "
+            f"FROM s JOIN m ON m.epoch = s.epoch + 1) "
+            f"SELECT 'training' AS run, best_epoch, best AS best_score, stop_epoch FROM s ORDER BY epoch DESC LIMIT 1")
+
+
+@register("g19_best_epoch", lambda: _best_epoch_sql(None))
 def g19_best_epoch(spark, sf):
     p = T.with_runs(T.corpus(spark, sf)).withColumn("y_true", F.col("label")) \
         .withColumn("p", T.prediction_p(F.col("id"), F.col("run_no"))) \
@@ -177,7 +198,7 @@ def g19_best_epoch(spark, sf):
     return M.best_epoch(ep, "run", "epoch", "macro_f1")
 
 
-@register("g20_early_stop")
+@register("g20_early_stop", lambda: _best_epoch_sql(2))
 def g20_early_stop(spark, sf):
     p = T.with_runs(T.corpus(spark, sf)).withColumn("y_true", F.col("label")) \
         .withColumn("p", T.prediction_p(F.col("id"), F.col("run_no"))) \
@@ -214,9 +235,10 @@ def w3_emoji_slice(spark, sf):
                   ") WHERE fusion_mode = 'gated' AND text_col = 'x_text')")))
 def w6_select_run(spark, sf):
     cfg = RN.run_config(spark).where((F.col("fusion_mode") == "gated") & (F.col("text_col") == "x_text"))
-    if cfg.count() != 1:  # one config row per run: tiny, bounded
-        raise ValueError("run selector must match exactly one run")
-    chosen = preds(spark, sf).join(F.broadcast(cfg.select("run")), "run", "left_semi")
+    # the plan itself fails unless exactly one run matches
+    one = cfg.agg(F.count(F.lit(1)).alias("n"), F.max("run").alias("run")).select(
+        F.when(F.col("n") == 1, F.col("run")).otherwise(F.raise_error(F.lit("run selector must match exactly one run"))).alias("run"))
+    chosen = preds(spark, sf).join(F.broadcast(one), "run", "left_semi")
     return M.compute_metrics(chosen)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mojiframe.operators import errors as ER
@@ -10,6 +12,7 @@ from mojiframe.operators import reports as R
 from mojiframe.plans import sqltext as S
 from mojiframe.plans.catalog import register
 from mojiframe.plans.q_eval import _dev_emoji_ids_sql, _metrics_body, _w, dev_emoji_ids, preds
+from mojiframe.session import checkpoint_dir
 from mojiframe.sources import runs as RN
 from mojiframe.sources import tables as T
 
@@ -52,16 +55,21 @@ def _inputs(spark, sf):
 
 @register("l1_sorted_errors", lambda: _ranked_sql(None, None))
 def l1_sorted_errors(spark, sf):
-    # every error ranked (k larger than any run): the full L1 ordering
-    return ER.top_errors(preds(spark, sf), k=1 << 30, k_emoji=1 << 30, columns=_ERR_COLS,
-                         inputs=_inputs(spark, sf))
+    """Every error ranked: the full L1 ordering."""
+    checkpoint_dir(spark)
+    return ER.sorted_errors(preds(spark, sf), columns=_ERR_COLS, inputs=_inputs(spark, sf))
 
 
 @register("l2_top_errors", lambda: _ranked_sql(50, 25))
 def l2_top_errors(spark, sf):
     """R2: the four error tables of every run, top 50 / top 25 with emoji."""
-    return ER.top_errors(preds(spark, sf), k=50, k_emoji=25, columns=_ERR_COLS,
-                         inputs=_inputs(spark, sf))
+    from mojiframe.operators.variants import add_variants
+
+    def variants(df):  # of the few rows that are left
+        return add_variants(df.drop("has_emoji")) if "has_emoji" in df.columns else add_variants(df)
+
+    return ER.top_errors(preds(spark, sf), k=50, k_emoji=25, columns=_ERR_COLS, derive=variants,
+                         inputs=T.corpus(spark, sf).select("id", "text"))
 
 
 def _by_slice(spark, sf):
@@ -197,7 +205,17 @@ def s08_discover_runs(spark, sf):
     return RN.discover_runs(cfg, F.coalesce(F.col("has_ckpt"), F.lit(False)), only_seed=43).select("run", "seed")
 
 
-@register("s09_config_roundtrip")
+def _s09_sql() -> str:
+    from mojiframe.plans.q_eval import _train_sql
+    from mojiframe.sources.runs import SHARED
+
+    return (f"SELECT r.run, '{SHARED['pretrained']}' AS pretrained, r.fusion_mode, r.text_col, '{SHARED['emoji_col']}' AS emoji_col, "
+            f"{SHARED['max_len']} AS max_len, {SHARED['batch_size']} AS batch_size, CAST({SHARED['lr']!r} AS DOUBLE) AS lr, "
+            f"{SHARED['epochs']} AS epochs, {SHARED['seed']} AS seed, n0, n1, 0 AS n_unknown FROM ({S.runs_sql()}) r, "
+            f"(SELECT count_if(label = 0) AS n0, count_if(label = 1) AS n1 FROM ({_train_sql()})) c")
+
+
+@register("s09_config_roundtrip", _s09_sql)
 def s09_config_roundtrip(spark, sf):
     """K5 + S9: per-run config documents written as JSON (with the train
     label counts of the data) and parsed back into typed columns."""
@@ -211,4 +229,9 @@ def s09_config_roundtrip(spark, sf):
         F.col("run").alias("run_name"), "pretrained", "fusion_mode", "text_col", "emoji_col",
         "max_len", "batch_size", F.format_string("%.0e", "lr").alias("lr"), "epochs", "seed",
         F.create_map(F.lit("0"), n0, F.lit("1"), n1).alias("train_label_counts"))).alias("raw"))
-    return RN.parse_configs(raw).drop("raw")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/run_configs-{uuid.uuid4().hex}"
+    raw.write.text(path)
+    parsed = RN.parse_configs(spark.read.text(path).withColumnRenamed("value", "raw"))
+    return parsed.select("run", "pretrained", "fusion_mode", "text_col", "emoji_col", "max_len", "batch_size", "lr", "epochs", "seed",
+                         F.col("train_label_counts")["0"].alias("n0"), F.col("train_label_counts")["1"].alias("n1"),
+                         F.size("unknown_fields").alias("n_unknown"))

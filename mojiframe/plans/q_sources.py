@@ -51,7 +51,6 @@ def st1_stream_variants(spark, sf):
     from mojiframe.streaming.variants_stream import document_stream, start_to_parquet, variants_stream
 
     out, ck = _scratch(spark, "stream_out"), _scratch(spark, "stream_ckpt")
-    cores = spark.sparkContext.defaultParallelism
-    q = start_to_parquet(variants_stream(document_stream(spark, sf), spread_to=cores), out, ck)
+    q = start_to_parquet(variants_stream(document_stream(spark, sf)), out, ck)
     q.awaitTermination()
     return spark.read.parquet(out)

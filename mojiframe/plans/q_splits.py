@@ -33,7 +33,9 @@ def sp1_stratified_split(spark, sf):
     return SP.stratified_split(T.corpus(spark, sf), DEV_SIZE, SEED)
 
 
-@register("sp2_sample_split")
+@register("sp2_sample_split", lambda: (
+    f"SELECT id, label, CASE WHEN substr(md5(concat_ws('-', '{SEED}', CAST(id AS VARCHAR))), 1, 8) < "
+    f"'{int(DEV_SIZE * 2 ** 32):08x}' THEN 'dev' ELSE 'train' END AS split FROM ({S.corpus_sql()})"))
 def sp2_sample_split(spark, sf):
     return SP.sample_split(T.corpus(spark, sf), DEV_SIZE, SEED)
 

@@ -104,11 +104,57 @@ def write_splits(splits: DataFrame, path: str, seed: int, dev_size: float, test_
         .write.mode(mode).json(f"{path}/manifest")
 
 
-def write_predictions(preds: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K3: ``(run, id, y_true, y_pred, p)`` partitioned by run; K6 refuses to
-    overwrite by default (``errorifexists``); K7 ``ignore`` keeps old runs."""
-    (preds.select("run", "id", "y_true", "y_pred", "p")
-     .write.mode(mode).partitionBy("run").parquet(path))
+def stored_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The runs that ``path`` holds (one row each), None if there is no table."""
+    df = _read_or_none(lambda: spark.read.parquet(path))
+    return None if df is None else df.select("run").distinct()
+
+
+def _read_or_none(read):
+    """A read whose path may be missing; any other failure is an error."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def append_runs(df: DataFrame, path: str, existing: str = "error") -> None:
+    """Append rows to a table partitioned by ``run``.  Runs that are there already
+    are never overwritten: ``existing="error"`` refuses the whole write (K6),
+    ``existing="keep"`` writes only the runs that are new (K7)."""
+    if existing not in ("error", "keep"):
+        raise ValueError(f"existing is 'error' or 'keep', not {existing!r}")
+    old = stored_runs(df.sparkSession, path)
+    if old is not None:
+        if existing == "error":
+            both = df.select("run").distinct().join(old, "run", "left_semi").limit(3).collect()
+            if both:
+                raise FileExistsError(f"{path} already holds {', '.join(sorted(r.run for r in both))}")
+        else:
+            df = df.join(old, "run", "left_anti")
+    df.write.mode("append").partitionBy("run").parquet(path)
+
+
+def write_predictions(preds: DataFrame, path: str, existing: str = "error") -> None:
+    """K3: ``(run, id, y_true, y_pred, p)`` partitioned by run (see ``append_runs``)."""
+    append_runs(preds.select("run", "id", "y_true", "y_pred", "p"), path, existing)
+
+
+def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K9: error tables partitioned by run and kind."""
+    errors.write.mode(mode).partitionBy("run", "kind").parquet(path)
+
+
+def write_leaderboard(board: DataFrame, expected: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K8: the leaderboard as JSON lines, and beside it a table of warnings with a
+    row for each expected run that has no place on it."""
+    board.write.mode(mode).json(f"{path}/leaderboard")
+    lost = expected.select("run").distinct().join(board.select(F.col("run_folder").alias("run")), "run", "left_anti")
+    lost.select("run", F.lit("no metrics or config").alias("warning")).write.mode(mode).json(f"{path}/warnings")
 
 
 def read_predictions(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
@@ -129,15 +175,10 @@ def write_json_table(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON documents of many runs; a missing folder is an empty table."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        r = spark.read.schema(schema) if schema is not None else spark.read
-        return r.json(path)
-    except AnalysisException:
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
+    if schema is None:
+        return spark.read.json(path)
+    df = _read_or_none(lambda: spark.read.schema(schema).json(path))
+    return spark.createDataFrame([], schema) if df is None else df
 
 
 def write_variants(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:

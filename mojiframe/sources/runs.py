@@ -19,6 +19,9 @@ RUNS = [
 SHARED = {"pretrained": "roberta-base", "emoji_col": "x_emoji", "max_len": 128,
           "batch_size": 16, "lr": 2e-5, "epochs": 4, "seed": 43}
 FUSION_MODES = ("text_only", "emoji_only", "concat", "gated")
+KNOWN_CONFIG_FIELDS = ["run_name", "pretrained", "fusion_mode", "text_col", "emoji_col",
+                       "max_len", "batch_size", "lr", "epochs", "seed", "best_dev_macro_f1",
+                       "train_label_counts"]
 # --- end of fixed values ----------------------------------------------------
 
 CONFIG_SCHEMA = T.StructType([
@@ -74,30 +77,22 @@ def discover_runs(configs: DataFrame, has_checkpoint: Column | None = None,
     return configs.where(cond).orderBy("run")
 
 
-KNOWN_CONFIG_FIELDS = ["run_name", "pretrained", "fusion_mode", "text_col", "emoji_col",
-                       "max_len", "batch_size", "lr", "epochs", "seed", "best_dev_macro_f1",
-                       "train_label_counts"]
-
-
-def parse_configs(raw: DataFrame, json_col: str = "raw") -> DataFrame:
+def parse_configs(raw: DataFrame, json_col: str = "raw", strict: bool = True) -> DataFrame:
     """JSON config documents -> typed columns.  Numeric strings such as
-    ``"2e-5"`` are cast; fields outside the schema are listed in
-    ``unknown_fields`` (empty array = valid)."""
+    ``"2e-5"`` are cast.  A field outside the schema fails the query by name
+    (``strict``), or is only listed in ``unknown_fields``."""
     j = F.col(json_col)
-    keys = F.json_object_keys(j)
     get = lambda k: F.get_json_object(j, f"$.{k}")
+    number = lambda k, kind: get(k).try_cast(kind).alias(k)
+    unknown = F.array_except(F.json_object_keys(j), F.array(*[F.lit(k) for k in KNOWN_CONFIG_FIELDS]))
+    if strict:
+        unknown = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown config fields: "), F.array_join(unknown, ", ")))
+                         .cast("array<string>")).otherwise(unknown)
     return raw.select(
-        "*",
-        get("run_name").alias("run"),
-        get("fusion_mode").alias("fusion_mode"),
-        get("text_col").alias("text_col"),
-        F.expr(f"try_cast(get_json_object({json_col}, '$.max_len') AS INT)").alias("max_len"),
-        F.expr(f"try_cast(get_json_object({json_col}, '$.batch_size') AS INT)").alias("batch_size"),
-        F.expr(f"try_cast(get_json_object({json_col}, '$.lr') AS DOUBLE)").alias("lr"),
-        F.expr(f"try_cast(get_json_object({json_col}, '$.epochs') AS INT)").alias("epochs"),
-        F.expr(f"try_cast(get_json_object({json_col}, '$.seed') AS INT)").alias("seed"),
-        F.array_except(keys, F.array(*[F.lit(k) for k in KNOWN_CONFIG_FIELDS])).alias("unknown_fields"),
-    )
+        "*", get("run_name").alias("run"), get("pretrained").alias("pretrained"), get("fusion_mode").alias("fusion_mode"),
+        get("text_col").alias("text_col"), get("emoji_col").alias("emoji_col"), number("max_len", "int"), number("batch_size", "int"),
+        number("lr", "double"), number("epochs", "int"), number("seed", "int"), number("best_dev_macro_f1", "double"),
+        F.from_json(get("train_label_counts"), "map<string,bigint>").alias("train_label_counts"), unknown.alias("unknown_fields"))
 
 
 def with_fallbacks(df: DataFrame, field: str, ckpt_col: str, cfg_col: str, default) -> DataFrame:

@@ -62,8 +62,10 @@ N_RUNS = 5
 # --- end of fixed values ----------------------------------------------------
 
 
-# Tables with heavy per-row work (long text, vectors): worth spreading when
-# the scan is narrow.
+# Session setting, unset by default: deal the rows of the tables with heavy
+# per-row work (long text, vectors) to this many partitions after the scan.
+# The bench sets it, as its files have one row group and would read as one task.
+READ_PARTITIONS = "spark.mojiframe.readPartitions"
 TEXT_TABLES = {"documents", "conversations", "pages", "embeddings"}
 
 
@@ -72,17 +74,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has cores
-    (a parquet file with one row group reads as one task).  On a large input
-    the scan already has many more splits than cores and this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    parts = spark.conf.get(READ_PARTITIONS, None) if name in TEXT_TABLES else None
+    return df.repartition(int(parts)) if parts else df
 
 
 def emoji_suffix(id_col: Column) -> Column:
