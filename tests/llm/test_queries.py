@@ -3,8 +3,6 @@ on the smallest generated tables, against plain versions."""
 
 import base64
 import hashlib
-import os
-import sys
 from collections import Counter
 
 import duckdb
@@ -14,8 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from mojiframe.llm import catalog, ngramlm
 
-sys.path.insert(0, os.path.dirname(__file__))
-import brute  # noqa: E402
+from . import brute
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES = catalog.queries()
