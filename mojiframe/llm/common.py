@@ -40,14 +40,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost
     executors.  The shuffle files behind it are of no more use and go."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -55,10 +55,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
+def release(*tables: DataFrame, part: str = "") -> None:
+    """Delete materialised tables (or one partition of them) that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{t.scratch}/{part}" if part else t.scratch)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

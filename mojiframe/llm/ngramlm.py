@@ -5,9 +5,11 @@ The model (order k, tokens ``w``, context ``x`` of k - 1 tokens, ``x'`` without
 its first):
 
     p1(w)   = (c(w) + 1) / (N + V + 1)
-    pk(w|x) = (c(xw) + mu * q(p(k-1)(w|x'))) / (c(x) + mu)    if c(x) >= min_context
-            = p(k-1)(w|x')                                    otherwise
+    pk(w|x) = (c(xw) + m(x) * q(p(k-1)(w|x'))) / (c(x) + m(x))    if c(x) >= min_context
+            = p(k-1)(w|x')                                        otherwise
+    m(x)    = mu * c(x) ** POWER
 
+m(x) stands for the number of kinds of words after x, which grows nearly as its count.
 ``c`` counts over all training texts; q rounds log10 p to 1/4096.  A text starts
 in a context of its own (its first token has no longer one).  The score is the
 sum of the rounded log10 p of all tokens and the end.
@@ -46,7 +48,8 @@ from mojiframe.llm.words import SPACE_WORDS, mix, split
 
 ORDER = 3
 MU = 2.0
-MIN_CONTEXT = 2
+POWER = 0.9
+MIN_CONTEXT = 8
 STEP = 1 / 4096
 CHUNK_BYTES = 8 << 20
 MISSING = 0xFFFF
@@ -94,8 +97,14 @@ def unquantise(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (code * -STEP)
 
 
+def backing(total: np.ndarray, mu: float) -> np.ndarray:
+    """The weight of the shorter context."""
+    return mu * total ** POWER
+
+
 def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """chunk, ids, stream (token offsets and places in the word list), words (hashes and training counts)."""
+    """Two rows a chunk: part ``stream`` (ids; token counts, training flags and each
+    token's place in the word list) and part ``words`` (hashes and training counts)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +126,13 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
                 place[by] = np.arange(len(by))
                 trained = np.bincount(inverse, weights=np.repeat(learn, np.diff(first)), minlength=len(seen)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk]), pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)),
-                    pa.array([pack(_small(np.diff(first)), learn.astype(np.uint8), _small(place[inverse]))], pa.binary()),
-                    pa.array([pack(seen[by], _small(trained[by]))], pa.binary())], names=["chunk", "ids", "stream", "words"])
+                    pa.array([chunk, chunk]), pa.array([b.column(0).to_pylist(), None], pa.list_(b.column(0).type)),
+                    pa.array([pack(_small(np.diff(first)), learn.astype(np.uint8), _small(place[inverse])), pack(seen[by], _small(trained[by]))], pa.binary()),
+                    pa.array(["stream", "words"])], names=["chunk", "ids", "data", "part"])
                 chunk += 1
 
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), train.alias("train"))
-    return d.mapInArrow(run, f"chunk long, ids array<{kind}>, stream binary, words binary")
+    return d.mapInArrow(run, f"chunk long, ids array<{kind}>, data binary, part string")
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -144,15 +153,15 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
                      pa.array([r[2] for r in rows], pa.binary())], names=["shard", "chunk", "data"])
 
 
-def count_words(chunks: DataFrame, shards: int) -> DataFrame:
-    """Answers (shard, chunk, data: numbers and counts of the words sent); the row of
-    chunk -1 has the shard's count of tokens and of words."""
+def count_words(words: DataFrame, shards: int) -> DataFrame:
+    """Answers (shard, chunk, data: places, numbers and counts of the words sent); the
+    row of chunk -1 has the shard's count of tokens and of words."""
 
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
                 h, count = unpack(b.column(1)[i].as_py())
-                yield _rows(list(_deal(b.column(0)[i].as_py(), _shard(h, shards), shards, lambda r: (h[r], count[r])))).to_batches()[0]
+                yield _rows(list(_deal(b.column(0)[i].as_py(), _shard(h, shards), shards, lambda r: (h[r], count[r], _small(r))))).to_batches()[0]
 
     def answer(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
@@ -165,19 +174,18 @@ def count_words(chunks: DataFrame, shards: int) -> DataFrame:
         for g, chunk in zip(got, t.column("chunk").to_pylist()):
             i = inverse[at:at + len(g[0])]
             at += len(i)
-            out.append((shard, chunk, pack(_small(number[i]), _small(count[i]))))
+            out.append((shard, chunk, pack(g[2], _small(number[i]), _small(count[i]))))
         return _rows(out)
 
-    asked = chunks.select("chunk", "words").mapInArrow(ask, "shard long, chunk long, data binary")
+    asked = words.select("chunk", "data").mapInArrow(ask, "shard long, chunk long, data binary")
     return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, data binary")
 
 
 class Chunk:
     """What a chunk knows of its tokens, order by order."""
 
-    def __init__(self, stream: bytes, words: bytes, tokens: int, types: int, mu: float, min_context: int, shards: int):
+    def __init__(self, stream: bytes, tokens: int, types: int, mu: float, min_context: int, shards: int):
         size, self.learn, self.place = unpack(stream)
-        self.hash = unpack(words)[0]
         self.place = self.place.astype(np.int64)
         self.size = size.astype(np.int64)
         self.first = np.append(0, np.cumsum(self.size))
@@ -187,7 +195,10 @@ class Chunk:
 
     def words(self, answers: list[tuple[int, bytes]]) -> None:
         """Take in the first order."""
-        number, count = self._place_back(_shard(self.hash, self.shards), answers, 2)
+        place, number, count = (np.concatenate(x).astype(np.int64) for x in zip(*[unpack(data) for _, data in answers]))
+        order = np.argsort(place)
+        number, count = number[order], count[order]
+        self.n_words = len(number)
         self.word, self.base_count = number[self.place], count[self.place]
         self.base = np.log10((self.base_count + 1) / (self.tokens + self.types + 1))
         self.code = quantise((self.base_count + 1) / (self.tokens + self.types + 1))
@@ -221,7 +232,7 @@ class Chunk:
         self.live = (self.context > 0) & (self.context_count >= self.min_context)
         pos = np.flatnonzero(self.live & (self.word > 0))
         c = np.unique(self.context[pos], return_inverse=True)
-        key = c[1] * len(self.hash) + self.place[pos]
+        key = c[1] * self.n_words + self.place[pos]
         grams, where, inverse = np.unique(key, return_index=True, return_inverse=True)
         self.pos, self.gram_at, self.inverse = pos, pos[where], inverse
         self.trained = np.bincount(inverse, weights=self.learn[self.doc[pos]], minlength=len(grams)).astype(np.int64)
@@ -244,7 +255,9 @@ class Chunk:
         """The probabilities, numbers and counts of the order asked for."""
         number, count, code = self._place_back(self.shard, answers, 3)
         lower = unquantise(self.code)
-        unseen = quantise(self.mu * lower / (self.context_count + self.mu))
+        total = np.maximum(self.context_count, 1)
+        spread = backing(total, self.mu)
+        unseen = quantise(spread * lower / (total + spread))
         new = np.where(self.live, unseen, self.code)
         got = code[self.inverse]
         new[self.pos] = np.where(got == MISSING, new[self.pos], got)
@@ -259,7 +272,7 @@ def _gathered(t: pa.Table, stats: tuple[int, int], mu: float, min_context: int,
     """A chunk with all its answers taken in."""
     level = np.array(t.column("level").to_pylist())
     own = int(np.flatnonzero(level == 0)[0])
-    c = Chunk(t.column("data")[own].as_py(), t.column("words")[own].as_py(), *stats, mu, min_context, shards)
+    c = Chunk(t.column("data")[own].as_py(), *stats, mu, min_context, shards)
     for k in range(1, int(level.max()) + 1 if len(level) else 1):
         got = [(t.column("shard")[int(i)].as_py(), t.column("data")[int(i)].as_py()) for i in np.flatnonzero(level == k)]
         if k == 1:
@@ -272,10 +285,10 @@ def _gathered(t: pa.Table, stats: tuple[int, int], mu: float, min_context: int,
 
 def _with_answers(chunks: DataFrame, answers: list[DataFrame], ids: bool) -> DataFrame:
     kind = chunks.schema["ids"].dataType
-    all_rows = chunks.select(F.lit(0).alias("level"), "chunk", F.lit(0).cast("long").alias("shard"), F.col("stream").alias("data"), "words",
+    all_rows = chunks.select(F.lit(0).alias("level"), "chunk", F.lit(0).cast("long").alias("shard"), "data",
                              F.col("ids") if ids else F.lit(None).cast(kind).alias("ids"))
     for k, a in enumerate(answers, 1):
-        all_rows = all_rows.union(a.where("chunk >= 0").select(F.lit(k), "chunk", "shard", "data", F.lit(None).cast("binary"), F.lit(None).cast(kind)))
+        all_rows = all_rows.union(a.where("chunk >= 0").select(F.lit(k), "chunk", "shard", "data", F.lit(None).cast(kind)))
     return all_rows.groupBy("chunk")
 
 
@@ -299,7 +312,8 @@ def count_grams(chunks: DataFrame, answers: list[DataFrame], stats: tuple[int, i
         _, where, inverse = np.unique(ci * len(wu) + wi, return_index=True, return_inverse=True)
         count = np.bincount(inverse, weights=trained).astype(np.int64)
         w = where[count > 0]
-        codes = quantise((count[count > 0] + mu * unquantise(lower[w])) / (total[w] + mu))
+        spread = backing(total[w], mu)
+        codes = quantise((count[count > 0] + spread * unquantise(lower[w])) / (total[w] + spread))
         trie = TrieLevel.mapped(TrieLevel.build(context[w], short[w], word[w], codes)[0].to_bytes())
         at = trie.find(context[where], short[where], word[where])
         code = np.where(at >= 0, trie.codes[at], MISSING).astype(np.uint16) if len(trie.codes) else np.full(len(at), MISSING, np.uint16)
@@ -323,8 +337,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    chunks = materialise(make_chunks(docs, id_col, text_col, train), "chunks")
-    answers = [materialise(count_words(chunks, shards), "words")]
+    made = materialise(make_chunks(docs, id_col, text_col, train), "chunks", by="part")
+    chunks, words = made.where("part = 'stream'"), made.where("part = 'words'")
+    answers = [materialise(count_words(words, shards), "words")]
+    release(made, part="part=words")  # the hashes are numbers from here on
     own = answers[0].where("chunk = -1").select("data").toArrow().column(0)  # two numbers a shard
     stats = tuple(int(x) for x in np.sum([unpack(x.as_py())[0] for x in own], axis=0)) if len(own) else (0, 0)
     for k in range(2, order + 1):
@@ -339,7 +355,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     out = materialise(_with_answers(chunks, answers, True).applyInArrow(
         finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-    release(chunks, *answers)
+    release(made, *answers)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -82,7 +82,7 @@ def jaccard(docs, n=3, num=90, den=100):
 class Lm:
     """The model of ngramlm, from plain counters."""
 
-    def __init__(self, docs, train, order, mu, min_context, step):
+    def __init__(self, docs, train, order, mu, power, min_context, step):
         self.texts = [space_words(t) + ["\n"] for _, t in docs]
         self.c = [Counter() for _ in range(order + 1)]
         for w, learn in zip(self.texts, train):
@@ -93,7 +93,7 @@ class Lm:
         self.n, self.v = sum(self.c[1].values()), len(self.c[1])
         self.context = Counter(self.c[1])
         self.context[(" ",)] = sum(map(bool, train))
-        self.order, self.mu, self.min_context, self.step = order, mu, min_context, step
+        self.order, self.mu, self.power, self.min_context, self.step = order, mu, power, min_context, step
 
     def code(self, x, w):
         q = lambda p: min(round(-math.log10(p) / self.step), 65534)
@@ -103,7 +103,8 @@ class Lm:
         total = self.context[x] if len(x) == 1 else self.c[len(x)][x]
         if total < self.min_context:
             return lower
-        return q((self.c[len(x) + 1][(*x, w)] + self.mu * 10 ** (-lower * self.step)) / (total + self.mu))
+        m = self.mu * total ** self.power
+        return q((self.c[len(x) + 1][(*x, w)] + m * 10 ** (-lower * self.step)) / (total + m))
 
     def rows(self):
         for w in self.texts:

@@ -91,7 +91,7 @@ def test_language_model(spark, edge, read, order):
     from mojiframe.llm.common import crc_mod
 
     docs = read(edge, "documents", "doc_id", "text")
-    lm = brute.Lm(docs, [brute.crc_mod(i, 7) not in (None, 2) for i, _ in docs], order, ngramlm.MU, ngramlm.MIN_CONTEXT, ngramlm.STEP)
+    lm = brute.Lm(docs, [brute.crc_mod(i, 7) not in (None, 2) for i, _ in docs], order, ngramlm.MU, ngramlm.POWER, ngramlm.MIN_CONTEXT, ngramlm.STEP)
     want = sorted(((i, *r) for (i, _), r in zip(docs, lm.rows())), key=key)
     got = ngramlm.score_texts(spark.read.parquet(f"{edge}/documents.parquet"), crc_mod(F.col("doc_id"), 7) != 2, order=order)
     got = sorted((tuple(r) for r in got.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
@@ -100,6 +100,12 @@ def test_language_model(spark, edge, read, order):
         assert a[5] == pytest.approx(b[5], abs=2 * ngramlm.STEP * a[1] ** 0.5)  # a rounding may fall either way
 
 
+def test_language_model_beats_unigrams_on_held_out_texts(spark):
+    rows = result(spark, "op3_ngram_lm", "/root/testdata/sf0.01", "held_out", "n_tokens", "base_score", "score")
+    n, base, score = (sum(r[k] for r in rows if r[0]) for k in (1, 2, 3))
+    assert score / n > base / n + 0.1
+
+
 def test_warc(spark, edge, read):
     pages = read(edge, "pages", "page_id", "html")
     first = {}
