@@ -85,6 +85,101 @@ SHORT_NAME_OVERRIDES = {
     "\U0001f5a4": "black_heart",
     "\U0001f1ec\U0001f1e7": "United_Kingdom",
     "\U0001f1fa\U0001f1f8": "United_States",
+    "\U0001f1eb\U0001f1f7": "France",
+    "\U0001f1e9\U0001f1ea": "Germany",
+    "\U0001f1ea\U0001f1f8": "Spain",
+    "\U0001f1ee\U0001f1f9": "Italy",
+    "\U0001f1ef\U0001f1f5": "Japan",
+    "\U0001f1e8\U0001f1f3": "China",
+    "\U0001f1e8\U0001f1e6": "Canada",
+    "\U0001f1e7\U0001f1f7": "Brazil",
+    "\U0001f1ee\U0001f1f3": "India",
+    "\U0001f1ee\U0001f1ea": "Ireland",
+    "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f": "England",
+    "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f": "Scotland",
+    "\U0001f3f4\U000e0067\U000e0062\U000e0077\U000e006c\U000e0073\U000e007f": "Wales",
+    "\u2b50": "star",
+    "\u2600": "sun",
+    "\u2601": "cloud",
+    "\u2614": "umbrella_with_rain_drops",
+    "\u2615": "hot_beverage",
+    "\u2639": "frowning_face",
+    "\u2660": "spade_suit",
+    "\u2663": "club_suit",
+    "\u2665": "heart_suit",
+    "\u2666": "diamond_suit",
+    "\u26a1": "high_voltage",
+    "\u26bd": "soccer_ball",
+    "\u270a": "raised_fist",
+    "\u270b": "raised_hand",
+    "\u2728": "sparkles",
+    "\u2753": "red_question_mark",
+    "\u2757": "red_exclamation_mark",
+    "\u27a1": "right_arrow",
+    "\u2b05": "left_arrow",
+    "\u2640": "female_sign",
+    "\u2642": "male_sign",
+    "\U0001f30d": "globe_showing_Europe-Africa",
+    "\U0001f31e": "sun_with_face",
+    "\U0001f31f": "glowing_star",
+    "\U0001f338": "cherry_blossom",
+    "\U0001f355": "pizza",
+    "\U0001f37a": "beer_mug",
+    "\U0001f37b": "clinking_beer_mugs",
+    "\U0001f381": "wrapped_gift",
+    "\U0001f382": "birthday_cake",
+    "\U0001f389": "party_popper",
+    "\U0001f3c6": "trophy",
+    "\U0001f3f3": "white_flag",
+    "\U0001f3f4": "black_flag",
+    "\U0001f414": "chicken",
+    "\U0001f436": "dog_face",
+    "\U0001f431": "cat_face",
+    "\U0001f440": "eyes",
+    "\U0001f446": "backhand_index_pointing_up",
+    "\U0001f447": "backhand_index_pointing_down",
+    "\U0001f448": "backhand_index_pointing_left",
+    "\U0001f449": "backhand_index_pointing_right",
+    "\U0001f44a": "oncoming_fist",
+    "\U0001f450": "open_hands",
+    "\U0001f480": "skull",
+    "\U0001f494": "broken_heart",
+    "\U0001f495": "two_hearts",
+    "\U0001f498": "heart_with_arrow",
+    "\U0001f499": "blue_heart",
+    "\U0001f49a": "green_heart",
+    "\U0001f49b": "yellow_heart",
+    "\U0001f49c": "purple_heart",
+    "\U0001f4a5": "collision",
+    "\U0001f4a9": "pile_of_poo",
+    "\U0001f4f7": "camera",
+    "\U0001f525": "fire",
+    "\U0001f575": "detective",
+    "\U0001f600": "grinning_face",
+    "\U0001f602": "face_with_tears_of_joy",
+    "\U0001f607": "smiling_face_with_halo",
+    "\U0001f609": "winking_face",
+    "\U0001f60a": "smiling_face_with_smiling_eyes",
+    "\U0001f60e": "smiling_face_with_sunglasses",
+    "\U0001f610": "neutral_face",
+    "\U0001f612": "unamused_face",
+    "\U0001f618": "face_blowing_a_kiss",
+    "\U0001f61e": "disappointed_face",
+    "\U0001f622": "crying_face",
+    "\U0001f624": "face_with_steam_from_nose",
+    "\U0001f629": "weary_face",
+    "\U0001f62d": "loudly_crying_face",
+    "\U0001f631": "face_screaming_in_fear",
+    "\U0001f633": "flushed_face",
+    "\U0001f634": "sleeping_face",
+    "\U0001f644": "face_with_rolling_eyes",
+    "\U0001f647": "person_bowing",
+    "\U0001f64c": "raising_hands",
+    "\U0001f680": "rocket",
+    "\U0001f914": "thinking_face",
+    "\U0001f917": "smiling_face_with_open_hands",
+    "\U0001f923": "rolling_on_the_floor_laughing",
+    "\U0001f970": "smiling_face_with_hearts",
     "\U0001f468\u200d\U0001f469\u200d\U0001f467": "family_man_woman_girl",
     "\U0001f468\u200d\U0001f469\u200d\U0001f466": "family_man_woman_boy",
 }
@@ -159,7 +254,8 @@ def seq_pattern() -> str:
 
 def seq_pattern_with(e: str) -> str:
     """``seq_pattern`` with ``e`` as the single-emoji pattern."""
-    mod = "(?:\\x{FE0F}|[\\x{1F3FB}-\\x{1F3FF}])?"
+    # a tag sequence (subdivision flags) follows its base and ends with the cancel tag
+    mod = "(?:\\x{FE0F}|[\\x{1F3FB}-\\x{1F3FF}])?(?:[\\x{E0020}-\\x{E007E}]+\\x{E007F})?"
     flag = "[\\x{1F1E6}-\\x{1F1FF}]{2}"
     keycap = "[0-9#*]\\x{FE0F}?\\x{20E3}"
     return f"{flag}|{keycap}|{e}{mod}(?:\\x{{200D}}{e}{mod})*"
@@ -177,6 +273,8 @@ def piece_pattern() -> str:
 
 
 def unicode_short_name(cp: int) -> str | None:
+    """The Unicode character name; that of the tables of version 15, so that it does
+    not follow the Python that builds the plan beyond the table's own code points."""
     name = unicodedata.name(chr(cp), None)
     if name is None:
         return None

@@ -31,7 +31,7 @@ SEQ_FULL = f"^(?:{SEQ})$"
 PIECES = L.piece_pattern()
 FLAG_FULL = "^[\\x{1F1E6}-\\x{1F1FF}]{2}$"
 KEYCAP_FULL = "^[0-9#*]\\x{FE0F}?\\x{20E3}$"
-SEQ_PART = "([^\\x{200D}\\x{FE0F}])"
+SEQ_PART = "([^\\x{200D}\\x{FE0F}\\x{E0020}-\\x{E007F}])"
 WORD_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
 # Spark-side forms of the same patterns.  Java tests a character against a

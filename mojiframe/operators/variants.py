@@ -17,7 +17,7 @@ def text_column(df: DataFrame, candidates: tuple[str, ...] = ("tweet", "text"))
     for c in candidates:
         if c in df.columns:
             return c
-    raise ValueError(f"No text column found. Expected one of {list(candidates)}.")
+    raise ValueError(f"the rows have none of the text columns {', '.join(candidates)}")
 
 
 def variant_to_column(variant: str) -> str:
@@ -25,7 +25,7 @@ def variant_to_column(variant: str) -> str:
     try:
         return VARIANT_COLUMNS[variant]
     except KeyError:
-        raise ValueError(f"Unknown variant: {variant!r}") from None
+        raise ValueError(f"{variant!r} is no variant; there are {', '.join(VARIANT_COLUMNS)}") from None
 
 
 def add_variants(df: DataFrame, null_text: str = "nan") -> DataFrame:
