@@ -44,8 +44,8 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 # --- fixed values -----------------------------------------------------------
-# Emoji suffix appended to documents.text, chosen by doc_id % 7 (the fixtures
-# carry no emoji).  Index i is the suffix for doc_id % 7 == i.
+# Emoji suffix appended to documents.text, chosen by doc_id % 8 (the fixtures
+# carry no emoji).  Index i is the suffix for doc_id % 8 == i.
 EMOJI_SUFFIXES = [
     " \U0001f644",                              # face with rolling eyes
     " \U0001f602\U0001f602",                    # two faces with tears of joy
@@ -54,6 +54,7 @@ EMOJI_SUFFIXES = [
     " \U0001f1ec\U0001f1e7 1\ufe0f\u20e3",      # flag GB, keycap one
     " \U0001f468\u200d\U0001f469\u200d\U0001f467",  # family ZWJ sequence
     "",
+    " \U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f\u2b50",  # flag of England (tags), star
 ]
 # Deterministic prediction runs: p = ((id*A + run_no*B) % 1000) / 1000.
 PRED_A = 7919
