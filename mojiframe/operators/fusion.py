@@ -136,15 +136,27 @@ def fuse(pairs: DataFrame, mode: str, dim: int, params: dict | None = None,
                       F.lit(mode).alias("mode"))
 
 
+def fuse_all(pairs: DataFrame, dim: int, params: dict | None = None) -> DataFrame:
+    """Every mode on the same rows: ``(vec_id, y_true, mode, y_pred)``.  The pairs are
+    made once; each mode adds its decision as a column, and the columns become rows."""
+    keep, out = list(pairs.columns), pairs
+    for i, mode in enumerate(MODES):
+        out = fuse(out, mode, dim, params).withColumnRenamed("y_pred", f"y_{i}").select(*keep, f"y_{i}")
+        keep.append(f"y_{i}")
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"y_{i}").alias("y_pred")) for i, m in enumerate(MODES)])
+    return out.select("vec_id", "y_true", F.inline(each))
+
+
 def embedding_pairs(emb: DataFrame) -> DataFrame:
     """``(vec_id, h_text, h_emoji, emoji_present, y_true)``: each vector is
     paired with the next one (cyclic) as its emoji vector - an equi-join on
-    a computed key, the row count n coming from a scalar subquery."""
+    a computed key, the row count n coming from a scalar subquery.  Where the ids
+    have a gap and there is no next one, a vector is its own partner: no row is lost."""
     n = emb.agg(F.count(F.lit(1))).scalar()
     a = emb.select("vec_id", F.col("embedding").alias("h_text"), "label",
                    F.pmod(F.col("vec_id") + 1, n).alias("partner"))
     b = emb.select(F.col("vec_id").alias("partner"), F.col("embedding").alias("h_emoji"))
-    return a.join(b, "partner").select(
-        "vec_id", "h_text", "h_emoji",
+    return a.join(b, "partner", "left").select(
+        "vec_id", "h_text", F.coalesce("h_emoji", "h_text").alias("h_emoji"),
         (F.pmod(F.col("vec_id"), F.lit(7)) != 6).cast("int").alias("emoji_present"),
         F.pmod(F.col("label"), F.lit(2)).cast("int").alias("y_true"))

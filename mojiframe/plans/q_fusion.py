@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -43,9 +42,9 @@ def _sig(x: str) -> str:
 
 
 def _pairs_sql() -> str:
-    return ("SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS t, CAST(b.embedding AS DOUBLE[]) AS e, "
+    return ("SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS t, CAST(coalesce(b.embedding, a.embedding) AS DOUBLE[]) AS e, "
             "CAST(a.vec_id % 7 <> 6 AS INTEGER) AS emoji_present, CAST(a.label % 2 AS INTEGER) AS y_true "
-            "FROM embeddings a JOIN embeddings b ON (a.vec_id + 1) % (SELECT count(*) FROM embeddings) = b.vec_id")
+            "FROM embeddings a LEFT JOIN embeddings b ON (a.vec_id + 1) % (SELECT count(*) FROM embeddings) = b.vec_id")
 
 
 def _mix(g: str, per_unit: bool) -> str:
@@ -157,7 +156,4 @@ def m05_threshold(spark, sf):
     ") GROUP BY mode)"))
 def m13_fusion_modes(spark, sf):
     """Every fusion mode scored and evaluated against the labels, one query."""
-    pr = pairs(spark, sf)
-    scored = reduce(lambda a, b: a.unionByName(b),
-                    [FU.fuse(pr, m, DIM, P).select("mode", "y_true", "y_pred") for m in FU.MODES])
-    return M.compute_metrics(scored, ["mode"])
+    return M.compute_metrics(FU.fuse_all(pairs(spark, sf), DIM, P), ["mode"])
