@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, quality, setjoin, urlfilter, warc
+from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, oracles, quality, setjoin, urlfilter, warc
 from mojiframe.llm.common import ship
 
 QUERIES = {
@@ -22,6 +22,8 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_url_filter": urlfilter.SQL,
+    "op6_jaccard_join": oracles.JACCARD,
+    "op8_decontaminate": oracles.DECONTAMINATE,
 }
 
 

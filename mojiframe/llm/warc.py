@@ -101,7 +101,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         raise Damaged("no separator after the block")
     block = data[begin:end]
     kind = fields.get(b"warc-type")
-    if not kind or b"warc-record-id" not in fields:
+    if not re.fullmatch("[a-z]+", kind or "") or b"warc-record-id" not in fields:
         raise Damaged("no type or id")
     if (own := fields.get(b"warc-block-digest")) and own != f"sha1:{digest(block)}":
         raise Damaged("block digest differs")
