@@ -118,6 +118,24 @@ def has_emoji_sequence(col: Column | str) -> Column:
     return _c(col).rlike(SEQ_FAST)
 
 
+def emoji_sequences(col: Column | str) -> Column:
+    """The emoji sequences of a text, in order (one pass over the text)."""
+    return F.regexp_extract_all(_c(col), _re(f"({SEQ_FAST})"), 1)
+
+
+def text_segments(col: Column | str) -> Column:
+    """The text before each sequence and after the last (one pass; a trailing empty
+    match may follow the n + 1 segments)."""
+    return F.regexp_extract_all(_c(col), _re(f"(?s)(.*?)(?:{SEQ_FAST}|\\z)"), 1)
+
+
+def interleave_names(segments: Column, sequences: Column, delimiters: tuple[str, str] = (" ", " ")) -> Column:
+    """Segments and the names of the sequences between them."""
+    named = F.zip_with(F.slice(segments, 1, F.size(sequences)), sequences, lambda p, x: F.concat(
+        p, F.lit(delimiters[0]), emoji_name(x), F.lit(delimiters[1])))
+    return F.concat(F.array_join(named, ""), F.element_at(segments, F.size(sequences) + 1))
+
+
 def demojize(col: Column | str, delimiters: tuple[str, str] = (" ", " ")) -> Column:
     """Replace every emoji sequence by ``<d0>name<d1>``; other text unchanged.
 
@@ -126,15 +144,7 @@ def demojize(col: Column | str, delimiters: tuple[str, str] = (" ", " ")) -> Col
     without a sequence are returned as they are.  (``split`` would compile
     the pattern once per row; ``regexp_extract_all`` compiles it once.)"""
     t = _c(col)
-    # segment before each sequence, then the tail (a trailing empty match
-    # may follow: the tail is taken by position, n + 1)
-    parts = F.regexp_extract_all(t, _re(f"(?s)(.*?)(?:{SEQ_FAST}|\\z)"), 1)
-    seqs = F.regexp_extract_all(t, _re(f"({SEQ_FAST})"), 1)
-    # zip_with evaluates both arrays once per row (no re-split per emoji)
-    named = F.zip_with(F.slice(parts, 1, F.size(seqs)), seqs, lambda p, x: F.concat(
-        p, F.lit(delimiters[0]), emoji_name(x), F.lit(delimiters[1])))
-    joined = F.concat(F.array_join(named, ""), F.element_at(parts, F.size(seqs) + 1))
-    return F.when(has_emoji_sequence(t), joined).otherwise(t)
+    return F.when(has_emoji_sequence(t), interleave_names(text_segments(t), emoji_sequences(t), delimiters)).otherwise(t)
 
 
 # F8-F12 ---------------------------------------------------------------------

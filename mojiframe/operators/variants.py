@@ -32,17 +32,23 @@ def add_variants(df: DataFrame, null_text: str = "nan") -> DataFrame:
     """``x_full, x_emoji, has_emoji, x_text, x_desc`` appended to ``df``.
 
     ``x_full``/``x_emoji`` are not stripped, ``x_text``/``x_desc`` are; texts
-    without emoji get the ``<NO_EMOJI>`` sentinel in ``x_emoji``."""
-    t = TX.as_text(F.col(text_column(df)), null_text)
-    stream = TX.extract_emoji(t)
-    flag = TX.has_emoji(t)
-    return df.select(
-        "*",
-        t.alias("x_full"),
-        TX.with_sentinel(stream, flag).alias("x_emoji"),
+    without emoji get the ``<NO_EMOJI>`` sentinel in ``x_emoji``.
+
+    Two passes over each text find its sequences and, if there are any, the text
+    between them; every variant is made of these.  (Each emoji code point is part of
+    a sequence, so the stream and the flag read the sequences only.)"""
+    keep = list(df.columns)
+    t = df.select("*", TX.as_text(F.col(text_column(df)), null_text).alias("x_full"))
+    t = t.select("*", TX.emoji_sequences("x_full").alias("__found"))
+    t = t.select("*", F.when(F.size("__found") > 0, TX.text_segments("x_full")).alias("__between"))
+    some, found = F.size("__found") > 0, F.array_join("__found", "")
+    flag = TX.has_emoji(found)
+    return t.select(
+        *keep, "x_full",
+        TX.with_sentinel(TX.extract_emoji(found), flag).alias("x_emoji"),
         flag.alias("has_emoji"),
-        TX.py_strip(TX.remove_emoji_sequences(t)).alias("x_text"),
-        TX.py_strip(TX.demojize(t)).alias("x_desc"),
+        TX.py_strip(F.when(some, F.array_join("__between", "")).otherwise(F.col("x_full"))).alias("x_text"),
+        TX.py_strip(F.when(some, TX.interleave_names(F.col("__between"), F.col("__found"))).otherwise(F.col("x_full"))).alias("x_desc"),
     )
 
 
