@@ -1,5 +1,6 @@
 """Driver contract, error paths and plan shape."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
@@ -43,6 +44,19 @@ def test_topk_is_limited_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_runs_on_smallest_scale(spark, name):
     if name.startswith(("m03", "m16", "m17", "m18")):
-        pytest.skip("model training covered by test_models")
+        pytest.skip("long fits; test_rules trains all arms on a small corpus")
+    if name.startswith("op") or name == "pipeline":
+        pytest.skip("tests/llm")
     df = E.queries()[name](spark, SF001)
-    assert df.columns and df.count() >= 0
+    sql = E.oracle_sql().get(name)
+    rows = df.count()
+    assert df.columns
+    if sql:  # as many rows and the same columns as the SQL
+        con = duckdb.connect()
+        for t in ("documents", "labels", "embeddings", "benchmark", "pages", "conversations"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+        want = con.execute(sql)
+        assert sorted(d[0] for d in want.description) == sorted(df.columns)
+        assert rows == len(want.fetchall())
+    else:
+        assert rows > 0
