@@ -54,3 +54,114 @@ def st1_stream_variants(spark, sf):
     q = start_to_parquet(variants_stream(document_stream(spark, sf)), out, ck)
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def _split(spark, sf):
+    from mojiframe.operators import splits as SP
+    from mojiframe.plans.q_splits import DEV_SIZE, SEED
+
+    return SP.stratified_split(T.corpus(spark, sf), DEV_SIZE, SEED)
+
+
+def _split_sql() -> str:
+    from mojiframe.plans.q_splits import DEV_SIZE, SEED
+
+    return S.split_sql(S.corpus_sql(), DEV_SIZE, SEED)
+
+
+@register("k02_split_tables", lambda: f"SELECT id, split FROM {_split_sql()}")
+def k02_split_tables(spark, sf):
+    """K2: the split written as a table by split, with its one-row manifest, and read back."""
+    path = _scratch(spark, "splits")
+    IO.write_splits(_split(spark, sf), path, 42, 0.15, "test.csv")
+    return spark.read.parquet(f"{path}/ids").select("id", "split")
+
+
+@register("s05_train_dev_rows", lambda: (
+    f"SELECT c.id, c.label, s.split FROM ({S.corpus_sql()}) c JOIN {_split_sql()} s ON c.id = s.id"))
+def s05_train_dev_rows(spark, sf):
+    """Train and dev rows selected by a stored split."""
+    from mojiframe.operators.splits import select_split
+
+    path = _scratch(spark, "splits")
+    IO.write_splits(_split(spark, sf), path, 42, 0.15, "test.csv")
+    splits, c = spark.read.parquet(f"{path}/ids"), T.corpus(spark, sf).select("id", "label")
+    parts = [select_split(c, splits, w).withColumn("split", F.lit(w)) for w in ("train", "dev")]
+    return parts[0].unionByName(parts[1])
+
+
+@register("s02_test_file_variants", lambda: S.with_ctes(S.lexicon_cte(), body=(
+    "SELECT label AS sarcastic, x_full, x_emoji, has_emoji, x_text, x_desc FROM (" + S.variants_sql(f"({S.corpus_sql()})") + ")")))
+def s02_test_file_variants(spark, sf):
+    """A test file without split or ids, read with the text column found by name."""
+    path = _scratch(spark, "test_csv")
+    c = T.corpus(spark, sf).select(F.col("id").alias("_c0"), F.col("text").alias("tweet"), F.col("label").alias("sarcastic"), "rephrase")
+    IO.write_variants(c, path, fmt="csv")
+    return IO.load_test(spark, path, IO.TRAIN_SCHEMA).select("sarcastic", "x_full", "x_emoji", "has_emoji", "x_text", "x_desc")
+
+
+@register("s07_metrics_of_runs", lambda: (
+    f"WITH {S.preds_cte()} SELECT run, accuracy, macro_f1 FROM (SELECT run, {S.metrics_sql()} FROM "
+    f"(SELECT run, {S.CONFUSION_SQL} FROM preds GROUP BY run))"))
+def s07_metrics_of_runs(spark, sf):
+    """K5 + S7: metrics written as JSON and read with a schema; a missing folder adds nothing."""
+    from mojiframe.operators import metrics as M
+
+    path, schema = _scratch(spark, "metrics"), "run string, accuracy double, macro_f1 double"
+    IO.write_json_table(M.compute_metrics(T.predictions(spark, sf)).select("run", "accuracy", "macro_f1"), path)
+    return IO.read_json_table(spark, path, schema).unionByName(IO.read_json_table(spark, f"{path}-none", schema))
+
+
+@register("k04_wide_predictions", lambda: f"WITH {S.preds_cte()} SELECT run, id, x_text, x_emoji, p, y_pred FROM preds")
+def k04_wide_predictions(spark, sf):
+    """K4: inputs beside their predictions, partitioned by run."""
+    path = _scratch(spark, "wide")
+    IO.write_wide_predictions(T.predictions(spark, sf).select("run", "id", "x_text", "x_emoji", "p", "y_pred"), path)
+    return IO.read_predictions(spark, path).select("run", "id", "x_text", "x_emoji", "p", "y_pred")
+
+
+@register("k07_new_runs_appended", lambda: (
+    f"WITH {S.preds_cte()} SELECT run, id, CASE WHEN run LIKE 'text_only%' THEN 0.0 ELSE p END AS p FROM preds"))
+def k07_new_runs_appended(spark, sf):
+    """K7: two runs stored first (with p = 0) stay as they are when all five are written."""
+    path = _scratch(spark, "reused")
+    p = T.predictions(spark, sf)
+    IO.write_predictions(p.where(F.col("run").startswith("text_only")).withColumn("p", F.lit(0.0)), path)
+    IO.write_predictions(p, path, existing="keep")
+    return IO.read_predictions(spark, path).select("run", "id", "p")
+
+
+@register("k09_stored_error_tables", lambda: (
+    f"WITH {S.preds_cte()}, e AS (SELECT run, has_emoji, CASE WHEN y_true = 0 AND y_pred = 1 THEN 'fp' WHEN y_true = 1 AND y_pred = 0 "
+    f"THEN 'fn' END AS kind FROM preds), k AS (SELECT run, kind, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY ALL UNION ALL "
+    f"SELECT run, kind || '_emoji', count(*) FROM e WHERE kind IS NOT NULL AND has_emoji GROUP BY ALL) "
+    f"SELECT run, kind, least(n, CASE WHEN kind LIKE '%emoji' THEN 25 ELSE 50 END) AS n FROM k"))
+def k09_stored_error_tables(spark, sf):
+    """K9: the error tables stored by run and kind, counted after reading them back."""
+    from mojiframe.operators import errors as ER
+
+    path = _scratch(spark, "errors")
+    IO.write_errors(ER.top_errors(T.predictions(spark, sf), columns=["p", "y_true", "y_pred"]), path)
+    return spark.read.parquet(path).groupBy("run", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p07_chosen_columns", lambda: f"SELECT id, label, text AS readable, 0 AS missing_flag FROM ({S.corpus_sql()})")
+def p07_chosen_columns(spark, sf):
+    """Wanted columns that exist, the readable text column, a default for one that is not there."""
+    from mojiframe.operators import variants as V
+
+    c = T.corpus(spark, sf)
+    return c.select(*V.pick_column(c, ["id", "not_there", "label"]), F.col(V.readable_text_column(c)).alias("readable"),
+                    V.optional_column(c, "missing_flag"))
+
+
+@register("s10_config_fallbacks", lambda: (
+    "SELECT doc_id, coalesce(quality, CASE WHEN toxic = 1 THEN 7 END, 128) AS max_len FROM "
+    "(SELECT doc_id, NULLIF(quality, 0) AS quality, toxic FROM labels)"))
+def s10_config_fallbacks(spark, sf):
+    """A stored value, else the configured one, else the default, over the label rows."""
+    from mojiframe.sources import runs as RN
+
+    rows = T.read_table(spark, sf, "labels").select(
+        "doc_id", F.when(F.col("quality") != 0, F.col("quality")).alias("stored"), F.when(F.col("toxic") == 1, 7).alias("configured"))
+    return RN.with_fallbacks(rows, "max_len", "stored", "configured", 128).select("doc_id", "max_len")
