@@ -201,13 +201,13 @@ def f19_variants_long(spark, sf):
 
 # P-projections ---------------------------------------------------------------
 @register("p02_as_text", lambda: (
-    "SELECT conv_id, turn, coalesce(CAST(CASE WHEN role = 'system' THEN NULL ELSE text END AS VARCHAR), 'nan') "
-    "AS text FROM conversations"))
+    "SELECT conv_id, turn, coalesce(CAST(text AS VARCHAR), 'nan') AS text, "
+    "coalesce(CAST(CASE WHEN role <> 'system' THEN turn END AS VARCHAR), 'nan') AS spoken_turn FROM conversations"))
 def p02_as_text(spark, sf):
-    # system turns are nulled first so the NULL -> 'nan' rule is exercised
+    """Every text, and a number that is null for system turns."""
     c = T.read_table(spark, sf, "conversations")
-    t = F.when(F.col("role") == "system", F.lit(None)).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", TX.as_text(t).alias("text"))
+    spoken = F.when(F.col("role") != "system", F.col("turn"))
+    return c.select("conv_id", "turn", TX.as_text("text").alias("text"), TX.as_text(spoken).alias("spoken_turn"))
 
 
 @register("p06_variant_columns", lambda: S.with_ctes(S.lexicon_cte(), body=(
