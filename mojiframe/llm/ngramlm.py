@@ -34,8 +34,10 @@ come; without training rows every score is 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -51,7 +53,8 @@ MU = 2.0
 POWER = 0.9
 MIN_CONTEXT = 8
 STEP = 1 / 4096
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
+BUCKET = 1 << 19  # n-grams that a shard works on at a time
 MISSING = 0xFFFF
 
 _U = np.uint64
@@ -120,7 +123,8 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
                 inner[ends] = False
                 h[inner], h[ends] = w.hashes(), END
                 learn = b.column(2).fill_null(False).to_numpy(False)
-                seen, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+                inverse, seen = pd.factorize(h)
+                count = np.bincount(inverse, minlength=len(seen))
                 by = np.argsort(-count, kind="stable")  # frequent words get small places
                 place = np.empty(len(by), np.int64)
                 place[by] = np.arange(len(by))
@@ -135,15 +139,23 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
     return d.mapInArrow(run, f"chunk long, ids array<{kind}>, data binary, part string")
 
 
+def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each key, and where each kind comes first; kinds number as they come."""
+    kind, seen = pd.factorize(key)
+    first = np.empty(len(seen), np.int64)
+    first[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
+    return kind, first
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h ^ _U(0x1D8E4E27C47D124F)) % _U(shards)).astype(np.int64)
 
 
-def _deal(chunk: int, shard: np.ndarray, shards: int, arrays) -> Iterator[tuple[int, int, bytes]]:
+def _deal(chunk: int, shard: np.ndarray, shards: int, arrays, turn: int = 0, turns: int = 1) -> Iterator[tuple[int, int, bytes]]:
     """Rows (shard, chunk, data): ``arrays(rows)`` for the rows of each shard, in order."""
     by = np.argsort(shard, kind="stable")
     cut = np.searchsorted(shard[by], np.arange(shards + 1))
-    for s in range(shards):
+    for s in range(turn, shards, turns):
         if cut[s] < cut[s + 1]:
             yield s, chunk, pack(*arrays(by[cut[s]:cut[s + 1]]))
 
@@ -166,7 +178,7 @@ def count_words(words: DataFrame, shards: int) -> DataFrame:
     def answer(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         got = [unpack(x.as_py()) for x in t.column("data")]
-        h, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        inverse, _ = pd.factorize(np.concatenate([g[0] for g in got]))
         count = np.bincount(inverse, weights=np.concatenate([g[1] for g in got])).astype(np.int64)
         known = count > 0
         number = np.where(known, (np.cumsum(known) - 1) * shards + shard + FIRST, 0)
@@ -186,10 +198,9 @@ class Chunk:
 
     def __init__(self, stream: bytes, tokens: int, types: int, mu: float, min_context: int, shards: int):
         size, self.learn, self.place = unpack(stream)
-        self.place = self.place.astype(np.int64)
         self.size = size.astype(np.int64)
         self.first = np.append(0, np.cumsum(self.size))
-        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.tokens, self.types, self.mu, self.min_context, self.shards = tokens, types, mu, min_context, shards
         self.order = 0
 
@@ -231,16 +242,19 @@ class Chunk:
             self.short[inner] = self.shorter[inner - 1]
         self.live = (self.context > 0) & (self.context_count >= self.min_context)
         pos = np.flatnonzero(self.live & (self.word > 0))
-        c = np.unique(self.context[pos], return_inverse=True)
-        key = c[1] * self.n_words + self.place[pos]
-        grams, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        self.pos, self.gram_at, self.inverse = pos, pos[where], inverse
-        self.trained = np.bincount(inverse, weights=self.learn[self.doc[pos]], minlength=len(grams)).astype(np.int64)
+        own = pd.factorize(self.context[pos])[0]
+        kind, where = _kinds(own * self.n_words + self.place[pos])
+        order = np.argsort(own[where], kind="stable")  # n-grams of a context lie together
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pos, self.gram_at, self.inverse = pos, pos[where[order]], rank[kind]
+        self.trained = np.bincount(self.inverse, weights=self.learn[self.doc[pos]], minlength=len(order)).astype(np.int64)
         g = self.gram_at
         self.shard = _shard(self.context[g].astype(_U) * _U(0x9E3779B97F4A7C15) + self.word[g].astype(_U), self.shards)
 
-    def requests(self, chunk: int) -> Iterator[tuple[int, int, bytes]]:
-        """By shard: context numbers, run lengths, counts and shorts; words, training counts, lower codes."""
+    def requests(self, chunk: int, turn: int, turns: int) -> Iterator[tuple[int, int, bytes]]:
+        """By shard, of every ``turns``-th shard: context numbers, run lengths, counts and
+        shorts; words, training counts, lower codes."""
         g = self.gram_at
 
         def arrays(r):
@@ -249,7 +263,7 @@ class Chunk:
             return (_small(self.context[x[run]]), _small(np.diff(np.append(run, len(x)))), _small(self.context_count[x[run]]),
                     _small(self.short[x[run]]), _small(self.word[x]), _small(self.trained[r]), self.code[x])
 
-        return _deal(chunk, self.shard, self.shards, arrays)
+        return _deal(chunk, self.shard, self.shards, arrays, turn, turns)
 
     def take(self, answers: list[tuple[int, bytes]]) -> None:
         """The probabilities, numbers and counts of the order asked for."""
@@ -292,39 +306,48 @@ def _with_answers(chunks: DataFrame, answers: list[DataFrame], ids: bool) -> Dat
     return all_rows.groupBy("chunk")
 
 
-def count_grams(chunks: DataFrame, answers: list[DataFrame], stats: tuple[int, int], mu: float, min_context: int, shards: int, last: bool) -> DataFrame:
-    """The next order: requests of the chunks, answered by the shards' tries."""
+def count_grams(chunks: DataFrame, answers: list[DataFrame], stats: tuple[int, int], mu: float, min_context: int, shards: int,
+                last: bool, turn: int, turns: int) -> DataFrame:
+    """The next order: requests of the chunks to every ``turns``-th shard, answered by
+    the shards' tries."""
 
     def ask(t: pa.Table) -> pa.Table:
         chunk, c, _ = _gathered(t, stats, mu, min_context, shards)
         c.ask()
-        return _rows(list(c.requests(chunk)))
+        return _rows(list(c.requests(chunk, turn, turns)))
 
     def answer(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         got = [unpack(x.as_py()) for x in t.column("data")]
-        cat = lambda k: np.concatenate([g[k].astype(np.int64) for g in got])
+        cat = lambda k: np.concatenate([g[k] for g in got])  # noqa: E731  in the widest type they need
         runs = cat(1)
         context, total, short = (np.repeat(cat(k), runs) for k in (0, 2, 3))
         word, trained, lower = cat(4), cat(5), cat(6)
-        cu, ci = np.unique(context, return_inverse=True)
-        wu, wi = np.unique(word, return_inverse=True)
-        _, where, inverse = np.unique(ci * len(wu) + wi, return_index=True, return_inverse=True)
-        count = np.bincount(inverse, weights=trained).astype(np.int64)
-        w = where[count > 0]
-        spread = backing(total[w], mu)
-        codes = quantise((count[count > 0] + spread * unquantise(lower[w])) / (total[w] + spread))
-        trie = TrieLevel.mapped(TrieLevel.build(context[w], short[w], word[w], codes)[0].to_bytes())
-        at = trie.find(context[where], short[where], word[where])
-        code = np.where(at >= 0, trie.codes[at], MISSING).astype(np.uint16) if len(trie.codes) else np.full(len(at), MISSING, np.uint16)
-        useful = (count >= min_context) & (not last)  # a rarer n-gram is no context
-        number, shown = np.where(useful, at * shards + shard + FIRST, 0), np.where(useful, count, 0)
-        out, k = [], 0
-        for g, chunk in zip(got, t.column("chunk").to_pylist()):
-            i = inverse[k:k + len(g[4])]
-            k += len(i)
-            out.append((shard, chunk, pack(_small(number[i]), _small(shown[i]), code[i])))
-        return _rows(out)
+        cut = np.append(0, np.cumsum([len(g[4]) for g in got]))
+        del got
+        number, shown, code = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.empty(len(word), np.uint16)
+        buckets = -(-len(word) // BUCKET)
+        bucket = (mix(context.astype(_U)) % _U(max(1, buckets))).astype(np.int32)  # a context is whole in its bucket
+        for b in range(buckets):
+            rows = np.flatnonzero(bucket == b)
+            c, w = context[rows].astype(np.int64), word[rows].astype(np.int64)
+            inverse, where = _kinds(pd.factorize(c)[0] * (int(w.max()) + 1) + w)
+            count = np.bincount(inverse, weights=trained[rows]).astype(np.int64)
+            known = where[count > 0]
+            weight = total[rows[known]].astype(np.float64)
+            spread = backing(weight, mu)
+            codes = quantise((count[count > 0] + spread * unquantise(lower[rows[known]].astype(np.float64))) / (weight + spread))
+            s = short[rows].astype(np.int64)
+            trie = TrieLevel.mapped(TrieLevel.build(c[known], s[known], w[known], codes)[0].to_bytes())
+            at = trie.find(c[where], s[where], w[where])
+            found = np.where(at >= 0, trie.codes[at], MISSING) if len(trie.codes) else np.full(len(at), MISSING)
+            code[rows] = found[inverse]
+            if not last:
+                useful = count >= min_context  # a rarer n-gram is no context
+                number[rows] = np.where(useful, (at * buckets + b) * shards + shard + FIRST, 0)[inverse]
+                shown[rows] = np.where(useful, count, 0)[inverse]
+        return _rows([(shard, chunk, pack(_small(number[i:j]), _small(shown[i:j]), code[i:j]))
+                      for i, j, chunk in zip(cut[:-1].tolist(), cut[1:].tolist(), t.column("chunk").to_pylist())])
 
     asked = _with_answers(chunks, answers, False).applyInArrow(ask, "shard long, chunk long, data binary")
     return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, data binary")
@@ -337,14 +360,18 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    made = materialise(make_chunks(docs, id_col, text_col, train), "chunks", by="part")
-    chunks, words = made.where("part = 'stream'"), made.where("part = 'words'")
-    answers = [materialise(count_words(words, shards), "words")]
-    release(made, part="part=words")  # the hashes are numbers from here on
+    made = [materialise(make_chunks(docs, id_col, text_col, train), "chunks", by="part")]
+    chunks, words = (made[0].where(F.col("part") == p) for p in ("stream", "words"))
+    made.append(materialise(count_words(words, shards), "words"))
+    answers = [made[1]]
+    release(made[0], part="part=words")  # the hashes are numbers from here on
     own = answers[0].where("chunk = -1").select("data").toArrow().column(0)  # two numbers a shard
     stats = tuple(int(x) for x in np.sum([unpack(x.as_py())[0] for x in own], axis=0)) if len(own) else (0, 0)
     for k in range(2, order + 1):
-        answers.append(materialise(count_grams(chunks, answers, stats, mu, min_context, shards, k == order), f"grams-{k}"))
+        # in k - 1 turns, so that requests in flight stay small beside the tables that grow with the order
+        own = [materialise(count_grams(chunks, answers, stats, mu, min_context, shards, k == order, i, k - 1), f"grams-{k}-{i}") for i in range(k - 1)]
+        answers.append(reduce(DataFrame.union, own))
+        made += own
 
     def finish(t: pa.Table) -> pa.Table:
         _, c, ids = _gathered(t, stats, mu, min_context, shards)
@@ -355,7 +382,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     out = materialise(_with_answers(chunks, answers, True).applyInArrow(
         finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-    release(made, *answers)
+    release(*made)
     return out.withColumnRenamed("id", id_col)
 
 
