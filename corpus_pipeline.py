@@ -1,5 +1,11 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and
-reread as the next one's input."""
+reread as the next one's input.
+
+Defined results: texts that are null, empty or without letters leave in the first
+stage; without labelled rows there is no model and every document leaves; repeated
+rows go through every stage alike, and ids that are null take no part in the set join, so
+their rows stay; extra columns are not carried; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids and the digests of ids and decoded bytes."""
-    return bpe.digests(bpe.encode(docs, keep=("lang", "source")), "doc_id", keep=("lang", "source"))
+    return bpe.digests(bpe.encode(docs, keep=("lang", "source"), round_trip=True), "doc_id", keep=("lang", "source"))
 
 
 STAGES = [

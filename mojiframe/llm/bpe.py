@@ -33,10 +33,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from mojiframe.llm.common import map_text, named_again, text_rows
 from mojiframe.llm.words import span_hashes
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 50_000
 LONG_PIECE = 64      # longer slices are merged with a heap
 SCAN_BLOCK = 256
-ENCODE_SLICE = 2 << 20
+ENCODE_SLICE = 1 << 19
 
 # classes of characters
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_RUN, PREFIX_SPACE, LAST_SPACE = range(8)
@@ -289,23 +289,27 @@ def _list(values: np.ndarray, ptr: np.ndarray) -> pa.Array:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), round_trip: bool = False) -> DataFrame:
     """One row per document: id, ids, piece_starts (byte offset of each piece),
-    piece_ids (index of its first id) and the columns ``keep``."""
+    piece_ids (index of its first id) and the columns ``keep``; with ``round_trip``
+    instead of the pieces ``decoded``, the bytes that the ids decode to, in the same pass."""
     path = ranks or default_ranks()
+    new = "ids array<int>, decoded binary" if round_trip else "ids array<int>, piece_starts array<int>, piece_ids array<int>"
 
     def make():
         bpe = load(path)
 
         def run(b: pa.RecordBatch) -> list[pa.Array]:
             ids, ptr, starts, firsts, cut = bpe.encode(b.column(1).to_pylist())
+            if round_trip:
+                flat, at = ids.tolist(), ptr.tolist()
+                return [_list(ids, ptr), pa.array([bpe.decode(flat[s:e]) for s, e in zip(at, at[1:])], pa.binary())]
             return [_list(ids, ptr), _list(starts, cut), _list(firsts, cut)]
 
         return run
 
-    found = map_text(text_rows(docs, id_col, text_col, keep), make,
-                     "ids array<int>, piece_starts array<int>, piece_ids array<int>", ENCODE_SLICE)
-    return named_again(found, id_col, keep, "ids", "piece_starts", "piece_ids")
+    found = map_text(text_rows(docs, id_col, text_col, keep), make, new, ENCODE_SLICE)
+    return named_again(found, id_col, keep, *[c.split()[0] for c in new.split(", ")])
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -326,14 +330,13 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, id_col: str, ranks: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, n_tokens, ids_sha256 (decimal ids joined by a
-    space) and decoded_sha256 (the decoded bytes)."""
-    done = decode(encoded.select(id_col, *keep, "ids"), ranks=ranks)
+def digests(done: DataFrame, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows with ids and decoded: id, the columns ``keep``, n_tokens, ids_sha256
+    (decimal ids joined by a space) and decoded_sha256."""
     return done.select(id_col, *keep, F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id")
+    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), round_trip=True), "doc_id")

@@ -3,8 +3,10 @@ narrow input views and Arrow batch slicing."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+#: Rows and bytes of a batch between Spark and Python: texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
 #: Text bytes that one vectorised step works on; a longer single text is one step.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,10 +124,24 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task
+    should not hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text (as string) and the columns to carry along, under names of ours."""
+    """id, text (as string) and the columns to carry along, under names of ours.
+    Arrow batches of the session become smaller where they have Spark's defaults."""
+    conf = docs.sparkSession.conf
+    for name, (default, own) in BATCHES.items():
+        if conf.get(name, default) == default:
+            conf.set(name, own)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                        *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])
 

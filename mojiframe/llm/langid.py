@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import crc_mod, map_text, named_again, text_rows
+from mojiframe.llm.common import crc_mod, give_back, map_text, named_again, text_rows
 from mojiframe.llm.sampling import training_sample
 
 DIMS = 1 << 17
@@ -120,7 +120,7 @@ def fit(texts: list[str], langs: list[str], dims: int = DIMS, epochs: int = 3, s
         if len(seq):
             cols = np.concatenate([gram_columns(seq, n, dims) for n in ORDERS])
             f, c = np.unique(cols, return_counts=True)
-            docs.append((f, c / len(cols)))
+            docs.append((f.astype(np.int32), (c / len(cols)).astype(np.float32)))
             ys.append(names.index(y))
     if not docs:
         return {}
@@ -133,12 +133,16 @@ def fit(texts: list[str], langs: list[str], dims: int = DIMS, epochs: int = 3, s
     held = order[:len(docs) // 6] if len(docs) >= 30 else order
     train = order[len(docs) // 6:] if len(docs) >= 30 else order
     model = Ftrl(dims, len(names))
-    rows = [(np.append(f, dims), np.append(SCALE * c * idf[f], 1.0)) for f, c in docs]
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        f, c = docs[i]
+        return np.append(f, dims), np.append(SCALE * c * idf[f], 1.0)
+
     for _ in range(epochs):
         for i in rng.permutation(train):
-            model.step(*rows[i], ys[i])
+            model.step(*row(i), ys[i])
     w = model.weights(slice(None))
-    logits = np.stack([rows[i][1] @ w[rows[i][0]] for i in held])
+    logits = np.stack([x @ w[f] for f, x in map(row, held)])
     y = np.array(ys)[held]
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
@@ -182,6 +186,8 @@ def train(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*[b.column(i).to_pylist() for i in range(4)]))
         m = fit([r[2] for r in rows], [r[3] for r in rows], dims)
+        del rows
+        give_back()
         if m:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([json.dumps([m["names"], m["temperature"]])]), pa.array([m["bias"].tobytes()], pa.binary()),

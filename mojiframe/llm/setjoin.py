@@ -48,12 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mojiframe.llm import bitmap
-from mojiframe.llm.common import materialise, release, slices, text_buffer, text_rows
+from mojiframe.llm.common import SLICE_BYTES, materialise, release, slices, text_buffer, text_rows
 from mojiframe.llm.words import SPACE_WORDS, mix, ngram_hashes, split
 
 HOT = 1 << 18
 BLOCK = 1024
 DENSE_COLUMNS = 512
+COUNT_SLICE = 4 << 20  # text bytes among which shingles must come twice to be counted
 
 _U = np.uint64
 
@@ -113,7 +114,7 @@ def parity_bitmaps(sets: _Sets) -> list[bytes]:
     return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
 
 
-def _each_slice(texts: DataFrame, n: int, fn, schema: str) -> DataFrame:
+def _each_slice(texts: DataFrame, n: int, fn, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``fn(sets, rows, seen)`` for each slice gives the columns of ``schema``; rows
     without words or id only come to it as rows, not as sets, where it asks so."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -121,7 +122,7 @@ def _each_slice(texts: DataFrame, n: int, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", limit):
                 yield pa.RecordBatch.from_arrays(fn(_Sets(b, n), b, seen), names=names)
 
     return texts.mapInArrow(run, schema)
@@ -145,7 +146,7 @@ def set_rows(texts: DataFrame, n: int) -> DataFrame:
         return [pa.concat_arrays([x, pa.nulls(more, x.type)]) for x in (b.column(0), pa.array(size), node, flips)] + [
             pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(x)]) for x in (s.view(np.int64), c)]
 
-    return _each_slice(texts, n, fn, f"id {kind}, n long, node long, flips binary, s long, c long")
+    return _each_slice(texts, n, fn, f"id {kind}, n long, node long, flips binary, s long, c long", COUNT_SLICE)
 
 
 def frequent_shingles(counted: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:

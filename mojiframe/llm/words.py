@@ -53,7 +53,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         steps = np.full(m, b, _U)
         steps[0] = 1
         out.append(np.multiply.accumulate(steps))
-    if m <= 1 << 23:
+    if m <= 1 << 21:  # 32 MB a worker
         _POW["p"], _POW["q"] = out
     return out[0][:n], out[1][:n]
 

@@ -170,6 +170,16 @@ def test_long_slices_merge_like_short_ones():
         assert own.merge_long(piece) == own.merge_many([piece])[0]
 
 
+def test_pieces_and_decoding(spark):
+    texts = ["", None, "don't  stop é 😀", "a\n b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.decode(bpe.encode(df, keep=("text",))).collect():
+        raw, own = (r.text or "").encode(), bpe.load(bpe.default_ranks())
+        assert bytes(r.decoded) == raw
+        ends, cuts = [*r.piece_starts[1:], len(raw)], [*r.piece_ids[1:], len(r.ids)]
+        assert [own.decode(r.ids[i:j]) for i, j in zip(r.piece_ids, cuts)] == [raw[i:j] for i, j in zip(r.piece_starts, ends)]
+
+
 def test_collision_search_widens_until_enough():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 16)) * rng.uniform(0.2, 3, (400, 1))
