@@ -51,7 +51,7 @@ from mojiframe.llm.words import SPACE_WORDS, mix, split
 ORDER = 3
 MU = 2.0
 POWER = 0.9
-MIN_CONTEXT = 8
+MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
 CHUNK_BYTES = 5 << 20
 BUCKET = 1 << 19  # n-grams that a shard works on at a time
