@@ -4,9 +4,17 @@ A line ends at a newline; sentences of a line (``. ``, ``! ``, ``? ``) are lines
 their own, so that passages set as one paragraph are runs of lines too.  A chunk
 ends where a rolling hash over the last two line hashes is 0 modulo ``every``, so
 boundaries depend on nearby content only and survive insertions elsewhere.  A
-paragraph of ``paragraph_words`` words or more always is one chunk.
+paragraph of ``paragraph_words`` words or more always is one chunk, and chunks have two
+lines or more otherwise.
 
-Chunks of two lines or more and ``min_words`` words or more that occur more than
+With ``every`` 0, the default, chunks end between words instead, inside of paragraphs too,
+so that a passage has boundaries of its own wherever it stands.  Every word has a rank
+from itself and the next; a chunk starts at each word of lower rank than the
+``min_words`` - 1 before and after it, and longer stretches are dealt on from there
+by the lowest rank among the words at ``min_words`` to 2 ``min_words`` - 1.  Texts and paragraphs of ``paragraph_words``
+words or more start and end chunks, so that a repeated one goes whole.
+
+Chunks of ``min_words`` words or more that occur more than
 once in the corpus stay at their first place (smallest id, then position) and go
 everywhere else, after their bytes have been compared with those of the first place.
 
@@ -31,7 +39,7 @@ from mojiframe.llm import bitmap
 from mojiframe.llm.common import map_text, materialise, named_again, release, slices, text_buffer, text_rows
 from mojiframe.llm.words import SPACE_WORDS, mix, span_hashes, split
 
-EVERY = 4
+EVERY = 0  # chunks end between words
 MIN_WORDS = 10
 PARAGRAPH_WORDS = 24
 
@@ -44,6 +52,8 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, every: int = EVERY, min_words:
            paragraph_words: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, ...]:
     """Of the chunks that count: row, start and end of the span, end of its bytes
     without trailing white space, hash."""
+    if not every:
+        return word_chunks(raw, offsets, min_words, paragraph_words)
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
@@ -83,6 +93,61 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, every: int = EVERY, min_words:
     return doc[at], starts[at], ends[stop - 1], last[stop - 1], span_hashes(raw, starts[at], last[stop - 1])
 
 
+def _lowest(v: np.ndarray, n: int) -> np.ndarray:
+    """The lowest of each ``n`` values in a row."""
+    k = 1
+    while 2 * k <= n:
+        v, k = np.minimum(v[:-k], v[k:]), 2 * k
+    return np.minimum(v[:len(v) - (n - k)], v[n - k:]) if n > k else v
+
+
+def word_chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int, paragraph_words: int) -> tuple[np.ndarray, ...]:
+    """The chunks that end between words, as ``chunks`` returns them."""
+    w = split(raw, offsets, SPACE_WORDS)
+    n, starts, doc = len(w.starts), w.starts, w.doc
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, _U)
+    first = np.append(True, doc[1:] != doc[:-1])
+    newlines = np.append(0, np.cumsum(raw == 10))[starts]
+    line = first | np.append(True, newlines[1:] != newlines[:-1])
+    paragraph = np.flatnonzero(line)
+    long = np.diff(np.append(paragraph, n)) >= paragraph_words
+    fixed = first.copy()
+    fixed[paragraph[long]] = True
+    fixed[paragraph[1:][long[:-1]]] = True
+    h = w.hashes()
+    rank = mix(h * _U(0x9E3779B97F4A7C15) + np.where(np.append(first[1:], True), _U(0), np.append(h[1:], _U(0))))
+    rank = (rank >> _U(2)) + _U(1)
+    rank[fixed] = 0
+    edge = np.zeros(2 * min_words, _U)
+    wide = np.concatenate([edge, rank, edge])       # texts end at a 0 on either side
+    if min_words > 1:
+        low = _lowest(wide, min_words - 1)
+        cut = fixed | ((rank < low[min_words + 1:min_words + 1 + n]) & (rank < low[2 * min_words + 1:2 * min_words + 1 + n]))
+    else:
+        cut = np.ones(n, bool)
+    at = np.flatnonzero(cut)
+    stop = np.append(at[1:], n)
+    while len(at):                                  # a step further in every stretch that is left
+        more = stop - at >= 2 * min_words
+        at, stop = at[more] + min_words, stop[more]
+        at = at + np.argmin(wide[(at + 2 * min_words)[:, None] + np.arange(min_words)], axis=1)
+        more = at <= stop - min_words
+        at, stop = at[more], stop[more]
+        cut[at] = True
+    at = np.flatnonzero(cut)
+    stop = np.append(at[1:], n)
+    begin = np.where(first, offsets[doc], starts)
+    ends = np.append(begin[1:], len(raw))
+    ends = np.where(np.append(first[1:], True), offsets[doc + 1], ends)
+    opens = np.append(line, True)
+    end = np.where(opens[stop] & ~line[at], w.ends[stop - 1], ends[stop - 1])  # what comes before stays a line
+    keep = stop - at >= min_words
+    at, stop, end = at[keep], stop[keep], end[keep]
+    return doc[at], begin[at], end, w.ends[stop - 1], span_hashes(raw, begin[at], w.ends[stop - 1])
+
+
 def _occurrences(rows: DataFrame, params: tuple[int, int, int], wanted=None) -> DataFrame:
     """h, size, id, key, a, b (span) of the chunks; with ``wanted``, a bitmap, only those it may hold, and their bytes."""
     kind = rows.schema["id"].dataType.simpleString()
