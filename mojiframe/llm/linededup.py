@@ -9,7 +9,8 @@ lines or more otherwise.
 
 With ``every`` 0, the default, chunks end between words instead, inside of paragraphs too,
 so that a passage has boundaries of its own wherever it stands.  Every word has a rank
-from itself and the next; a chunk starts at each word of lower rank than the
+from itself and the next, words that open a line before those that open a sentence and
+these before others; a chunk starts at each word of lower rank than the
 ``min_words`` - 1 before and after it, and longer stretches are dealt on from there
 by the lowest rank among the words at ``min_words`` to 2 ``min_words`` - 1.  Texts and paragraphs of ``paragraph_words``
 words or more start and end chunks, so that a repeated one goes whole.
@@ -118,7 +119,8 @@ def word_chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int, paragraph_
     fixed[paragraph[1:][long[:-1]]] = True
     h = w.hashes()
     rank = mix(h * _U(0x9E3779B97F4A7C15) + np.where(np.append(first[1:], True), _U(0), np.append(h[1:], _U(0))))
-    rank = (rank >> _U(2)) + _U(1)
+    sentence = np.append(True, _STOP[raw[w.ends[:-1] - 1]])
+    rank = (rank >> _U(2)) + np.where(line, _U(1), np.where(sentence, _U(1 << 62), _U(2 << 62)))
     rank[fixed] = 0
     edge = np.zeros(2 * min_words, _U)
     wide = np.concatenate([edge, rank, edge])       # texts end at a 0 on either side

@@ -61,3 +61,17 @@ def test_an_edited_word_hides_little_of_a_paragraph(spark):
 
     got = left_of(spark, make)
     assert got[0] == 1 and got[1] >= 0.85
+
+
+@pytest.mark.parametrize("lines,words", [(3, 20), (4, 15), (5, 11), (8, 8), (8, 10)])
+def test_passages_of_short_lines(spark, lines, words):
+    def rows(rng, n):
+        return ["\n".join(" ".join(fresh(rng, words)) for _ in range(n))]
+
+    def make(rng):
+        passage = rows(rng, lines)
+        around = [rows(rng, rng.randint(1, 6)) for _ in range(4)]
+        return passage[0], *("\n".join([*a, *passage, *b]) for a, b in (around[:2], around[2:]))
+
+    got = left_of(spark, make)
+    assert got[0] >= 0.95 and got[1] >= 0.6
