@@ -2,14 +2,15 @@
 reread as the next one's input.
 
 Defined results: texts that are null, empty or without letters leave in the first
-stage; without labelled rows there is no model and every document leaves; repeated
-rows go through every stage alike, and ids that are null take no part in the set join, so
+stage; without labelled rows there is no model and every document leaves; rows are told
+apart by id and text, so rows under one id are judged each for itself, and of rows that repeat both
+one is left after the set join; ids that are null take no part in the set join, so
 their rows stay; extra columns are not carried; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mojiframe.llm.common import materialise, ship
@@ -39,10 +40,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at similarity 0.8 on five-word shingles one stays: the smallest id."""
-    found = setjoin.jaccard_components(docs, n=5, num=80, den=100)
-    copies = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti")
+    """Of documents linked at similarity 0.8 on five-word shingles one row stays: the smallest id, then text hash."""
+    rows = docs.select(COLUMNS).withColumn("key", F.xxhash64("text"))
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    found = setjoin.jaccard_components(rows.select(place.alias("place"), "text"), "place", n=5, num=80, den=100)
+    copies = found.where(F.col("component_id") != F.col("place")).select("place.*").distinct()
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # others are in no group
+    once = Window.partitionBy("doc_id", "key").orderBy(*REST[1:])
+    left = rows.where(linked).join(copies, ["doc_id", "key"], "left_anti").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return left.select(COLUMNS).union(rows.where(~linked).select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
