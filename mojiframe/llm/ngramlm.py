@@ -20,8 +20,8 @@ counts to shards by the hash of the n-gram, so a frequent n-gram is one entry a
 chunk and never gathers in one place.  A shard adds the counts up, builds its
 part of the trie (``eliasfano.TrieLevel``, memory-mapped), and answers each chunk from
 it with numbers, counts and quantised probabilities.  The number of an
-n-gram is the context of the next order.  Shards number as many as
-``spark.sql.shuffle.partitions``, so their size stays as the input grows.
+n-gram is the context of the next order.  Shards number one for every
+``SHARD_BYTES`` of packed chunks, ``spark.sql.shuffle.partitions`` at least, so their size stays as the input grows.
 
 Word hashes have 64 bits; two different words among k meet with a chance of
 about k*k / 2**65.
@@ -54,6 +54,7 @@ POWER = 0.9
 MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
 CHUNK_BYTES = 5 << 20
+SHARD_BYTES = 8 << 20  # packed chunks that a shard answers for
 BUCKET = 1 << 19  # n-grams that a shard works on at a time
 MISSING = 0xFFFF
 
@@ -358,9 +359,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (unigrams
     with add-one smoothing) and score, learned from the rows where ``train`` holds."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     made = [materialise(make_chunks(docs, id_col, text_col, train), "chunks", by="part")]
+    size = made[0].agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     chunks, words = (made[0].where(F.col("part") == p) for p in ("stream", "words"))
     made.append(materialise(count_words(words, shards), "words"))
     answers = [made[1]]

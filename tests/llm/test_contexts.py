@@ -22,3 +22,18 @@ def test_rare_contexts_are_learned(spark, order):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[i][:3]
         assert r.score == pytest.approx(want[i][4], abs=2 * ngramlm.STEP * r.n_tokens ** 0.5)
     assert got[1].score > got[1].base_score + 1
+
+
+def test_shards_grow_with_the_input(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(60))) for i in range(20)], "doc_id long, text string")
+    score = lambda: sorted(tuple(r) for r in ngramlm.score_texts(frame, F.col("doc_id") < 15, order=2).collect())
+    used, count = [], ngramlm.count_words
+    monkeypatch.setattr(ngramlm, "count_words", lambda words, shards: used.append(shards) or count(words, shards))
+    few = score()
+    monkeypatch.setattr(ngramlm, "SHARD_BYTES", 16)
+    many = score()
+    assert used[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) < used[1]
+    for a, b in zip(few, many, strict=True):
+        assert a == pytest.approx(b)
