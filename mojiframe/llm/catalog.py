@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import annsearch, bpe, decontaminate, langid, linededup, ngramlm, oracles, patricia, quality, setjoin, urlfilter, warc
+from mojiframe.llm import annsearch, bpe, decontaminate, heapcluster, langid, linededup, ngramlm, oracles, patricia, quality, setjoin, urlfilter, warc
 from mojiframe.llm.common import ship
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": langid.op10_language_id,
+    "op11_heap_clusters": heapcluster.op11_heap_clusters,
     "op13_patricia_dedup": patricia.op13_patricia_dedup,
 }
 
@@ -25,6 +26,7 @@ SQL: dict[str, str] = {
     "op1_url_filter": urlfilter.SQL,
     "op6_jaccard_join": oracles.JACCARD,
     "op8_decontaminate": oracles.DECONTAMINATE,
+    "op11_heap_clusters": heapcluster.SQL,
     "op13_patricia_dedup": patricia.SQL,
 }
 
