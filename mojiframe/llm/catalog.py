@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from mojiframe.llm import annsearch, bpe, decontaminate, heapcluster, langid, linededup, ngramlm, oracles, patricia, quality, setjoin, urlfilter, warc
+from mojiframe.llm import annsearch, bpe, collocations, decontaminate, heapcluster, langid, linededup, ngramlm, oracles, patricia, quality, setjoin, urlfilter, warc
 from mojiframe.llm.common import ship
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_language_id": langid.op10_language_id,
     "op11_heap_clusters": heapcluster.op11_heap_clusters,
+    "op12_quotient_phrases": collocations.op12_quotient_phrases,
     "op13_patricia_dedup": patricia.op13_patricia_dedup,
 }
 
@@ -27,6 +28,7 @@ SQL: dict[str, str] = {
     "op6_jaccard_join": oracles.JACCARD,
     "op8_decontaminate": oracles.DECONTAMINATE,
     "op11_heap_clusters": heapcluster.SQL,
+    "op12_quotient_phrases": collocations.SQL,
     "op13_patricia_dedup": patricia.SQL,
 }
 
