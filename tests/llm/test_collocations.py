@@ -101,7 +101,7 @@ def test_requests_fall_into_their_shards():
     grams = rng.integers(0, 9, 500).astype(np.uint64)
     level = _Level(4, 4, 3)
     total = Counter()
-    for _, _, _, _, shard, data in level.requests(7, grams, grams):
+    for *_, shard, data in level.requests(7, "en", grams, grams):
         values, counts = quotient.read(data)
         keys = level.order.inverse(values | np.uint64(shard << 5))
         total.update(dict(zip(keys.tolist(), counts.tolist())))
