@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from mojiframe.llm.common import map_text, named_again, text_rows
-from mojiframe.llm.words import span_hashes
 
 CACHE_PIECES = 50_000
 LONG_PIECE = 64      # longer slices are merged with a heap
@@ -251,12 +250,11 @@ class Bpe:
         at = np.flatnonzero(token_starts(cp, offsets))
         width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
         byte = np.append(0, np.cumsum(width))
-        starts, ends = byte[at], byte[np.append(at[1:], len(cp))] if len(at) else byte[:0]
-        inverse, seen = pd.factorize(span_hashes(raw, starts, ends))
-        first = np.zeros(len(seen), np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse))[::-1]
-        view = raw.tobytes()
-        got = self.pieces([view[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        starts = byte[at]
+        bounds = np.append(starts, len(raw)).astype(np.int64)  # pieces lie side by side
+        kinds = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        inverse = kinds.indices.to_numpy().astype(np.int64)
+        got = self.pieces(kinds.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(got), np.int32)
         size = np.fromiter(map(len, got), np.int64, len(got)) // 4
         base = np.append(0, np.cumsum(size))[:-1]

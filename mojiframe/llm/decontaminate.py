@@ -53,6 +53,9 @@ class WuManber:
         order = np.lexsort((items, whole))
         keep = np.ones(len(order), bool)
         keep[1:] = whole[order][1:] != whole[order][:-1]
+        for i in np.flatnonzero(~keep).tolist():  # equal hashes: the words decide
+            a, b = int(starts[order[i - 1]]), int(starts[order[i]])
+            keep[i] = words[a:a + m] != words[b:b + m]
         self.whole = whole[order][keep]
         self.start = starts[order][keep]
         self.item_ptr = np.append(np.flatnonzero(keep), len(order))
@@ -64,8 +67,10 @@ class WuManber:
         for j in range(m - self.block + 1):  # block that starts at word j of the window
             np.minimum.at(self.shift, (blocks[self.start + j] & self.mask).astype(np.int64), m - self.block - j)
         suffix = ngram_hashes(hashes, s := min(m, SUFFIX))[self.start + m - s]
-        self.by_suffix = np.argsort(suffix, kind="stable")
+        self.by_suffix = np.lexsort((self.whole, suffix))
         self.suffix = suffix[self.by_suffix]
+        ranked = self.whole[self.by_suffix]
+        self.twin = np.append(ranked[1:] == ranked[:-1], False)  # other words of the same hash follow
 
     def find(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window starts and pattern numbers of all matches; words still to be compared."""
@@ -104,7 +109,7 @@ class WuManber:
             found_at.append(at[hit])
             found.append(pat[hit])
             step += 1
-            live = (lo + step < hi) & ~hit  # equal windows are one pattern
+            live = (lo + step < hi) & (~hit | self.twin[lo + step - 1])  # equal windows are one pattern
             at, lo, hi, whole = at[live], lo[live], hi[live], whole[live]
         return np.concatenate(found_at) if found_at else none, np.concatenate(found) if found else none
 

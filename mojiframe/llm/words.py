@@ -6,6 +6,7 @@ non-ASCII UTF-8 too) belongs to a word.  A-Z are lower-cased, nothing else.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,9 @@ ALNUM_WORDS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_POW: dict[str, np.ndarray] = {}
+#: Spans beyond this many bytes are hashed one by one.
+LONG_SPAN = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,31 +44,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept at one bounded size."""
-    if "p" in _POW and len(_POW["p"]) >= n:
-        return _POW["p"][:n], _POW["q"][:n]
-    m = max(n, 1 << 16)
-    inv = _U(pow(int(_BASE), -1, 1 << 64))
-    out = []
-    for b in (_BASE, inv):
-        steps = np.full(m, b, _U)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    if m <= 1 << 21:  # 32 MB a worker
-        _POW["p"], _POW["q"] = out
-    return out[0][:n], out[1][:n]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, from one prefix sum over the buffer."""
-    n = len(data)
-    if not len(starts):
-        return np.zeros(0, _U)
-    p, q = _powers(n + 1)
-    pre = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * p[:n], out=pre[1:])
-    return mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte span: blocks of eight bytes, each mixed into the state by a step that
+    is not linear, one block of all spans at a time."""
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes at every place
+    live, at, left = np.arange(len(size)), starts.astype(np.int64), size
+    some = (left > 0) & (left <= LONG_SPAN)
+    while True:
+        live, at, left = live[some], at[some], left[some]
+        if not len(live):
+            break
+        block = eight[at] & _KEEP[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ block) * _U(0x9FB21C651E98DF25) + (block >> _U(29)))
+        at, left = at + 8, left - 8
+        some = left > 0
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(padded[starts[i]:ends[i]], digest_size=8).digest()
+        h[i] = _U(int.from_bytes(digest, "little"))
+    return h
 
 
 @dataclass
