@@ -54,6 +54,7 @@ from mojiframe.llm.words import SPACE_WORDS, mix, ngram_hashes, split
 HOT = 1 << 18
 BLOCK = 1024
 DENSE_COLUMNS = 512
+STRIPE = 128           # rows of a block's square matrices that are worked on at once
 COUNT_SLICE = 4 << 20  # text bytes among which shingles must come twice to be counted
 
 _U = np.uint64
@@ -275,7 +276,10 @@ def _labels(node: np.ndarray, link: np.ndarray) -> np.ndarray:
     """The smallest node of each row's component."""
     label = node.copy()
     while True:
-        low = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
+        low = label.copy()
+        for i in range(0, len(label), STRIPE):
+            own = np.where(link[i:i + STRIPE], label[None, :], np.iinfo(np.int64).max).min(1)
+            low[i:i + STRIPE] = np.minimum(low[i:i + STRIPE], own)
         if (low == label).all():
             return label
         label = low
@@ -286,11 +290,10 @@ def near_groups(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
     node, n = np.array([x["node"] for x in rows]), np.array([x["n"] for x in rows], np.int64)
     width = min(len(x["flips"]) for x in rows)  # longer ones fold: their bits are the same modulo the shorter width
     flips = np.stack([np.bitwise_xor.reduce(np.frombuffer(x["flips"], np.uint8).reshape(-1, width), axis=0) for x in rows]).view(_U)
-    bound = (den - num) * (n[:, None] + n[None, :]) // (den + num)
     near = np.empty((len(rows), len(rows)), bool)
     for i in range(len(rows)):
-        near[i] = np.bitwise_count(flips ^ flips[i]).sum(1, dtype=np.int64) <= bound[i]
-    near &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
+        near[i] = np.bitwise_count(flips ^ flips[i]).sum(1, dtype=np.int64) <= (den - num) * (n + n[i]) // (den + num)
+        near[i] &= den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])
     np.fill_diagonal(near, False)
     near &= _apart(rows)
     label = _labels(node, near)
@@ -319,7 +322,7 @@ def differences(pairs: DataFrame, own: DataFrame) -> DataFrame:
 def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
     """How many tokens each two rows share."""
     n = len(tokens)
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((n, n), np.int32)
     row = np.repeat(np.arange(n), [len(t) for t in tokens])
     if not len(row):
         return out
@@ -331,15 +334,17 @@ def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
     for f in np.unique(size[(size > 1) & (size <= 16)]).tolist():  # rare tokens: their few pairs
         rows = row[first[size == f][:, None] + np.arange(f)]
         i, j = np.triu_indices(f, 1)
-        flat = np.bincount((rows[:, i] * n + rows[:, j]).ravel(), minlength=n * n).reshape(n, n)
-        out += flat + flat.T
+        pair, times = np.unique((rows[:, i] * n + rows[:, j]).ravel(), return_counts=True)
+        i, j = np.divmod(pair, n)
+        out[i, j] += times.astype(np.int32)
+        out[j, i] += times.astype(np.int32)
     many = np.flatnonzero(size > 16)
     for k in range(0, len(many), DENSE_COLUMNS):  # common tokens: products of 0/1 columns
         part = many[k:k + DENSE_COLUMNS]
         m = np.zeros((n, len(part)), np.float32)
         for c, g in enumerate(part.tolist()):
             m[row[first[g]:first[g] + size[g]], c] = 1
-        out += (m @ m.T).astype(np.int64)
+        out += (m @ m.T).astype(np.int32)
     return out
 
 
@@ -351,8 +356,10 @@ def group_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int, in
     lack = np.array([len(x) for x in minus])
     # added and lacking shingles cannot be equal: the first are not in r, the second are
     same = shared_counts([np.concatenate(x) for x in zip(plus, minus)])
-    over = rows[0]["nr"] - lack[:, None] - lack[None, :] + same
-    link = (den + num) * over >= num * (n[:, None] + n[None, :])
+    link = np.empty(same.shape, bool)
+    for i in range(0, len(n), STRIPE):
+        over = rows[0]["nr"] - lack[i:i + STRIPE, None] - lack[None, :] + same[i:i + STRIPE]
+        link[i:i + STRIPE] = (den + num) * over >= num * (n[i:i + STRIPE, None] + n[None, :])
     np.fill_diagonal(link, False)
     link &= _apart(rows)
     label = _labels(node, link)
@@ -365,7 +372,8 @@ def group_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int, in
         for a, b in zip(*np.nonzero(link[np.ix_(sub, sub)])):
             i, j = several[a], several[b]
             counted[i, j] = min(lead[i] & lead[j]) == rows[0]["r"]
-    return list(zip(node.tolist(), label.tolist(), (counted @ copies).tolist()))
+    total = [x for i in range(0, len(n), STRIPE) for x in (counted[i:i + STRIPE] @ copies).tolist()]
+    return list(zip(node.tolist(), label.tolist(), total))
 
 
 def links(diffs: DataFrame, copies: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
