@@ -33,6 +33,19 @@ def s01_csv_roundtrip(spark, sf):
     return IO.read_labelled_csv(spark, path, IO.TRAIN_SCHEMA)
 
 
+@register("p04_row_ids", lambda: (
+    f"SELECT row_number() OVER (ORDER BY part, id) - 1 AS id, text AS tweet, label AS sarcastic, rephrase FROM "
+    f"(SELECT *, CASE WHEN id % 10 = 0 THEN 0 WHEN id % 10 < 3 THEN 1 ELSE 2 END AS part FROM ({S.corpus_sql()}))"))
+def p04_row_ids(spark, sf):
+    """Row ids in file order over CSV files of uneven size in three folders."""
+    path = _scratch(spark, "csv_files")
+    part = F.when(F.col("id") % 10 == 0, 0).when(F.col("id") % 10 < 3, 1).otherwise(2)
+    c = T.corpus(spark, sf).select("id", F.col("text").alias("tweet"), F.col("label").alias("sarcastic"), "rephrase", part.cast("int").alias("part"))
+    c = c.repartitionByRange("part", "id").sortWithinPartitions("part", "id").withColumnRenamed("id", "_c0")
+    c.write.partitionBy("part").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return IO.read_labelled_csv(spark, path, IO.TRAIN_SCHEMA, "id").select("id", "tweet", "sarcastic", "rephrase")
+
+
 @register("s06_predictions_roundtrip",
           lambda: f"WITH {S.preds_cte()} SELECT run, id, y_true, y_pred, p FROM preds")
 def s06_predictions_roundtrip(spark, sf):

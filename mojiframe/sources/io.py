@@ -1,7 +1,7 @@
 """Readers and writers.
 
-CSV is read with an explicit schema, header, and RFC-4180 quoting so quoted
-fields with doubled quotes and embedded newlines survive; everything the
+CSV is read in splits, with an explicit schema, header, and RFC-4180 quoting so
+quoted fields with doubled quotes and embedded newlines survive; everything the
 toolkit writes is parquet (or JSON for small documents), partitioned by
 ``run`` where there are runs, so a run filter prunes partitions."""
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mojiframe.sources import csvlines
+
 TRAIN_SCHEMA = T.StructType([
     T.StructField("_c0", T.LongType()),
     T.StructField("tweet", T.StringType()),
@@ -28,13 +30,11 @@ PREDICTION_SCHEMA = T.StructType([
 INDEX_COLUMNS = ("_c0", "Unnamed: 0")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV with quoted multi-line fields; a stray index column
-    (``_c0`` in Spark, ``Unnamed: 0`` in pandas exports) is dropped."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
-    df = r.csv(path)
+def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, id_col: str | None = None) -> DataFrame:
+    """Header CSV with quoted multi-line fields, read in splits
+    (``csvlines``); a stray index column (``_c0``, ``Unnamed: 0`` in pandas
+    exports) is dropped; ``id_col`` numbers the rows from 0 in file order."""
+    df = csvlines.read_csv(spark, path, schema, id_col)
     return df.drop(*[c for c in INDEX_COLUMNS if c in df.columns])
 
 
@@ -58,7 +58,7 @@ def load_train(spark: SparkSession, path: str) -> DataFrame:
     """S1+S3+P4+F13: labelled training file -> variants with ids."""
     from mojiframe.operators.variants import add_variants
 
-    return add_variants(with_row_ids(read_labelled_csv(spark, path, TRAIN_SCHEMA)))
+    return add_variants(read_labelled_csv(spark, path, TRAIN_SCHEMA, "id"))
 
 
 def load_test(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
