@@ -130,7 +130,7 @@ def k04_wide_predictions(spark, sf):
     """K4: inputs beside their predictions, partitioned by run."""
     path = _scratch(spark, "wide")
     IO.write_wide_predictions(T.predictions(spark, sf).select("run", "id", "x_text", "x_emoji", "p", "y_pred"), path)
-    return IO.read_predictions(spark, path).select("run", "id", "x_text", "x_emoji", "p", "y_pred")
+    return spark.read.parquet(path).select("run", "id", "x_text", "x_emoji", "p", "y_pred")
 
 
 @register("k07_new_runs_appended", lambda: (
@@ -144,6 +144,49 @@ def k07_new_runs_appended(spark, sf):
     return IO.read_predictions(spark, path).select("run", "id", "p")
 
 
+@register("k06_refused_runs", lambda: (
+    f"WITH {S.preds_cte()} SELECT run, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM preds WHERE run LIKE 'text_only%' GROUP BY run"))
+def k06_refused_runs(spark, sf):
+    """K6: a write that holds a stored run among new ones is refused whole; rows staged
+    without a commit do not count either."""
+    from mojiframe.sources import runlog
+
+    path = _scratch(spark, "refused")
+    p = T.predictions(spark, sf)
+    IO.write_predictions(p.where(F.col("run").startswith("text_only")), path)
+    try:
+        IO.write_predictions(p, path)
+        raise AssertionError("stored runs were written again")
+    except FileExistsError:
+        pass
+    runlog.stage(p.where(~F.col("run").startswith("text_only")), path)  # its job ends before the commit
+    return IO.read_predictions(spark, path).groupBy("run").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@register("k08_board_and_warnings", lambda: (
+    f"WITH {S.preds_cte()}, m AS (SELECT run, {S.metrics_sql()} FROM (SELECT run, {S.CONFUSION_SQL} FROM preds GROUP BY run)) "
+    f"SELECT run, CASE WHEN run LIKE 'concat%' OR run LIKE 'emoji_only%' THEN NULL ELSE macro_f1 END AS macro_f1, "
+    f"CASE WHEN run LIKE 'concat%' THEN 'malformed metrics' WHEN run LIKE 'emoji_only%' THEN 'macro_f1 is missing' END AS warning FROM m "
+    f"UNION ALL SELECT 'never_run', NULL, 'no metrics or config'"))
+def k08_board_and_warnings(spark, sf):
+    """K8: of the stored metrics one record is cut short, one lacks its macro-F1 and one expected run has none;
+    the others are on the board, these among the warnings with their reasons."""
+    from mojiframe.operators import metrics as M
+
+    path, out = _scratch(spark, "run_metrics"), _scratch(spark, "board")
+    m = M.compute_metrics(T.predictions(spark, sf)).select("run", "accuracy", "macro_f1")
+    whole = F.to_json(F.struct("accuracy", F.when(~F.col("run").startswith("emoji_only"), F.col("macro_f1")).alias("macro_f1")))
+    text = F.when(F.col("run").startswith("concat"), F.substring_index(whole, ",", 1)).otherwise(whole)
+    m.select("run", text.alias("value")).write.partitionBy("run").text(path)
+    good, failed = IO.read_run_metrics(spark, path, "accuracy double, macro_f1 double")
+    expected = m.select("run").union(spark.createDataFrame([("never_run",)], "run string"))
+    IO.write_leaderboard(good.select(F.col("run").alias("run_folder"), "macro_f1"), expected, out, failed=failed)
+    board = spark.read.schema("run_folder string, macro_f1 double").json(f"{out}/leaderboard")
+    warnings = spark.read.schema("run string, warning string").json(f"{out}/warnings")
+    return board.select(F.col("run_folder").alias("run"), "macro_f1", F.lit(None).cast("string").alias("warning")).unionByName(
+        warnings.select("run", F.lit(None).cast("double").alias("macro_f1"), "warning"))
+
+
 @register("k09_stored_error_tables", lambda: (
     f"WITH {S.preds_cte()}, e AS (SELECT run, has_emoji, CASE WHEN y_true = 0 AND y_pred = 1 THEN 'fp' WHEN y_true = 1 AND y_pred = 0 "
     f"THEN 'fn' END AS kind FROM preds), k AS (SELECT run, kind, count(*) AS n FROM e WHERE kind IS NOT NULL GROUP BY ALL UNION ALL "

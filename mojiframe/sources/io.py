@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mojiframe.sources import csvlines
+from mojiframe.sources import csvlines, runlog
 
 TRAIN_SCHEMA = T.StructType([
     T.StructField("_c0", T.LongType()),
@@ -104,12 +104,6 @@ def write_splits(splits: DataFrame, path: str, seed: int, dev_size: float, test_
         .write.mode(mode).json(f"{path}/manifest")
 
 
-def stored_runs(spark: SparkSession, path: str) -> DataFrame | None:
-    """The runs that ``path`` holds (one row each), None if there is no table."""
-    df = _read_or_none(lambda: spark.read.parquet(path))
-    return None if df is None else df.select("run").distinct()
-
-
 def _read_or_none(read):
     """A read whose path may be missing; any other failure is an error."""
     from pyspark.errors import AnalysisException
@@ -122,26 +116,9 @@ def _read_or_none(read):
         return None
 
 
-def append_runs(df: DataFrame, path: str, existing: str = "error") -> None:
-    """Append rows to a table partitioned by ``run``.  Runs that are there already
-    are never overwritten: ``existing="error"`` refuses the whole write (K6),
-    ``existing="keep"`` writes only the runs that are new (K7)."""
-    if existing not in ("error", "keep"):
-        raise ValueError(f"existing is 'error' or 'keep', not {existing!r}")
-    old = stored_runs(df.sparkSession, path)
-    if old is not None:
-        if existing == "error":
-            both = df.select("run").distinct().join(old, "run", "left_semi").limit(3).collect()
-            if both:
-                raise FileExistsError(f"{path} already holds {', '.join(sorted(r.run for r in both))}")
-        else:
-            df = df.join(old, "run", "left_anti")
-    df.write.mode("append").partitionBy("run").parquet(path)
-
-
 def write_predictions(preds: DataFrame, path: str, existing: str = "error") -> None:
-    """K3: ``(run, id, y_true, y_pred, p)`` partitioned by run (see ``append_runs``)."""
-    append_runs(preds.select("run", "id", "y_true", "y_pred", "p"), path, existing)
+    """K3, K6, K7: ``(run, id, y_true, y_pred, p)`` partitioned by run, through the commit log (see ``runlog.append_runs``)."""
+    runlog.append_runs(preds.select("run", "id", "y_true", "y_pred", "p"), path, existing)
 
 
 def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -149,18 +126,37 @@ def write_errors(errors: DataFrame, path: str, mode: str = "errorifexists") -> N
     errors.write.mode(mode).partitionBy("run", "kind").parquet(path)
 
 
-def write_leaderboard(board: DataFrame, expected: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K8: the leaderboard as JSON lines, and beside it a table of warnings with a
-    row for each expected run that has no place on it."""
+def read_run_metrics(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ("accuracy", "macro_f1")) -> tuple[DataFrame, DataFrame]:
+    """The JSON metrics under ``run=<run>`` folders, and the runs that failed with
+    their ``warning``: a record that does not parse, lacks a required number, or has one
+    that is not between 0 and 1.  One bad record sets its run aside, not the read."""
+    df = _read_or_none(lambda: spark.read.schema(f"{schema}, _broken string, run string").option("mode", "PERMISSIVE")
+                       .option("columnNameOfCorruptRecord", "_broken").json(path))
+    if df is None:
+        df = spark.createDataFrame([], f"{schema}, _broken string, run string")
+    reason = F.when(F.col("_broken").isNotNull(), F.lit("malformed metrics"))
+    for c in required:
+        reason = reason.when(F.col(c).isNull(), F.lit(f"{c} is missing"))
+        reason = reason.when(F.isnan(c) | (F.col(c) < 0) | (F.col(c) > 1), F.lit(f"{c} is not between 0 and 1"))
+    judged = df.withColumn("warning", reason)
+    failed = judged.where(F.col("warning").isNotNull()).groupBy("run").agg(F.min("warning").alias("warning"))
+    return judged.join(failed.select("run"), "run", "left_anti").drop("_broken", "warning"), failed
+
+
+def write_leaderboard(board: DataFrame, expected: DataFrame, path: str, mode: str = "errorifexists", failed: DataFrame | None = None) -> None:
+    """K8: the leaderboard as JSON lines, and beside it a table of warnings: the runs
+    that failed with their reason, and each other expected run that has no place on the board."""
     board.write.mode(mode).json(f"{path}/leaderboard")
     lost = expected.select("run").distinct().join(board.select(F.col("run_folder").alias("run")), "run", "left_anti")
-    lost.select("run", F.lit("no metrics or config").alias("warning")).write.mode(mode).json(f"{path}/warnings")
+    if failed is None:
+        failed = expected.sparkSession.createDataFrame([], "run string, warning string")
+    other = lost.join(failed, "run", "left_anti").select("run", F.lit("no metrics or config").alias("warning"))
+    failed.select("run", "warning").unionByName(other).write.mode(mode).json(f"{path}/warnings")
 
 
 def read_predictions(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
-    """All runs in one scan; a run filter prunes partitions."""
-    df = spark.read.parquet(path)
-    return df.where(F.col("run").isin(runs)) if runs else df
+    """The committed runs in one scan; a run filter prunes partitions."""
+    return runlog.read_runs(spark, path, runs)
 
 
 def write_wide_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
