@@ -3,14 +3,15 @@
 Inference-time arithmetic of the fusion models, written with array
 higher-order functions so it runs row-local in the JVM: pooling, scalar and
 vector gates (optionally masked when a text has no emoji), concatenation,
-a two-logit linear head, softmax and argmax.  Weights are ordinary
-parameters (literal arrays); ``rule_weights`` makes a reproducible set from
+a two-logit linear head, softmax and argmax.  Weights are
+data: a one-row table read as a scalar, so the plan does not grow with the
+dimension; ``rule_weights`` makes a reproducible set from
 a seed for tests and the registered queries.  Dot products are sequential
 left folds, so every engine sums in the same order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODES = ("text_only", "emoji_only", "concat", "gated", "gated_vector", "gated_vector_masked")
@@ -21,12 +22,11 @@ def rule_weights(n: int, seed: int) -> list[float]:
     return [(((i * 37 + seed * 11) % 19) - 9) / 100.0 for i in range(n)]
 
 
-def lit_array(xs: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in xs])
-
-
-def lit_matrix(rows: list[list[float]]) -> Column:
-    return F.array(*[lit_array(r) for r in rows])
+def weights(spark: SparkSession, **values) -> Column:
+    """A struct of weight vectors and matrices, from a table of one row."""
+    kind = lambda v: "double" if not isinstance(v, list) else f"array<{kind(v[0])}>"
+    ddl = ", ".join(f"{k} {kind(v)}" for k, v in values.items())
+    return spark.createDataFrame([tuple(values.values())], ddl).select(F.struct(*values)).scalar()
 
 
 def as_double_array(col: Column | str) -> Column:
@@ -42,9 +42,10 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def first_token(token_vectors: Column) -> Column:
-    """M8: pooled vector = the first token's vector."""
-    return F.element_at(token_vectors, 1)
+def first_token(tokens: DataFrame, sequence: str, position: str, vector: str, out: str = "pooled") -> DataFrame:
+    """M8: the pooled vector of a sequence is that of its first token.  Tokens are rows
+    ``(sequence, position, vector)``; partial aggregates keep one vector a sequence and task."""
+    return tokens.groupBy(sequence).agg(F.min_by(vector, position).alias(out))
 
 
 def mix(g: Column, ht: Column, he: Column, dim: int, per_unit: bool = False) -> Column:
@@ -56,28 +57,26 @@ def mix(g: Column, ht: Column, he: Column, dim: int, per_unit: bool = False) ->
     return F.transform(F.sequence(F.lit(1), F.lit(dim)), at)
 
 
-def scalar_gate(hh: Column, w: list[float], b: float) -> Column:
+def scalar_gate(hh: Column, w: Column, b: Column) -> Column:
     """M9: ``sigmoid(w . hh + b)`` with ``hh = [ht; he]``."""
-    return sigmoid(dot(lit_array(w), hh) + F.lit(b))
+    return sigmoid(dot(w, hh) + b)
 
 
-def vector_gate(hh: Column, W: list[list[float]], b: list[float],
-                emoji_present: Column | None = None) -> Column:
-    """One gate per hidden unit from ``hh = [ht; he]`` (pass a column
-    reference: every unit reads it); with ``emoji_present`` = 0 the gate is 1
+def vector_gate(hh: Column, W: Column, b: Column, emoji_present: Column | None = None) -> Column:
+    """One gate per hidden unit from ``hh = [ht; he]`` (pass column
+    references: every unit reads them); with ``emoji_present`` = 0 the gate is 1
     (text only)."""
-    g = F.transform(lit_matrix(W), lambda r, j: sigmoid(dot(r, hh) + F.element_at(lit_array(b), j + 1)))
-    # dimension guard (NULL on mismatch); the second reference to hh also
-    # keeps the optimizer from inlining its computation into every unit
-    g = F.when(F.size(hh) == len(W[0]), g)
+    g = F.transform(W, lambda r, j: sigmoid(dot(r, hh) + F.element_at(b, j + 1)))
+    # dimension guard (NULL on mismatch)
+    g = F.when(F.size(hh) == F.size(F.element_at(W, 1)), g)
     if emoji_present is not None:
-        g = F.when(emoji_present == 0, F.array_repeat(F.lit(1.0), len(b))).otherwise(g)
+        g = F.when(emoji_present == 0, F.transform(b, lambda _: F.lit(1.0))).otherwise(g)
     return g
 
 
-def head(h: Column, W: list[list[float]], b: list[float]) -> Column:
+def head(h: Column, W: Column, b: Column) -> Column:
     """Two logits ``W h + b``."""
-    return F.array(*[dot(lit_array(W[k]), h) + F.lit(b[k]) for k in range(len(W))])
+    return F.transform(W, lambda r, k: dot(r, h) + F.element_at(b, k + 1))
 
 
 def softmax_p1(logits: Column) -> Column:
@@ -110,8 +109,16 @@ def fuse(pairs: DataFrame, mode: str, dim: int, params: dict | None = None,
     if mode not in MODES:
         raise ValueError(f"Unknown fusion mode: {mode!r}")
     P = params or fusion_params(dim)
+    d = 2 * dim if mode == "concat" else dim
+    W, b = P["head"][d]
+    own = {"hW": W, "hb": b}
+    if mode == "gated":
+        own |= {"gw": P["gate_w"], "gb": P["gate_b"]}
+    elif mode.startswith("gated"):
+        own |= {"vW": P["vgate_W"], "vb": P["vgate_b"]}
     # materialise the double vectors once: lambdas below read them per unit
-    pairs = pairs.select("*", as_double_array(ht).alias("__t"), as_double_array(he).alias("__e"))
+    pairs = pairs.select("*", as_double_array(ht).alias("__t"), as_double_array(he).alias("__e"), weights(pairs.sparkSession, **own).alias("__w"))
+    w = F.col("__w")
     pairs = pairs.select("*", F.concat("__t", "__e").alias("__hh"))
     t, e, hh = F.col("__t"), F.col("__e"), F.col("__hh")
     no_gate = F.lit(None).cast("double")
@@ -120,18 +127,16 @@ def fuse(pairs: DataFrame, mode: str, dim: int, params: dict | None = None,
         base = pairs.select("*", no_gate.alias("gate"), h.alias("h"))
     elif mode == "gated":
         # the gate is materialised once, then read by every unit of the mix
-        base = pairs.select("*", scalar_gate(hh, P["gate_w"], P["gate_b"]).alias("gate"))
+        base = pairs.select("*", scalar_gate(hh, w["gw"], w["gb"]).alias("gate"))
         base = base.withColumn("h", mix(F.col("gate"), t, e, dim))
     else:
-        g = vector_gate(hh, P["vgate_W"], P["vgate_b"],
+        g = vector_gate(hh, w["vW"], w["vb"],
                         F.col(present) if mode == "gated_vector_masked" else None)
         base = pairs.select("*", g.alias("g"))
         base = base.select("*", (F.aggregate("g", F.lit(0.0), lambda acc, x: acc + x)
                                  / F.lit(float(dim))).alias("gate"),
                            mix(F.col("g"), t, e, dim, per_unit=True).alias("h"))
-    d = 2 * dim if mode == "concat" else dim
-    W, b = P["head"][d]
-    out = base.withColumn("logits", head(F.col("h"), W, b)).drop("__t", "__e", "__hh")
+    out = base.withColumn("logits", head(F.col("h"), w["hW"], w["hb"])).drop("__t", "__e", "__hh", "__w")
     return out.select("*", softmax_p1(F.col("logits")).alias("p"), argmax(F.col("logits")).alias("y_pred"),
                       F.lit(mode).alias("mode"))
 

@@ -98,11 +98,12 @@ def _rounded_spark(spark, sf, mode):
 
 
 @register("m08_first_token_pooling", lambda: (
-    f"SELECT vec_id, [t, e][1] AS pooled FROM (SELECT a.vec_id, a.embedding AS t, b.embedding AS e "
-    f"FROM embeddings a JOIN embeddings b ON (a.vec_id + 1) % (SELECT count(*) FROM embeddings) = b.vec_id)"))
+    "SELECT vec_id // 5 AS sequence, arg_min(embedding, vec_id * 3 % 5) AS pooled FROM embeddings GROUP BY vec_id // 5"))
 def m08_first_token_pooling(spark, sf):
-    pr = pairs(spark, sf)
-    return pr.select("vec_id", FU.first_token(F.array("h_text", "h_emoji")).alias("pooled"))
+    """M8: five vectors make a sequence; their positions are not in the order of their ids."""
+    t = T.read_table(spark, sf, "embeddings")
+    tokens = t.select(F.floor(F.col("vec_id") / 5).alias("sequence"), F.pmod(F.col("vec_id") * 3, F.lit(5)).alias("position"), "embedding")
+    return FU.first_token(tokens, "sequence", "position", "embedding")
 
 
 @register("m09_gated_fusion", _rounded("gated"))
