@@ -180,10 +180,44 @@ SHORT_NAME_OVERRIDES = {
     "\U0001f917": "smiling_face_with_open_hands",
     "\U0001f923": "rolling_on_the_floor_laughing",
     "\U0001f970": "smiling_face_with_hearts",
+    "\U0001f97a": "pleading_face",
+    "\U0001f974": "woozy_face",
+    "\U0001f92a": "zany_face",
+    "\U0001f975": "hot_face",
+    "\U0001f976": "cold_face",
+    "\U0001f92e": "face_vomiting",
+    "\U0001f92c": "face_with_symbols_on_mouth",
+    "\U0001f92f": "exploding_head",
+    "\U0001f928": "face_with_raised_eyebrow",
+    "\U0001f929": "star-struck",
+    "\U0001f92d": "face_with_hand_over_mouth",
+    "\U0001f92b": "shushing_face",
+    "\U0001f973": "partying_face",
+    "\U0001f91e": "crossed_fingers",
+    "\U0001f91f": "love-you_gesture",
+    "\U0001f595": "middle_finger",
+    "\U0001f481": "person_tipping_hand",
+    "\U0001f64b": "person_raising_hand",
+    "\U0001f645": "person_gesturing_NO",
+    "\U0001f646": "person_gesturing_OK",
+    "\U0001f3c3": "person_running",
+    "\U0001f483": "woman_dancing",
+    "\U0001f61b": "face_with_tongue",
+    "\U0001f60b": "face_savoring_food",
+    "\U0001f625": "sad_but_relieved_face",
+    "\U0001f613": "downcast_face_with_sweat",
+    "\U0001f630": "anxious_face_with_sweat",
+    "\U0001f635": "face_with_crossed-out_eyes",
+    "\U0001f920": "cowboy_hat_face",
+    "\U0001f47d": "alien",
+    "\U0001f916": "robot",
     "\U0001f468\u200d\U0001f469\u200d\U0001f467": "family_man_woman_girl",
     "\U0001f468\u200d\U0001f469\u200d\U0001f466": "family_man_woman_boy",
 }
 
+# Territories that have a flag and are not in ISO 3166.
+OTHER_TERRITORIES = ("AC", "CP", "DG", "EA", "EU", "IC", "TA", "UN", "XK")
+
 # Sentinel written to x_emoji when a text has no emoji.
 NO_EMOJI = "<NO_EMOJI>"
 

@@ -56,6 +56,20 @@ def lexicon_map() -> Column:
     )
 
 
+@lru_cache(maxsize=1)
+def territory_map() -> Column:
+    """Country code -> English name with underscores, from the JVM's locale data."""
+    from pyspark import SparkContext
+
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    names = {}
+    for code in [*locale.getISOCountries(), *L.OTHER_TERRITORIES]:
+        name = locale("", code).getDisplayCountry(locale.ENGLISH)
+        if name != code:
+            names[code] = name.replace(" ", "_")
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+
 # F7 -------------------------------------------------------------------------
 def py_strip(col: Column | str) -> Column:
     """Strip Unicode whitespace at both ends, as Python's ``str.strip()``."""
@@ -98,17 +112,16 @@ def remove_emoji_code_points(col: Column | str) -> Column:
 
 # F6 -------------------------------------------------------------------------
 def emoji_name(piece: Column) -> Column:
-    """Short name of one emoji sequence: lexicon entry, else flag/keycap
+    """Short name of one emoji sequence: lexicon entry, else the territory of a flag, keycap
     rule, else the names of its code points joined by '_'."""
     parts = F.regexp_extract_all(piece, _re(SEQ_PART), 1)
     by_parts = F.array_join(
         F.transform(parts, lambda c: F.coalesce(F.try_element_at(lexicon_map(), c), c)), "_"
     )
+    code = F.translate(piece, L.regional_indicators(), L.latin_capitals())
     return F.coalesce(
         F.try_element_at(lexicon_map(), piece),
-        F.when(piece.rlike(FLAG_FULL),
-               F.concat(F.lit("flag_"),
-                        F.translate(piece, L.regional_indicators(), L.latin_capitals())))
+        F.when(piece.rlike(FLAG_FULL), F.coalesce(F.try_element_at(territory_map(), code), F.concat(F.lit("flag_"), code)))
         .when(piece.rlike(KEYCAP_FULL), F.concat(F.lit("keycap_"), F.substring(piece, 1, 1)))
         .otherwise(by_parts),
     )

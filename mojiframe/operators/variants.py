@@ -52,15 +52,21 @@ def add_variants(df: DataFrame, null_text: str = "nan") -> DataFrame:
     )
 
 
+def add_demojized(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """``out`` is the text with every emoji sequence named, stripped.  The sequences and the text between
+    them are columns of their own, so each is found once (see ``add_variants``)."""
+    keep = list(df.columns)
+    t = df.select("*", text.alias("__t")).select("*", TX.emoji_sequences("__t").alias("__found"))
+    t = t.select("*", F.when(F.size("__found") > 0, TX.text_segments("__t")).alias("__between"))
+    named = F.when(F.size("__found") > 0, TX.interleave_names(F.col("__between"), F.col("__found"))).otherwise(F.col("__t"))
+    return t.select(*keep, TX.py_strip(named).alias(out))
+
+
 def add_notebook_variants(df: DataFrame, null_text: str = "nan") -> DataFrame:
     """``emoji_only, text_only, emoji_to_text``, all stripped, no sentinel."""
-    t = TX.as_text(F.col(text_column(df)), null_text)
-    return df.select(
-        "*",
-        TX.extract_emoji_only(t).alias("emoji_only"),
-        TX.remove_emoji_code_points(t).alias("text_only"),
-        TX.py_strip(TX.demojize(t)).alias("emoji_to_text"),
-    )
+    text = TX.as_text(F.col(text_column(df)), null_text)
+    t = df.select("*", TX.extract_emoji_only(text).alias("emoji_only"), TX.remove_emoji_code_points(text).alias("text_only"))
+    return add_demojized(t, text, "emoji_to_text")
 
 
 def variants_long(df: DataFrame, key: str = "id") -> DataFrame:

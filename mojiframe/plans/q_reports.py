@@ -217,21 +217,24 @@ def _s09_sql() -> str:
 
 @register("s09_config_roundtrip", _s09_sql)
 def s09_config_roundtrip(spark, sf):
-    """K5 + S9: per-run config documents written as JSON (with the train
-    label counts of the data) and parsed back into typed columns."""
+    """K5 + S9: per-run config documents (with the train label counts of the data), of the odd runs as
+    JSON and of the even ones as flat YAML, a file each, read and parsed into typed columns."""
     from mojiframe.plans.q_eval import train_rows
 
     counts = train_rows(spark, sf).agg(F.count_if(F.col("label") == 0).alias("n0"),
                                        F.count_if(F.col("label") == 1).alias("n1"))
     n0, n1 = counts.select("n0").scalar(), counts.select("n1").scalar()
+    lr, labels = F.format_string("%.0e", "lr"), F.create_map(F.lit("0"), n0, F.lit("1"), n1)
     cfg = RN.run_config(spark)
-    raw = cfg.select(F.to_json(F.struct(
-        F.col("run").alias("run_name"), "pretrained", "fusion_mode", "text_col", "emoji_col",
-        "max_len", "batch_size", F.format_string("%.0e", "lr").alias("lr"), "epochs", "seed",
-        F.create_map(F.lit("0"), n0, F.lit("1"), n1).alias("train_label_counts"))).alias("raw"))
+    as_json = F.to_json(F.struct(F.col("run").alias("run_name"), "pretrained", "fusion_mode", "text_col", "emoji_col", "max_len", "batch_size",
+                                 lr.alias("lr"), "epochs", "seed", labels.alias("train_label_counts")))
+    lines = [F.lit("# a run"), F.concat(F.lit('run_name: "'), "run", F.lit('"')), F.concat(F.lit("pretrained_name: "), "pretrained")]
+    lines += [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in ("fusion_mode", "text_col", "emoji_col", "max_len", "batch_size", "epochs", "seed")]
+    lines += [F.concat(F.lit("lr: "), lr, F.lit("  # rate")), F.concat(F.lit("train_label_counts: "), F.to_json(labels))]
+    raw = cfg.select("run_no", F.when(F.col("run_no") % 2 == 1, as_json).otherwise(F.array_join(F.array(*lines), "\n")).alias("value"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/run_configs-{uuid.uuid4().hex}"
-    raw.write.text(path)
-    parsed = RN.parse_configs(spark.read.text(path).withColumnRenamed("value", "raw"))
+    raw.write.partitionBy("run_no").text(path)
+    parsed = RN.read_configs(spark, path)
     return parsed.select("run", "pretrained", "fusion_mode", "text_col", "emoji_col", "max_len", "batch_size", "lr", "epochs", "seed",
                          F.col("train_label_counts")["0"].alias("n0"), F.col("train_label_counts")["1"].alias("n1"),
                          F.size("unknown_fields").alias("n_unknown"))

@@ -58,7 +58,7 @@ def f05_remove_emoji_code_points(spark, sf):
 @register("f06_demojize", lambda: S.with_ctes(
     S.lexicon_cte(), body=f"SELECT id, {S.strip(S.demojize('text'))} AS x_desc FROM {DOCS} d CROSS JOIN lexm"))
 def f06_demojize(spark, sf):
-    return _docs(spark, sf).select("id", TX.py_strip(TX.demojize("text")).alias("x_desc"))
+    return V.add_demojized(_docs(spark, sf).select("id", "text"), F.col("text"), "x_desc").select("id", "x_desc")
 
 
 # F7 on the second schema (conversations.text), padded with Unicode spaces so

@@ -21,7 +21,7 @@ SHARED = {"pretrained": "roberta-base", "emoji_col": "x_emoji", "max_len": 128,
 FUSION_MODES = ("text_only", "emoji_only", "concat", "gated")
 KNOWN_CONFIG_FIELDS = ["run_name", "pretrained", "fusion_mode", "text_col", "emoji_col",
                        "max_len", "batch_size", "lr", "epochs", "seed", "best_dev_macro_f1",
-                       "train_label_counts"]
+                       "train_label_counts", "model_type", "pretrained_name"]
 # --- end of fixed values ----------------------------------------------------
 
 CONFIG_SCHEMA = T.StructType([
@@ -77,24 +77,62 @@ def discover_runs(configs: DataFrame, has_checkpoint: Column | None = None,
     return configs.where(cond).orderBy("run")
 
 
+NUMBERS = {"max_len": "int", "batch_size": "int", "lr": "double", "epochs": "int", "seed": "int", "best_dev_macro_f1": "double"}
+
+
+def yaml_fields(text: Column) -> Column:
+    """A flat YAML document as ``map<string,string>``: ``key: value`` lines, comments,
+    quoted scalars and nulls; a value may be a JSON-like flow mapping.  Any other line is an error by its text."""
+    bare = lambda x: F.regexp_replace(x, r"(^|\s+)#.*$", "")  # noqa: E731  a comment starts a line or follows a space
+    plain = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.when(F.regexp_replace(x, r"^[^:]*:\s*", "").rlike("^[\"']"), x).otherwise(bare(x))),
+                     lambda x: ~x.rlike(r"^\s*(---.*)?$"))
+    pattern = r"^([A-Za-z_][\w-]*)\s*:(?:\s+(.*?))?\s*$"
+    key = lambda x: F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(
+        F.raise_error(F.concat(F.lit("not a flat YAML line: "), x)).cast("string"))
+
+    def value(x: Column) -> Column:
+        v = F.regexp_extract(x, pattern, 2)
+        double = F.regexp_extract(v, r'^"((?:[^"\\]|\\.)*)"\s*(?:#.*)?$', 1)
+        single = F.replace(F.regexp_extract(v, r"^'((?:[^']|'')*)'\s*(?:#.*)?$", 1), F.lit("''"), F.lit("'"))
+        return (F.when(v.rlike(r"^(~|null|Null|NULL)?$"), F.lit(None).cast("string")).when(v.startswith('"'), F.regexp_replace(double, r'\\(["\\])', "$1"))
+                .when(v.startswith("'"), single).otherwise(v))
+
+    return F.map_from_entries(F.transform(plain, lambda x: F.struct(key(x).alias("k"), value(x).alias("v"))))
+
+
 def parse_configs(raw: DataFrame, json_col: str = "raw", strict: bool = True) -> DataFrame:
-    """JSON config documents -> typed columns.  Numeric strings such as
-    ``"2e-5"`` are cast.  A field outside the schema fails the query by name
-    (``strict``), or is only listed in ``unknown_fields``."""
-    j = F.col(json_col)
-    get = lambda k: F.get_json_object(j, f"$.{k}")
-    number = lambda k, kind: get(k).try_cast(kind).alias(k)
-    unknown = F.array_except(F.json_object_keys(j), F.array(*[F.lit(k) for k in KNOWN_CONFIG_FIELDS]))
+    """Config documents, JSON or flat YAML, -> typed columns.  Numeric strings such as
+    ``"2e-5"`` are cast.  With ``strict`` a field outside the schema, or a number that is none,
+    fails the query by the field's name; else it is only listed in ``unknown_fields``, or null."""
+    text = F.col(json_col)
+    is_json = F.ltrim(text).startswith("{")
+    fields = F.when(is_json, F.from_json(text, "map<string,string>", {"mode": "FAILFAST"})).otherwise(yaml_fields(text))
+    rows = raw.withColumn("__fields", fields)
+    get = lambda k: F.try_element_at(F.col("__fields"), F.lit(k))
+
+    def number(k: str, kind: str) -> Column:
+        cast = F.trim(get(k)).try_cast(kind)
+        if strict:
+            bad = F.raise_error(F.concat(F.lit(f"{k} is no {kind}: "), get(k))).cast(kind)
+            cast = F.when(get(k).isNotNull() & cast.isNull(), bad).otherwise(cast)
+        return cast.alias(k)
+
+    unknown = F.array_except(F.map_keys("__fields"), F.array(*[F.lit(k) for k in KNOWN_CONFIG_FIELDS]))
     if strict:
         unknown = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown config fields: "), F.array_join(unknown, ", ")))
                          .cast("array<string>")).otherwise(unknown)
-    return raw.select(
-        "*", get("run_name").alias("run"), get("pretrained").alias("pretrained"), get("fusion_mode").alias("fusion_mode"),
-        get("text_col").alias("text_col"), get("emoji_col").alias("emoji_col"), number("max_len", "int"), number("batch_size", "int"),
-        number("lr", "double"), number("epochs", "int"), number("seed", "int"), number("best_dev_macro_f1", "double"),
+    return rows.select(
+        *raw.columns, get("run_name").alias("run"), F.coalesce(get("pretrained"), get("pretrained_name")).alias("pretrained"),
+        get("model_type").alias("model_type"), get("fusion_mode").alias("fusion_mode"), get("text_col").alias("text_col"),
+        get("emoji_col").alias("emoji_col"), *[number(k, kind) for k, kind in NUMBERS.items()],
         F.from_json(get("train_label_counts"), "map<string,bigint>").alias("train_label_counts"), unknown.alias("unknown_fields"))
 
 
+def read_configs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """One document a file, of either form."""
+    return parse_configs(spark.read.text(path, wholetext=True).select(F.col("value").alias("raw")), strict=strict)
+
+
 def with_fallbacks(df: DataFrame, field: str, ckpt_col: str, cfg_col: str, default) -> DataFrame:
     """Checkpoint value, else config-file value, else default."""
     return df.withColumn(field, F.coalesce(F.col(ckpt_col), F.col(cfg_col), F.lit(default)))

@@ -24,7 +24,7 @@ NAMES = """
 🖤 black_heart|⭐ star|🌟 glowing_star|☀️ sun|☁️ cloud|🔥 fire|💯 hundred_points|💩 pile_of_poo|💀 skull|👀 eyes|🎉 party_popper|🏆 trophy
 🚀 rocket|📷 camera|🍕 pizza|☕ hot_beverage|⚽ soccer_ball|✅ check_mark_button|❌ cross_mark|⚠️ warning|™️ trade_mark|©️ copyright
 🇫🇷 France|🇩🇪 Germany|🇬🇧 United_Kingdom|🇺🇸 United_States|🏴󠁧󠁢󠁥󠁮󠁧󠁿 England|🏴󠁧󠁢󠁳󠁣󠁴󠁿 Scotland|👍🏽 thumbs_up_medium_skin_tone|👋🏿 waving_hand_dark_skin_tone
-👨‍👩‍👧 family_man_woman_girl|🇳🇿 flag_NZ|1️⃣ keycap_1|#️⃣ keycap_#
+👨‍👩‍👧 family_man_woman_girl|🇳🇿 New_Zealand|🇧🇦 Bosnia_&_Herzegovina|🇭🇰 Hong_Kong_SAR_China|🇪🇺 European_Union|🇽🇽 flag_XX|🥺 pleading_face|🥴 woozy_face|🤪 zany_face|🥵 hot_face|🤮 face_vomiting|🥳 partying_face|🤞 crossed_fingers|🙋 person_raising_hand|🏃 person_running|1️⃣ keycap_1|#️⃣ keycap_#
 """
 
 
@@ -133,3 +133,21 @@ def test_ablation_arms_and_saved_model(spark, tmp_path):
     ML.save_model(models["lr_concat"], path)
     a, b = ({r.id: r.p for r in ML.score(m, c, "x").collect()} for m in (models["lr_concat"], ML.load_model(path)))
     assert a == b
+
+
+def test_configs_in_yaml(spark):
+    doc = ("---\n# comment\nmodel_type: gated_fusion\npretrained_name: 'roberta-base'   # quoted\nmax_len: 128\nlr: 2e-5\nepochs: \"4\"\n"
+           "seed: 42 # last\nrun_name: \"a # \\\"b\\\"\"\ntext_col: it''s\nemoji_col: ~\nbatch_size:\ntrain_label_counts: {\"0\": 3, \"1\": 4}\n")
+    r = RN.parse_configs(spark.createDataFrame([(doc,)], "raw string")).first()
+    assert (r.model_type, r.pretrained, r.max_len, r.lr, r.epochs, r.seed) == ("gated_fusion", "roberta-base", 128, 2e-5, 4, 42)
+    assert (r.run, r.text_col, r.emoji_col, r.batch_size, r.train_label_counts) == ('a # "b"', "it''s", None, None, {"0": 3, "1": 4})
+
+
+@pytest.mark.parametrize("raw", ['{"run_name": "x", "lr": "fast"}', "run_name: x\nlr: fast\n", "run_name: x\nepochs: 2.5\n", "run_name: x\n  nested: 1\n"])
+def test_bad_numbers_fail_by_field(spark, raw):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    with pytest.raises(Exception, match="lr is no|epochs is no|nested"):
+        RN.parse_configs(df).collect()
+    if "nested" not in raw:
+        row = RN.parse_configs(df, strict=False).first()
+        assert row.run == "x" and row.lr is None and row.epochs is None
