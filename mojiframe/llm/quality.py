@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mojiframe.llm.common import crc_mod, map_text, named_again, narrow, text_buffer, text_rows
-from mojiframe.llm.sampling import training_sample
+from mojiframe.llm.sampling import first_rows, training_sample
 
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 8 << 20
@@ -93,8 +93,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     """The model from the labelled rows where ``where`` (a column of the id) holds."""
     known = narrow(labels.where(where), id=id_col, label=label_col).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    by = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(11), F.col("id").cast("string")), "id")
-    ids = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= SAMPLE_ROWS).select("id", "label")
+    hashed = known.select("id", "label", F.xxhash64(F.lit(11), F.col("id").cast("string")).alias("h"))
+    ids = first_rows(hashed, SAMPLE_ROWS, None, ("h", "id")).select("id", "label")
     # at most 2 * SAMPLE_ROWS ids
     labelled = narrow(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id")
     sample = training_sample(labelled, "id", "text", "label", None, SAMPLE_ROWS, SAMPLE_BYTES)
