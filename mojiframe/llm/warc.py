@@ -61,6 +61,10 @@ def encode_record(page_id: object, url: str | None, payload: bytes, refers_to: o
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block
 
 
+#: Bytes that a decompressor gets at a time: what follows a member is looked at no further.
+MEMBER_PIECE = 1 << 16
+
+
 class Damaged(Exception):
     """Why the bytes at a position are no valid record."""
 
@@ -68,9 +72,12 @@ class Damaged(Exception):
 def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at ``at`` and the position after it; raises Damaged."""
     if data.startswith(GZIP, at):
-        member = zlib.decompressobj(31)
+        member, view, stop, parts = zlib.decompressobj(31), memoryview(data), at, []
         try:
-            inner = member.decompress(data[at:]) + member.flush()
+            while not member.eof and stop < len(data):
+                parts.append(member.decompress(view[stop:stop + MEMBER_PIECE]))
+                stop = min(stop + MEMBER_PIECE, len(data))
+            inner = b"".join([*parts, member.flush()])
         except zlib.error as e:
             raise Damaged(f"compressed member: {e}") from None
         if not member.eof:
@@ -78,7 +85,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         record, end = parse_record(inner, 0) if not inner.startswith(GZIP) else (None, -1)
         if end != len(inner):
             raise Damaged("compressed member holds more than a record")
-        return record, len(data) - len(member.unused_data)
+        return record, stop - len(member.unused_data)
     if not (m := _VERSION.match(data, at)):
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", m.end() - 2)
