@@ -24,9 +24,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
 
 def first_rows(d: DataFrame, rows: int, size: int | None, order: tuple[str, ...]) -> DataFrame:
     """Per ``label`` the first ``rows`` rows by ``order``, as far as ``size`` of the column ``size`` goes.  ``order`` starts with
-    a 64-bit hash.  Counts by its first 16 bits say in which range of hashes a label's
-    list ends, so only the rows up to there are ranked: about ``rows`` and one 65,536th of the label."""
-    d = d.withColumn("__range", F.shiftright(F.col(order[0]), 48))
+    a 64-bit hash.  Counts by its first 12 bits say in which range of hashes a label's
+    list ends, so only the rows up to there are ranked: about ``rows`` and one 4,096th of the label."""
+    d = d.withColumn("__range", F.shiftright(F.col(order[0]), 52))
     upto = Window.partitionBy("label").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = d.groupBy("label", "__range").agg(F.count("*").alias("n"), F.sum("size" if size else F.lit(0)).alias("bytes"))
     before = counts.select("label", "__range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes").over(upto), F.lit(0)).alias("bytes"))
