@@ -33,7 +33,7 @@ def test_no_rows(spark, hollow, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()}
     assert "pipeline" in entry.queries()
 
 
