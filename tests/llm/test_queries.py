@@ -206,7 +206,7 @@ def test_language_held_out_accuracy(spark):
 def test_oracles(spark):
     """The SQL of each query gives its rows."""
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     for name, sql in catalog.oracle_sql().items():
         want = con.execute(sql)
