@@ -191,18 +191,51 @@ def g23_emoji_sequence_frequency(spark, sf):
     return R.emoji_frequency(T.documents_emoji(spark, sf), sequences=True)
 
 
-@register("k10_run_names", lambda: _w("SELECT DISTINCT run FROM preds"))
+@register("k10_run_names", lambda: _w(
+    "SELECT run, regexp_extract(run, '^(text_only|emoji_only|concat|gated)_', 1) AS fusion_mode, regexp_extract(run, '_(x_[a-z]+)_roberta', 1) AS text_col, "
+    "CAST(regexp_extract(run, '_lr([^_]+)_', 1) AS DOUBLE) AS lr, CAST(regexp_extract(run, '_ep([0-9]+)_', 1) AS INTEGER) AS epochs, "
+    "CAST(regexp_extract(run, '_bs([0-9]+)_', 1) AS INTEGER) AS batch_size, CAST(regexp_extract(run, '_seed([0-9]+)$', 1) AS INTEGER) AS seed, "
+    "true AS same, count(*) AS n, CAST(sum(y_pred) AS BIGINT) AS n_positive FROM preds GROUP BY run"))
 def k10_run_names(spark, sf):
-    return preds(spark, sf).select("run").distinct()
+    """The names of the runs with predictions, read back into fields, built again from them, and their rows."""
+    runs = preds(spark, sf).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_pred").cast("long")).alias("n_positive"))
+    f = lambda k: F.col("f")[k]
+    fields = ("fusion_mode", "text_col", "lr", "epochs", "batch_size", "seed")
+    again = RN.make_run_name(f("fusion_mode"), f("text_col"), f("lr"), f("epochs"), f("batch_size"), f("seed"))
+    return runs.withColumn("f", RN.run_name_fields(F.col("run"))).select(
+        "run", *[f(k).alias(k) for k in fields], (again == F.col("run")).alias("same"), "n", "n_positive")
 
 
-@register("s08_discover_runs", lambda: _w(
-    f"SELECT run, seed FROM ({S.runs_sql()}) r, (SELECT 43 AS seed) s "
-    f"WHERE NOT starts_with(run, '_') AND run IN (SELECT run FROM preds) ORDER BY run"))
+def _s08_sql() -> str:
+    # a run of every arm and fold of the corpus; folds are seeds
+    name = "replace(run, '_seed43', '_seed' || CAST(42 + id % 3 AS VARCHAR))"
+    return _w(f"SELECT {name} AS run, 42 + CAST(any_value(id % 3) AS INTEGER) AS seed, count(*) AS n FROM preds "
+              f"WHERE id % 3 <> 0 AND run NOT LIKE 'concat%' AND (run NOT LIKE 'gated%' OR id % 3 <> 1) GROUP BY {name} "
+              f"HAVING seed = 43 OR seed = 44 ORDER BY run")
+
+
+@register("s08_discover_runs", _s08_sql)
 def s08_discover_runs(spark, sf):
-    have = preds(spark, sf).select("run").distinct().withColumn("has_ckpt", F.lit(True))
-    cfg = RN.run_config(spark).join(have, "run", "left")
-    return RN.discover_runs(cfg, F.coalesce(F.col("has_ckpt"), F.lit(False)), only_seed=43).select("run", "seed")
+    """Predictions of every arm and fold (id modulo 3, as seeds 42 to 44) are stored through the
+    commit log, with a config document a run; runs of ``concat`` have underscored folders, ``gated`` of seed 43 has
+    rows that were staged but never committed, and ``missing`` has a config without rows.  Those left of seeds 43 and 44, with their rows."""
+    from mojiframe.sources import io as IO
+    from mojiframe.sources import runlog
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/discovery-{uuid.uuid4().hex}"
+    seed = F.pmod("id", F.lit(3)).cast("int") + 42
+    p = preds(spark, sf).select(F.regexp_replace("run", "_seed43$", F.concat(F.lit("_seed"), seed.cast("string"))).alias("run"), "id", "y_true", "y_pred", "p")
+    p = p.withColumn("run", F.when(F.col("run").startswith("concat"), F.concat(F.lit("_"), "run")).otherwise(F.col("run")))
+    lost = F.col("run").startswith("gated") & F.col("run").endswith("seed43")
+    IO.write_predictions(p.where(~lost), f"{root}/predictions")
+    runlog.stage(p.where(lost), f"{root}/predictions")
+    cfg = p.select("run").distinct().union(spark.createDataFrame([("missing",)], "run string"))
+    number = F.coalesce(F.regexp_extract("run", r"_seed(\d+)$", 1).try_cast("int"), F.lit(43))
+    doc = F.to_json(F.struct(F.col("run").alias("run_name"), F.lit("gated").alias("fusion_mode"), number.alias("seed")))
+    cfg.select(F.col("run").alias("run_folder"), doc.alias("value")).write.partitionBy("run_folder").text(f"{root}/configs")
+    found = [RN.discover_stored_runs(spark, f"{root}/predictions", f"{root}/configs", only_seed=s).select("run", "seed") for s in (43, 44)]
+    rows = IO.read_predictions(spark, f"{root}/predictions").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return found[0].union(found[1]).join(rows, "run").select("run", "seed", "n").orderBy("run")
 
 
 def _s09_sql() -> str:

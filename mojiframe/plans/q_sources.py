@@ -90,6 +90,17 @@ def k02_split_tables(spark, sf):
     return spark.read.parquet(f"{path}/ids").select("id", "split")
 
 
+@register("s04_split_manifest", lambda: f"SELECT id, split, true AS bounded FROM {_split_sql()}")
+def s04_split_manifest(spark, sf):
+    """The stored split as JSON manifests of at most 1,000 ids each, read back into rows; whether every array is as short."""
+    path = _scratch(spark, "manifest")
+    IO.write_splits(_split(spark, sf), f"{path}/table", 42, 0.15, "test.csv")
+    IO.write_split_manifest(spark.read.parquet(f"{path}/table/ids").select("id", "split"), f"{path}/documents", 42, 0.15, "test.csv", per_document=1000)
+    docs = spark.read.schema(IO.MANIFEST_SCHEMA).option("multiLine", True).json(f"{path}/documents")
+    bounded = docs.agg(F.max(F.size("train_ids") + F.size("dev_ids")) <= 1000)
+    return IO.read_split_manifest(spark, f"{path}/documents").select("id", "split", bounded.scalar().alias("bounded"))
+
+
 @register("s05_train_dev_rows", lambda: (
     f"SELECT c.id, c.label, s.split FROM ({S.corpus_sql()}) c JOIN {_split_sql()} s ON c.id = s.id"))
 def s05_train_dev_rows(spark, sf):

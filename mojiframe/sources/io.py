@@ -87,7 +87,7 @@ MANIFEST_SCHEMA = T.StructType([
 
 
 def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A nested JSON manifest (id arrays) -> ``(id, split)`` rows."""
+    """Nested JSON manifests (id arrays), one document a file -> ``(id, split)`` rows."""
     m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
     return (m.select(F.explode("train_ids").alias("id"), F.lit("train").alias("split"))
             .unionByName(m.select(F.explode("dev_ids").alias("id"), F.lit("dev").alias("split"))))
@@ -104,6 +104,20 @@ def write_splits(splits: DataFrame, path: str, seed: int, dev_size: float, test_
         .write.mode(mode).json(f"{path}/manifest")
 
 
+def write_split_manifest(splits: DataFrame, path: str, seed: int, dev_size: float, test_file: str, per_document: int = 100_000,
+                         mode: str = "errorifexists") -> None:
+    """S4's form written at any size: JSON documents with ``train_ids`` and ``dev_ids``, a
+    file each, of at most ``per_document`` ids, so that no split passes through one array.
+    A block of a partition's rows is one document; ``splits`` (id not null, split) should be
+    a stored table, whose rows come in the same order when a task runs again."""
+    place = F.monotonically_increasing_id()  # partition above bit 33, row below
+    block = F.struct(F.shiftright(place, 33).alias("part"), F.floor(F.pmod(place, F.lit(1 << 33)) / per_document).alias("n"))
+    ids = [F.collect_list(F.when(F.col("split") == s, F.col("id"))).alias(f"{s}_ids") for s in ("train", "dev")]
+    docs = splits.where(F.col("split").isin("train", "dev")).withColumn("__block", block).groupBy("__block").agg(*ids)
+    docs = docs.select("train_ids", "dev_ids", F.lit(test_file).alias("test_file"), F.lit(seed).alias("seed"), F.lit(float(dev_size)).alias("dev_size"))
+    docs.write.mode(mode).option("maxRecordsPerFile", 1).json(path)
+
+
 def _read_or_none(read):
     """A read whose path may be missing; any other failure is an error."""
     from pyspark.errors import AnalysisException

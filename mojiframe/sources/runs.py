@@ -47,6 +47,16 @@ def make_run_name(mode: Column, text_col: Column, lr: Column, epochs: Column,
                            mode, text_col, lr_str, epochs, batch_size, seed)
 
 
+def run_name_fields(run: Column) -> Column:
+    """The fields that K10 puts in a run name, read back: a struct of fusion_mode, text_col, lr, epochs,
+    batch_size and seed, null where the name is of another form."""
+    form = r"^(text_only|emoji_only|concat|gated)_(.+)_roberta_lr([0-9.eE+-]+)_ep(\d+)_bs(\d+)_seed(\d+)$"
+    part = lambda k: F.regexp_extract(run, form, k)
+    fields = F.struct(part(1).alias("fusion_mode"), part(2).alias("text_col"), part(3).try_cast("double").alias("lr"), part(4).try_cast("int").alias("epochs"),
+                      part(5).try_cast("int").alias("batch_size"), part(6).try_cast("int").alias("seed"))
+    return F.when(run.rlike(form), fields)
+
+
 def run_config(spark: SparkSession) -> DataFrame:
     """One row per run, with its deterministic name."""
     rows = [(no, mode, col, SHARED["pretrained"], SHARED["emoji_col"], SHARED["max_len"],
@@ -77,6 +87,21 @@ def discover_runs(configs: DataFrame, has_checkpoint: Column | None = None,
     return configs.where(cond).orderBy("run")
 
 
+def discover_stored_runs(spark: SparkSession, predictions: str, configs: str, only_seed: int | None = None) -> DataFrame:
+    """S8 over what is stored: run folders that have a config document (``run_folder=<name>``
+    below ``configs``) and committed rows (in the log of ``predictions``), not named ``_...``,
+    optionally of one seed, sorted by name.  Names come from the log's records; no row is read."""
+    from mojiframe.sources.runlog import RunLog
+
+    text = spark.read.text(configs, wholetext=True)
+    if "run_folder" not in text.columns:
+        raise ValueError(f"no run_folder=<name> folders in {configs}")
+    parsed = parse_configs(text.select(F.col("value").alias("raw"), F.col("run_folder").cast("string").alias("run_folder")))
+    stored = spark.createDataFrame([(r,) for r in sorted(RunLog(spark, predictions).runs())], "stored string")
+    have = parsed.join(stored, F.col("run_folder") == F.col("stored"), "left").drop("run", "raw").withColumnRenamed("run_folder", "run")
+    return discover_runs(have, F.col("stored").isNotNull(), only_seed).drop("stored")
+
+
 NUMBERS = {"max_len": "int", "batch_size": "int", "lr": "double", "epochs": "int", "seed": "int", "best_dev_macro_f1": "double"}
 
 

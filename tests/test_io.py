@@ -56,6 +56,56 @@ def test_manifest_and_missing_json(spark):
     assert empty.count() == 0
 
 
+def test_manifests_of_bounded_arrays(spark):
+    d = tempfile.mkdtemp(prefix="mf-mans-")
+    rows = [(i, "dev" if i % 7 == 0 else "train") for i in range(1000)] + [(5, "train"), (1000, "test")]
+    spark.createDataFrame(rows, "id long, split string").repartition(3).write.parquet(f"{d}/ids")
+    IO.write_split_manifest(spark.read.parquet(f"{d}/ids"), f"{d}/docs", 42, 0.15, "t.csv", per_document=64)
+    files = [f for f in os.listdir(f"{d}/docs") if f.endswith(".json")]
+    assert len(files) >= 16
+    docs = spark.read.schema(IO.MANIFEST_SCHEMA).json(f"{d}/docs").collect()
+    assert len(docs) == len(files) and max(len(r.train_ids) + len(r.dev_ids) for r in docs) <= 64
+    assert {(r.test_file, r.seed, r.dev_size) for r in docs} == {("t.csv", 42, 0.15)}
+    got = sorted((r.id, r.split) for r in IO.read_split_manifest(spark, f"{d}/docs").collect())
+    assert got == sorted(x for x in rows if x[1] != "test")      # a repeated id stays repeated
+    empty = f"{d}/none"
+    IO.write_split_manifest(spark.read.parquet(f"{d}/ids").where("id < 0"), empty, 42, 0.15, "t.csv")
+    assert IO.read_split_manifest(spark, empty).count() == 0
+
+
+def test_stored_runs_are_discovered(spark):
+    from mojiframe.sources import runlog
+    from mojiframe.sources import runs as RN
+
+    d = tempfile.mkdtemp(prefix="mf-found-")
+    preds = spark.createDataFrame([("b", 1, 1, 1, 0.9), ("a", 1, 1, 0, 0.1), ("_final", 1, 1, 1, 0.9), ("old", 1, 1, 1, 0.9)],
+                                  "run string, id long, y_true int, y_pred int, p double")
+    IO.write_predictions(preds, f"{d}/p")
+    runlog.stage(preds.limit(1).selectExpr("'half' AS run", "id", "y_true", "y_pred", "p"), f"{d}/p")
+    for run, text in {"a": '{"run_name": "a", "seed": 43}', "b": "run_name: b\nseed: 44\n", "_final": "seed: 43\n",
+                      "half": "seed: 43\n", "untrained": "seed: 43\n"}.items():
+        os.makedirs(f"{d}/c/run_folder={run}")
+        with open(f"{d}/c/run_folder={run}/config.txt", "w") as f:
+            f.write(text)
+    found = lambda seed=None: [(r.run, r.seed) for r in RN.discover_stored_runs(spark, f"{d}/p", f"{d}/c", seed).collect()]
+    assert found() == [("a", 43), ("b", 44)]                     # sorted; "old" has no config, "half" no commit
+    assert found(44) == [("b", 44)] and found(1) == []
+
+
+def test_run_names_both_ways(spark):
+    from pyspark.sql import functions as F
+
+    from mojiframe.sources import runs as RN
+
+    rows = [("gated", "x_text", 2e-5, 4, 16, 43), ("text_only", "x_full", 0.01, 1, 8, 0), ("concat", "my_roberta_col", 5e-4, 12, 32, 7)]
+    df = spark.createDataFrame(rows, "m string, c string, lr double, e int, b int, s int")
+    df = df.withColumn("run", RN.make_run_name(*[F.col(x) for x in ("m", "c", "lr", "e", "b", "s")])).withColumn("f", RN.run_name_fields(F.col("run")))
+    for r in df.collect():
+        assert tuple(r.f) == (r.m, r.c, r.lr, r.e, r.b, r.s), r.run
+    other = spark.createDataFrame([("_final",), ("",), (None,)], "run string").select(RN.run_name_fields(F.col("run")).alias("f")).collect()
+    assert [r.f for r in other] == [None] * 3
+
+
 def test_train_dev_load_and_sinks(spark):
     from mojiframe.operators.splits import stratified_split
     from mojiframe.sources import runs as RN
