@@ -1,18 +1,16 @@
 """Line de-duplication by content-defined chunks.
 
-A line ends at a newline; sentences of a line (``. ``, ``! ``, ``? ``) are lines of
-their own, so that passages set as one paragraph are runs of lines too.  A chunk
-ends where a rolling hash over the last two line hashes is 0 modulo ``every``, so
-boundaries depend on nearby content only and survive insertions elsewhere.  A
-paragraph of ``paragraph_words`` words or more always is one chunk, and chunks have two
-lines or more otherwise.
-
-With ``every`` 0, the default, chunks end between words instead, inside of paragraphs too,
-so that a passage has boundaries of its own wherever it stands.  Every word has a rank
-from itself and the next, words that open a line before those that open a sentence and
-these before others; a chunk starts at each word of lower rank than the
-``min_words`` - 1 before and after it, and longer stretches are dealt on from there
-by the lowest rank among the words at ``min_words`` to 2 ``min_words`` - 1.  Texts and paragraphs of ``paragraph_words``
+Every text is cut into short lines: one starts at every line (after a newline), at every sentence
+(after a word that ends in ``.``, ``!`` or ``?``) and inside of sentences at each word whose hash is
+lower than those of the words before and after it (some three words each), so that text set as one
+paragraph, or without any sentence, is a run of lines too.  Each has a hash, and a rolling
+hash goes over two line hashes, a line's own and the next one's.
+
+A chunk starts at a line whose rolling hash is lower than those of all lines that start up to
+``min_words`` - 1 words before or after it, where those that open a line come first and those that open a sentence
+second.  Boundaries so depend on nearby content only and survive insertions elsewhere.
+Longer stretches are dealt on from there by the lowest rolling hash among the lines that start at ``min_words`` to 2 ``min_words`` - 1
+words (at ``min_words`` words where none does).  Texts and paragraphs of ``paragraph_words``
 words or more start and end chunks, so that a repeated one goes whole.
 
 Chunks of ``min_words`` words or more that occur more than
@@ -38,9 +36,8 @@ from pyspark.sql import functions as F
 
 from mojiframe.llm import bitmap
 from mojiframe.llm.common import map_text, materialise, named_again, release, slices, text_buffer, text_rows
-from mojiframe.llm.words import SPACE_WORDS, mix, span_hashes, split
+from mojiframe.llm.words import SPACE_WORDS, Words, mix, span_hashes, split
 
-EVERY = 0  # chunks end between words
 MIN_WORDS = 10
 PARAGRAPH_WORDS = 24
 
@@ -49,51 +46,6 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def chunks(raw: np.ndarray, offsets: np.ndarray, every: int = EVERY, min_words: int = MIN_WORDS,
-           paragraph_words: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, ...]:
-    """Of the chunks that count: row, start and end of the span, end of its bytes
-    without trailing white space, hash."""
-    if not every:
-        return word_chunks(raw, offsets, min_words, paragraph_words)
-    n = len(raw)
-    none = np.zeros(0, np.int64)
-    if not n:
-        return none, none, none, none, np.zeros(0, _U)
-    doc_start = np.zeros(n + 1, bool)
-    doc_start[offsets] = True
-    newline = np.append(False, raw == 10)          # a line ended just before
-    opens = doc_start[:n] | newline[:n]
-    opens[2:] |= (raw[1:-1] == 32) & _STOP[raw[:-2]]
-    starts = np.flatnonzero(opens)
-    ends = np.append(starts[1:], n)
-    solid = np.where(SPACE_WORDS[raw], -1, np.arange(n))
-    last = np.maximum.accumulate(solid)[ends - 1] + 1
-    full = last > starts                            # lines of white space belong to the one before
-    starts, last = starts[full], last[full]
-    if not len(starts):
-        return none, none, none, none, np.zeros(0, _U)
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    ends = np.append(starts[1:], n)
-    ends = np.where(np.append(doc[1:] != doc[:-1], True), offsets[doc + 1], ends)
-    word = split(raw, offsets, SPACE_WORDS).starts
-    words = np.searchsorted(word, ends) - np.searchsorted(word, starts)
-    paragraph = np.cumsum(np.append(newline[:n] | doc_start[:n], False))[starts]
-    head = np.append(True, paragraph[1:] != paragraph[:-1])
-    long = np.add.reduceat(words, np.flatnonzero(head))[np.cumsum(head) - 1] >= paragraph_words
-    h = span_hashes(raw, starts, last)
-    first = np.append(True, doc[1:] != doc[:-1])
-    before = np.where(first, _U(0), np.append(_U(0), h[:-1]))
-    rolling = mix(h * _U(0x9E3779B97F4A7C15) + before)
-    cut = np.append(True, (rolling[:-1] % _U(every) == 0) & ~long[:-1])  # after the line before
-    cut |= first | (head & (long | np.append(False, long[:-1])))
-    at = np.flatnonzero(cut)
-    stop = np.append(at[1:], len(starts))
-    lines, size = stop - at, np.add.reduceat(words, at)
-    keep = (size >= min_words) & ((lines > 1) | long[at])
-    at, stop = at[keep], stop[keep]
-    return doc[at], starts[at], ends[stop - 1], last[stop - 1], span_hashes(raw, starts[at], last[stop - 1])
-
-
 def _lowest(v: np.ndarray, n: int) -> np.ndarray:
     """The lowest of each ``n`` values in a row."""
     k = 1
@@ -102,8 +54,18 @@ def _lowest(v: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (n - k)], v[n - k:]) if n > k else v
 
 
-def word_chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int, paragraph_words: int) -> tuple[np.ndarray, ...]:
-    """The chunks that end between words, as ``chunks`` returns them."""
+def _rolling(w: Words, at: np.ndarray) -> np.ndarray:
+    """Of the short lines that start at the words ``at``: the hash over its own line hash and the next one's of its text."""
+    h = span_hashes(w.data, w.starts[at], w.ends[np.append(at[1:], len(w.starts)) - 1])
+    doc = w.doc[at]
+    after = np.where(np.append(doc[1:] == doc[:-1], False), np.append(h[1:], _U(0)), _U(0))
+    return mix(h * _U(0x9E3779B97F4A7C15) + after)
+
+
+def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS,
+           paragraph_words: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, ...]:
+    """Of the chunks that count: row, start and end of the span, end of its bytes
+    without trailing white space, hash."""
     w = split(raw, offsets, SPACE_WORDS)
     n, starts, doc = len(w.starts), w.starts, w.doc
     if not n:
@@ -112,15 +74,18 @@ def word_chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int, paragraph_
     first = np.append(True, doc[1:] != doc[:-1])
     newlines = np.append(0, np.cumsum(raw == 10))[starts]
     line = first | np.append(True, newlines[1:] != newlines[:-1])
+    sentence = line | np.append(True, _STOP[raw[w.ends[:-1] - 1]])
+    h = w.hashes()
+    short = sentence.copy()
+    short[1:-1] |= (h[1:-1] < h[:-2]) & (h[1:-1] < h[2:]) & ~first[2:]  # the last word of a text opens none
+    at = np.flatnonzero(short)
+    rank = np.full(n, ~_U(0))
+    rank[at] = (_rolling(w, at) >> _U(2)) + np.where(line[at], _U(1), np.where(sentence[at], _U(1 << 62), _U(2 << 62)))
     paragraph = np.flatnonzero(line)
     long = np.diff(np.append(paragraph, n)) >= paragraph_words
     fixed = first.copy()
     fixed[paragraph[long]] = True
     fixed[paragraph[1:][long[:-1]]] = True
-    h = w.hashes()
-    rank = mix(h * _U(0x9E3779B97F4A7C15) + np.where(np.append(first[1:], True), _U(0), np.append(h[1:], _U(0))))
-    sentence = np.append(True, _STOP[raw[w.ends[:-1] - 1]])
-    rank = (rank >> _U(2)) + np.where(line, _U(1), np.where(sentence, _U(1 << 62), _U(2 << 62)))
     rank[fixed] = 0
     edge = np.zeros(2 * min_words, _U)
     wide = np.concatenate([edge, rank, edge])       # texts end at a 0 on either side
@@ -150,7 +115,7 @@ def word_chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int, paragraph_
     return doc[at], begin[at], end, w.ends[stop - 1], span_hashes(raw, begin[at], w.ends[stop - 1])
 
 
-def _occurrences(rows: DataFrame, params: tuple[int, int, int], wanted=None) -> DataFrame:
+def _occurrences(rows: DataFrame, params: tuple[int, int], wanted=None) -> DataFrame:
     """h, size, id, key, a, b (span) of the chunks; with ``wanted``, a bitmap, only those it may hold, and their bytes."""
     kind = rows.schema["id"].dataType.simpleString()
     names = ["h", "size", "id", "key", "a", "b"] + ["bytes"] * (wanted is not None)
@@ -176,10 +141,10 @@ def _occurrences(rows: DataFrame, params: tuple[int, int, int], wanted=None) ->
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
-                every: int = EVERY, min_words: int = MIN_WORDS, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
+                min_words: int = MIN_WORDS, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
     """One row per document: id, text without the chunks that went, n_removed (chunks),
     removed_bytes, and the columns ``keep``."""
-    params = (every, min_words, paragraph_words)
+    params = (min_words, paragraph_words)
     rows = text_rows(docs, id_col, text_col, keep).withColumn("key", F.xxhash64("text"))
     short = rows.select("id", "text", "key")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "a")

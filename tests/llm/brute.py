@@ -112,3 +112,58 @@ class Lm:
             yield (len(w), sum(self.c[1][(t,)] > 0 for t in w), self.n,
                    sum(math.log10((self.c[1][(t,)] + 1) / (self.n + self.v + 1)) for t in w),
                    sum(-self.step * self.code(tuple(x[max(0, p - self.order + 1):p]), x[p]) for p in range(1, len(x))))
+
+
+def line_chunks(text, min_words=10, paragraph_words=24):
+    """(start, end, end without white space), in bytes, of the line chunks that count, a word at a time."""
+    import numpy as np
+
+    from mojiframe.llm.words import mix, span_hashes
+
+    raw = text.encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    n = len(words)
+    if not n:
+        return []
+
+    def hashed(a, b):
+        return int(span_hashes(np.frombuffer(low[a:b], np.uint8), np.array([0]), np.array([b - a]))[0])
+
+    h = [hashed(a, b) for a, b in words]
+    line = [k == 0 or b"\n" in raw[words[k - 1][1]:words[k][0]] for k in range(n)]
+    sentence = [line[k] or raw[words[k - 1][1] - 1:words[k - 1][1]] in (b".", b"!", b"?") for k in range(n)]
+    opens = [k for k in range(n) if sentence[k] or (0 < k < n - 1 and h[k] < h[k - 1] and h[k] < h[k + 1])]
+    own = [hashed(words[k][0], words[(*opens[1:], n)[j] - 1][1]) for j, k in enumerate(opens)]
+    rank = {}
+    for j, k in enumerate(opens):
+        rolled = (own[j] * 0x9E3779B97F4A7C15 + (own[j + 1] if j + 1 < len(own) else 0)) % 2**64
+        kind = 0 if line[k] else 1 if sentence[k] else 2
+        rank[k] = (kind, int(mix(np.array([rolled], np.uint64))[0]) >> 2)
+    paragraphs = [k for k in range(n) if line[k]] + [n]
+    fixed = {0, n}
+    for a, b in zip(paragraphs, paragraphs[1:]):
+        if b - a >= paragraph_words:
+            fixed |= {a, b}
+    none = (3, 0)
+    for k in fixed:
+        rank[k] = (-1, 0)
+    starts = set(fixed)
+    for k in opens:
+        near = [j for j in range(k - min_words + 1, k + min_words) if j != k]
+        if all(0 <= j < n and rank[k] < rank.get(j, none) for j in near):
+            starts.add(k)
+    for a, b in list(zip(sorted(starts), sorted(starts)[1:])):
+        while b - a >= 2 * min_words:
+            a = min(range(a + min_words, a + 2 * min_words), key=lambda j: rank.get(j, none))
+            if a > b - min_words:
+                break
+            starts.add(a)
+    out, ordered = [], sorted(starts)
+    for a, b in zip(ordered, ordered[1:]):
+        if b - a < min_words:
+            continue
+        begin, last = words[a][0] if a else 0, words[b - 1][1]
+        end = words[b][0] if b < n else len(raw)
+        out.append((begin, last if (b == n or line[b]) and not line[a] else end, last))
+    return out

@@ -2,7 +2,6 @@
 
 import gzip
 import random
-import re
 
 import numpy as np
 import pytest
@@ -12,7 +11,7 @@ from mojiframe.llm.annsearch import CollisionIndex
 from mojiframe.llm.decontaminate import Patterns, _scan
 from mojiframe.llm.eliasfano import EliasFano, TrieLevel
 from mojiframe.llm.setjoin import parity_bitmaps, shared_counts
-from mojiframe.llm.words import ALNUM_WORDS, SPACE_WORDS, mix, span_hashes, split
+from mojiframe.llm.words import ALNUM_WORDS, SPACE_WORDS, split
 
 from . import brute
 
@@ -99,45 +98,6 @@ def test_shared_counts():
             assert i == j or got[i, j] == len(np.intersect1d(rows[i], rows[j]))
 
 
-def plain_chunks(text, every, min_words, paragraph_words):
-    """(start, end, end without white space) of the chunks that count, by characters of an ASCII text."""
-    units, para = [], -1
-    for m in re.finditer(r"[^\n]*\n|[^\n]+\Z", text):
-        para += 1
-        pos = m.start()
-        for s in re.split(r"(?<=[.!?] )", m[0]):
-            units.append([pos, pos + len(s), s, para])
-            pos += len(s)
-    merged = []
-    for a, b, s, p in units:
-        if s.strip(" \t\n\x0b\x0c\r"):
-            merged.append([a, b, s, p])
-        elif merged:
-            merged[-1][1] = b
-    size = {}
-    for a, b, s, p in merged:
-        size[p] = size.get(p, 0) + len(brute.space_words(s))
-    h = [span_hashes(np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(s.rstrip(" \t\n\x0b\x0c\r"))])) for _, _, s, _ in merged]
-    groups = []
-    for k, (a, b, s, p) in enumerate(merged):
-        new = k == 0
-        if k:
-            q = merged[k - 1][3]
-            if p != q and (size[p] >= paragraph_words or size[q] >= paragraph_words):
-                new = True
-            elif size[q] < paragraph_words:
-                before = h[k - 2] if k > 1 else np.zeros(1, np.uint64)
-                new = mix(h[k - 1] * np.uint64(0x9E3779B97F4A7C15) + before)[0] % np.uint64(every) == 0
-        groups.append([k]) if new else groups[-1].append(k)
-    out = []
-    for g in groups:
-        a, b = merged[g[0]][0], merged[g[-1]][1]
-        n = sum(len(brute.space_words(merged[k][2])) for k in g)
-        if n >= min_words and (len(g) > 1 or size[merged[g[0]][3]] >= paragraph_words):
-            out.append((a, b, a + len(text[a:b].rstrip(" \t\n\x0b\x0c\r"))))
-    return out
-
-
 def test_line_chunks():
     rng = random.Random(6)
     texts = []
@@ -145,11 +105,24 @@ def test_line_chunks():
         lines = [" ".join(rng.choice(["ab", "c.", "dd!", "e", "f?"]) for _ in range(rng.choice([0, 1, 2, 5, 9, 30]))) for _ in range(rng.randint(0, 14))]
         texts.append("\n".join(lines) + rng.choice(["", "\n", " "]))
     raw, offsets = buffer(texts)
-    doc, a, b, c, _ = linededup.chunks(raw, offsets, 3, 4, 20)
-    for i, t in enumerate(texts):
-        own = doc == i
-        got = [tuple(int(v) for v in x) for x in zip(a[own] - offsets[i], b[own] - offsets[i], c[own] - offsets[i])]
-        assert got == plain_chunks(t, 3, 4, 20), repr(t)
+    for size in [(4, 20), (10, 24), (2, 6), (1, 3)]:
+        doc, a, b, c, _ = linededup.chunks(raw, offsets, *size)
+        for i, t in enumerate(texts):
+            own = doc == i
+            got = [tuple(int(v) for v in x) for x in zip(a[own] - offsets[i], b[own] - offsets[i], c[own] - offsets[i])]
+            assert got == brute.line_chunks(t, *size), repr(t)
+
+
+def test_chunk_starts_depend_on_what_is_near():
+    rng = random.Random(9)
+    for _ in range(20):
+        words = [f"w{rng.randrange(1 << 30)}" for _ in range(400)]
+        starts = []
+        for t in (" ".join(words), " ".join(["an", "odd", "start", *words])):
+            raw, offsets = buffer([t])
+            starts.append({len(t) - int(x) for x in linededup.chunks(raw, offsets)[1]})
+        far = {x for x in starts[0] if x < len(" ".join(words[60:]))}
+        assert far == {x for x in starts[1] if x < len(" ".join(words[60:]))}
 
 
 def test_language_features_by_block(monkeypatch):

@@ -3,7 +3,6 @@
 import base64
 import hashlib
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -28,7 +27,7 @@ def dedup_lines(docs, keys):
     for k in sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, keys[k] or 0)):
         raw = (docs[k][1] or "").encode()
         place, at, left, gone = (docs[k][0], keys[k]), 0, [], 0
-        for _, a, b, c, _ in zip(*linededup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))):
+        for a, b, c in brute.line_chunks(raw.decode()):
             if seen.setdefault(raw[a:c], (place, a)) != (place, a):
                 left.append(raw[at:a])
                 at, gone = b, gone + 1
