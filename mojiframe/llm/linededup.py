@@ -2,9 +2,9 @@
 
 Every text is cut into short lines: one starts at every line (after a newline), at every sentence
 (after a word that ends in ``.``, ``!`` or ``?``) and inside of sentences at each word whose hash is
-lower than those of the words before and after it (some three words each), so that text set as one
+lower than those of the words before and after it in the sentence (some three words each), so that text set as one
 paragraph, or without any sentence, is a run of lines too.  Each has a hash, and a rolling
-hash goes over two line hashes, a line's own and the next one's.
+hash goes over two line hashes, a line's own and the next one's of its text or long paragraph.
 
 A chunk starts at a line whose rolling hash is lower than those of all lines that start up to
 ``min_words`` - 1 words before or after it, where those that open a line come first and those that open a sentence
@@ -54,11 +54,11 @@ def _lowest(v: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (n - k)], v[n - k:]) if n > k else v
 
 
-def _rolling(w: Words, at: np.ndarray) -> np.ndarray:
-    """Of the short lines that start at the words ``at``: the hash over its own line hash and the next one's of its text."""
+def _rolling(w: Words, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Of the short lines that start at the words ``at``: the hash over its own line hash and the next one's;
+    at ``fixed`` words it begins anew, so that what is before does not depend on what follows."""
     h = span_hashes(w.data, w.starts[at], w.ends[np.append(at[1:], len(w.starts)) - 1])
-    doc = w.doc[at]
-    after = np.where(np.append(doc[1:] == doc[:-1], False), np.append(h[1:], _U(0)), _U(0))
+    after = np.where(np.append(fixed[at[1:]], True), _U(0), np.append(h[1:], _U(0)))
     return mix(h * _U(0x9E3779B97F4A7C15) + after)
 
 
@@ -77,15 +77,15 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS,
     sentence = line | np.append(True, _STOP[raw[w.ends[:-1] - 1]])
     h = w.hashes()
     short = sentence.copy()
-    short[1:-1] |= (h[1:-1] < h[:-2]) & (h[1:-1] < h[2:]) & ~first[2:]  # the last word of a text opens none
-    at = np.flatnonzero(short)
-    rank = np.full(n, ~_U(0))
-    rank[at] = (_rolling(w, at) >> _U(2)) + np.where(line[at], _U(1), np.where(sentence[at], _U(1 << 62), _U(2 << 62)))
+    short[1:-1] |= (h[1:-1] < h[:-2]) & (h[1:-1] < h[2:]) & ~sentence[2:]  # a sentence's last word opens none
     paragraph = np.flatnonzero(line)
     long = np.diff(np.append(paragraph, n)) >= paragraph_words
     fixed = first.copy()
     fixed[paragraph[long]] = True
     fixed[paragraph[1:][long[:-1]]] = True
+    at = np.flatnonzero(short)
+    rank = np.full(n, ~_U(0))
+    rank[at] = (_rolling(w, at, fixed) >> _U(2)) + np.where(line[at], _U(1), np.where(sentence[at], _U(1 << 62), _U(2 << 62)))
     rank[fixed] = 0
     edge = np.zeros(2 * min_words, _U)
     wide = np.concatenate([edge, rank, edge])       # texts end at a 0 on either side

@@ -133,18 +133,18 @@ def line_chunks(text, min_words=10, paragraph_words=24):
     h = [hashed(a, b) for a, b in words]
     line = [k == 0 or b"\n" in raw[words[k - 1][1]:words[k][0]] for k in range(n)]
     sentence = [line[k] or raw[words[k - 1][1] - 1:words[k - 1][1]] in (b".", b"!", b"?") for k in range(n)]
-    opens = [k for k in range(n) if sentence[k] or (0 < k < n - 1 and h[k] < h[k - 1] and h[k] < h[k + 1])]
+    opens = [k for k in range(n) if sentence[k] or (0 < k < n - 1 and not sentence[k + 1] and h[k] < h[k - 1] and h[k] < h[k + 1])]
     own = [hashed(words[k][0], words[(*opens[1:], n)[j] - 1][1]) for j, k in enumerate(opens)]
-    rank = {}
-    for j, k in enumerate(opens):
-        rolled = (own[j] * 0x9E3779B97F4A7C15 + (own[j + 1] if j + 1 < len(own) else 0)) % 2**64
-        kind = 0 if line[k] else 1 if sentence[k] else 2
-        rank[k] = (kind, int(mix(np.array([rolled], np.uint64))[0]) >> 2)
     paragraphs = [k for k in range(n) if line[k]] + [n]
     fixed = {0, n}
     for a, b in zip(paragraphs, paragraphs[1:]):
         if b - a >= paragraph_words:
             fixed |= {a, b}
+    rank = {}
+    for j, k in enumerate(opens):
+        rolled = (own[j] * 0x9E3779B97F4A7C15 + (0 if (*opens[1:], n)[j] in fixed else own[j + 1])) % 2**64
+        kind = 0 if line[k] else 1 if sentence[k] else 2
+        rank[k] = (kind, int(mix(np.array([rolled], np.uint64))[0]) >> 2)
     none = (3, 0)
     for k in fixed:
         rank[k] = (-1, 0)

@@ -125,6 +125,18 @@ def test_chunk_starts_depend_on_what_is_near():
         assert far == {x for x in starts[1] if x < len(" ".join(words[60:]))}
 
 
+def test_a_paragraph_is_cut_alike_wherever_it_stands():
+    rng = random.Random(10)
+    fresh = lambda n: " ".join(f"w{rng.randrange(1 << 30)}" + rng.choice(["", "", "", "", "."]) for _ in range(n))
+    for _ in range(200):
+        p, cuts = fresh(rng.randint(24, 90)), []
+        for before, after in [("", ""), (fresh(30) + "\n", "\n" + fresh(30)), (fresh(3) + "\n", "\n" + fresh(2))]:
+            raw, offsets = buffer([before + p + after])
+            _, a, _, c, _ = linededup.chunks(raw, offsets)
+            cuts.append([(int(x) - len(before), int(y) - len(before)) for x, y in zip(a, c) if len(before) <= x < len(before) + len(p)])
+        assert cuts[0] == cuts[1] == cuts[2]
+
+
 def test_language_features_by_block(monkeypatch):
     rng = random.Random(1)
     texts = ["", None, "..", "a", "é bc"] + ["".join(rng.choice("abcé .1") for _ in range(rng.randint(0, 300))) for _ in range(30)]
