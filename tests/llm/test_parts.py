@@ -6,8 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from mojiframe.llm import bpe, langid, linededup, warc
-from mojiframe.llm.annsearch import CollisionIndex
+from mojiframe.llm import annsearch, bpe, langid, linededup, warc
+from mojiframe.llm.annsearch import Best, CollisionIndex
 from mojiframe.llm.decontaminate import Patterns, _scan
 from mojiframe.llm.eliasfano import EliasFano, TrieLevel
 from mojiframe.llm.setjoin import parity_bitmaps, shared_counts
@@ -168,12 +168,57 @@ def test_pieces_and_decoding(spark):
 def test_collision_search_widens_until_enough():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 16)) * rng.uniform(0.2, 3, (400, 1))
-    index = CollisionIndex(np.arange(400), x)
-    got = {i: set(a.tolist()) for i, a, _ in index.search(np.arange(40), x[:40], 10, 0.2)}
+    best = Best(40, 10)
+    CollisionIndex(np.arange(400), x).search(np.arange(40), x[:40], best)
+    got = {i: set(a.tolist()) for i, a in enumerate(best.id)}
     want = {i: set([k for k in np.argsort(-(x @ x[i]), kind="stable").tolist() if k != i][:10]) for i in range(40)}
     assert np.mean([len(got[i] & want[i]) / 10 for i in range(40)]) >= 0.9
 
 
+def test_bitmaps_added():
+    rng = np.random.default_rng(4)
+    for m in (1, 2, 3, 7, 64, 129):
+        bits = rng.random((m, 3, 128)) < rng.random((3, 128))
+        digits = annsearch._added(np.packbits(b, axis=1, bitorder="little").view(np.uint64) for b in bits)
+        for need in (1, 2, m // 2 + 1, m, m + 1, 4 * m):
+            got = np.unpackbits(annsearch._at_least(digits, need).view(np.uint8), axis=1, bitorder="little").view(bool)
+            assert (got == (bits.sum(0) >= need)).all()
+
+
+def test_windows_of_sorted_arrays():
+    """Rows that collide against a plain count, windows as wide or a place wider."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 12))
+    index = CollisionIndex(np.arange(900), x)
+    h, radius = rng.standard_normal((30, 128)) * 2, rng.uniform(0.1, 4, 30)
+    got = np.unpackbits(index.colliding(h, radius).view(np.uint8), axis=1, count=900, bitorder="little").view(bool)
+    lift = np.sqrt(np.maximum(index.top ** 2 - (x * x).sum(1), 0))
+    own = np.column_stack([x, lift]) @ np.random.default_rng([17, 12]).standard_normal((13, 128))
+    inside = (np.abs(own[None] - h[:, None]) <= annsearch.WINDOW * radius[:, None, None]).sum(2)
+    assert got[inside >= index.need].all() and not got[inside < index.need - 40].any()
+
+
+def test_blocks_one_after_the_other():
+    """The best of the blocks before bound the radius: fewer rows are verified, none is lost beyond the stated recall; a block
+    whose norms allow nothing better is passed over; few rows are all found."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6_000, 24))
+    best, verified = Best(60, 20), []
+    for at in range(0, 6_000, 1_000):
+        index = CollisionIndex(np.arange(at, at + 1_000), x[at:at + 1_000])
+        index.search(np.arange(60), x[:60], best)
+        verified.append(index.verified)
+    assert verified[-1] < verified[0]
+    want = [set([k for k in np.argsort(-(x @ x[i]), kind="stable").tolist() if k != i][:20]) for i in range(60)]
+    assert np.mean([len(set(best.id[i].tolist()) & want[i]) / 20 for i in range(60)]) >= 0.9
+    small = CollisionIndex(np.arange(9_000, 9_100), x[:100] * 1e-3)
+    small.search(np.arange(60), x[:60], best)
+    assert small.verified == 0
+    few = Best(3, 20)
+    CollisionIndex(np.arange(5), x[:5]).search(np.arange(3), x[:3], few)
+    assert few.found.tolist() == [4, 4, 4]
+
+
 def _records():
     return [warc.encode_record(i, f"http://a/{i}", f"<p>{i}</p>".encode() * i, None if i != 5 else 2) + b"\r\n\r\n" for i in range(12)]
 
