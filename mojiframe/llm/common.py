@@ -65,14 +65,18 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 def release(*tables: DataFrame, part: str = "") -> None:
     """Delete materialised tables (or one partition of them) that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{t.scratch}/{part}" if part else t.scratch)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, f"{t.scratch}/{part}" if part else t.scratch)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def delete_scratch(spark: SparkSession) -> None:
     """Remove every scratch table of this application from the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def narrow(df: DataFrame, **cols: str) -> DataFrame:

@@ -1,10 +1,8 @@
-"""Elias-Fano sequences and one level of an n-gram trie, in flat buffers that
-can lie in a memory map.  All queries are vectorised."""
+"""Elias-Fano sequences and the levels of an n-gram trie, in flat buffers that
+lie in memory-mapped files.  All queries are vectorised and work on the compact form."""
 
 from __future__ import annotations
 
-import mmap
-
 import numpy as np
 
 _U = np.uint64
@@ -41,6 +39,8 @@ class EliasFano:
     def __init__(self, head, low, high, ones):
         self.head, self.low, self.high, self.ones = head, low, high, ones
         self.n, self.width = int(head[0]), int(head[1])
+        self.zeros = (np.arange(len(ones)) << 6) - ones  # as the directory of ones, a number a word
+        self.last = int(self[np.array([self.n - 1])][0]) >> self.width if self.n else 0  # the greatest high bits
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -54,53 +54,54 @@ class EliasFano:
         ones = np.append(0, np.cumsum(np.bitwise_count(high).astype(np.int64)))
         return cls(np.array([n, width], np.int64), _pack_bits(v & ((_ONE << _U(width)) - _ONE), width), high, ones)
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """The values at the positions ``i``."""
-        word = np.searchsorted(self.ones, i, "right") - 1
-        left = (i - self.ones[word]).astype(np.int64)  # ones to skip in the word
-        w, at = self.high[word], np.zeros(len(i), np.int64)
+    @staticmethod
+    def _nth(w: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The place of the one in each word that comes after ``left`` others."""
+        at = np.zeros(len(w), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             c = np.bitwise_count(w & ((_ONE << _U(half)) - _ONE)).astype(np.int64)
             up = left >= c
             left = np.where(up, left - c, left)
             at += np.where(up, half, 0)
             w = np.where(up, w >> _U(half), w)
-        return (((word << 6) + at - i).astype(_U) << _U(self.width)) | _read_bits(self.low, i, self.width)
+        return at
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """The values at the positions ``i``."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        at = (word << 6) + self._nth(self.high[word], (i - self.ones[word]).astype(np.int64))
+        return ((at - i).astype(_U) << _U(self.width)) | _read_bits(self.low, i, self.width)
 
-    def unfolded(self) -> Unfolded:
-        """All values at once, for batches of queries about as long as the sequence."""
-        i = np.arange(self.n)
-        top = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        return Unfolded(((top - i).astype(_U) << _U(self.width)) | _read_bits(self.low, i, self.width))
+    def _starts(self, top: np.ndarray) -> np.ndarray:
+        """How many values have high bits below ``top``, from the zero before them in the unary bits."""
+        word = np.searchsorted(self.zeros, top - 1, "right") - 1
+        at = (word << 6) + self._nth(~self.high[word], top - 1 - self.zeros[word])
+        return at - (top - 1)
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First position in [lo, hi) with a value of at least x (hi if none), and whether it is x."""
-        lo, end, top = lo.copy(), hi.copy(), hi
-        live = np.flatnonzero(lo < end)
+        """First position in [lo, hi) with a value of at least x (hi if none), and whether it is x.  The
+        high bits of x lead to the few values that share them; the low bits decide among those."""
+        if not self.n:
+            return hi.copy(), np.zeros(len(x), bool)
+        top = (x >> _U(self.width)).astype(np.int64)
+        begin, end = np.full(len(x), self.n), np.full(len(x), self.n)
+        inner = top <= self.last
+        begin[inner & (top == 0)] = 0
+        some = np.flatnonzero(inner & (top > 0))
+        begin[some] = self._starts(top[some])
+        some = np.flatnonzero(top < self.last)
+        end[some] = self._starts(top[some] + 1)
+        low, stop = x & ((_ONE << _U(self.width)) - _ONE), end.copy()
+        live = np.flatnonzero(begin < end)
         while len(live):
-            mid = (lo[live] + end[live]) >> 1
-            less = self[mid] < x[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
+            mid = (begin[live] + end[live]) >> 1
+            less = _read_bits(self.low, mid, self.width) < low[live]
+            begin[live] = np.where(less, mid + 1, begin[live])
             end[live] = np.where(less, end[live], mid)
-            live = live[lo[live] < end[live]]
-        hit = lo < top
-        hit[hit] = self[lo[hit]] == x[hit]
-        return lo, hit
-
-
-class Unfolded:
-    """The same queries on plain values."""
-
-    def __init__(self, values: np.ndarray):
-        self.values, self.n = values, len(values)
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.values[i]
-
-    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.clip(np.searchsorted(self.values, x), lo, hi)  # the whole sequence ascends
-        hit = at < hi
-        hit[hit] = self.values[at[hit]] == x[hit]
+            live = live[begin[live] < end[live]]
+        at = np.clip(begin, lo, hi)
+        hit = (begin <= at) & (at < stop) & (at < hi)
+        hit[hit] = _read_bits(self.low, at[hit], self.width) == low[hit]
         return at, hit
 
 
@@ -111,19 +112,61 @@ def _relative(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return values + np.repeat(base, np.diff(ptr))
 
 
+def to_bytes(arrays: list[np.ndarray]) -> bytes:
+    """Arrays one after the other, each from a place divisible by eight, behind their types and sizes."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    head = [a.dtype.str.encode().ljust(8) + np.int64(len(x)).tobytes() for a, x in zip(arrays, raw)]
+    return np.int64(len(raw)).tobytes() + b"".join(head) + b"".join(x + bytes(-len(x) % 8) for x in raw)
+
+
+def views(buffer) -> list[np.ndarray]:
+    """The arrays of ``to_bytes`` as views of a buffer, such as a mapped file; nothing is copied."""
+    count = int(np.frombuffer(buffer, np.int64, 1)[0])
+    at, out = 8 + 16 * count, []
+    for k in range(count):
+        kind = np.dtype(bytes(np.frombuffer(buffer, np.uint8, 8, 8 + 16 * k)).decode().strip())
+        size = int(np.frombuffer(buffer, np.int64, 1, 16 + 16 * k)[0])
+        out.append(np.frombuffer(buffer, kind, size // kind.itemsize, at))
+        at += size + -size % 8
+    return out
+
+
+class WordLevel:
+    """The words of a shard: their hashes in order, and their counts."""
+
+    def __init__(self, hashes: EliasFano, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+
+    def to_bytes(self) -> bytes:
+        return to_bytes([*(getattr(self.hashes, f) for f in EliasFano.FIELDS), self.counts])
+
+    @classmethod
+    def open(cls, buffer) -> WordLevel:
+        *parts, counts = views(buffer)
+        return cls(EliasFano(*parts), counts)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes, -1 where there is none."""
+        zero = np.zeros(len(h), np.int64)
+        at, hit = self.hashes.successor(h, zero, zero + self.hashes.n)
+        return np.where(hit, at, -1)
+
+
 class TrieLevel:
     """N-grams of one order.  An n-gram is (context, short, word): ``context``
     numbers the n-1 words before, ``short`` the context without its first word.
     A word is coded by its place among the successors of the short context, and
-    the places of each context's successors are one range of a monotone sequence."""
+    the places of each context's successors are one range of a monotone sequence.
+    With each n-gram lie its code and, where given, its count."""
 
-    PARTS = ("shorts", "short_ptr", "short_words", "contexts", "ptr", "places")
+    PARTS = ("short_ptr", "short_words", "contexts", "ptr", "places")
 
-    def __init__(self, parts: dict[str, EliasFano], own_short: np.ndarray, codes: np.ndarray):
-        self.parts, self.own_short, self.codes = parts, own_short, codes
+    def __init__(self, parts: dict[str, EliasFano], own_short: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+        self.parts, self.own_short, self.codes, self.counts = parts, own_short, codes, counts
 
     @classmethod
-    def build(cls, context: np.ndarray, short: np.ndarray, word: np.ndarray, codes: np.ndarray) -> tuple[TrieLevel, np.ndarray]:
+    def build(cls, context: np.ndarray, short: np.ndarray, word: np.ndarray, codes: np.ndarray,
+              counts: np.ndarray | None = None) -> tuple[TrieLevel, np.ndarray]:
         """The level and, for each n-gram given, its position in it."""
         n = len(context)
         by = np.lexsort((word, short))
@@ -140,67 +183,48 @@ class TrieLevel:
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1])[:n])
         ptr = np.append(first, n)
         parts = {
-            "shorts": s[new_s], "short_ptr": short_ptr, "short_words": _relative(w[new].astype(np.int64), short_ptr) if n else w,
+            "short_ptr": short_ptr, "short_words": _relative(w[new].astype(np.int64), short_ptr) if n else w,
             "contexts": c[first], "ptr": ptr, "places": _relative(place[order], ptr) if n else place,
         }
-        own = (np.cumsum(new_s) - 1).astype(np.int64)
         of = np.empty(n, np.int64)
-        of[by] = own
+        of[by] = np.cumsum(new_s) - 1
         at = np.empty(n, np.int64)
         at[order] = np.arange(n)
-        return cls({k: EliasFano.build(v) for k, v in parts.items()}, of[order][first].astype(np.int32), codes[order]), at
+        counts = counts[order] if counts is not None else np.zeros(0, np.uint8)
+        return cls({k: EliasFano.build(v) for k, v in parts.items()}, of[order][first].astype(np.int32), codes[order], counts), at
 
     def to_bytes(self) -> bytes:
-        flat = [getattr(self.parts[p], f) for p in self.PARTS for f in EliasFano.FIELDS] + [self.own_short, self.codes]
-        raw = [np.ascontiguousarray(x).tobytes() for x in flat]
-        head = np.array([len(flat), *map(len, raw)], np.int64)
-        return head.tobytes() + b"".join(x + bytes(-len(x) % 8) for x in raw)
+        return to_bytes([*(getattr(self.parts[p], f) for p in self.PARTS for f in EliasFano.FIELDS), self.own_short, self.codes, self.counts])
 
     @classmethod
     def open(cls, buffer) -> TrieLevel:
-        """Views of a buffer, such as a memory map; nothing is copied."""
-        count = int(np.frombuffer(buffer, np.int64, 1)[0])
-        sizes = np.frombuffer(buffer, np.int64, count, 8).tolist()
-        at, flat = 8 * (count + 1), []
-        kinds = [np.int64, _U, _U, np.int64] * len(cls.PARTS) + [np.int32, np.uint16]
-        for size, kind in zip(sizes, kinds):
-            flat.append(np.frombuffer(buffer, kind, size // np.dtype(kind).itemsize, at))
-            at += size + -size % 8
-        parts = {p: EliasFano(*flat[4 * i:4 * i + 4]) for i, p in enumerate(cls.PARTS)}
-        return cls(parts, flat[-2], flat[-1])
+        *flat, own_short, codes, counts = views(buffer)
+        return cls({p: EliasFano(*flat[4 * i:4 * i + 4]) for i, p in enumerate(cls.PARTS)}, own_short, codes, counts)
 
-    @staticmethod
-    def mapped(data: bytes) -> TrieLevel:
-        """The level in an anonymous memory map."""
-        m = mmap.mmap(-1, max(1, len(data)))
-        m.write(data)
-        return TrieLevel.open(m)
-
-    def find(self, context: np.ndarray, short: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Positions of the n-grams, -1 where there is none."""
         out = np.full(len(context), -1, np.int64)
-        if not len(self.codes):
+        if not len(self.codes) or not len(out):
             return out
-        many = 4 * len(context) > len(self.codes)
-        p = {k: seq.unfolded() if many else seq for k, seq in self.parts.items()}
+        p = self.parts
         seen, inverse = np.unique(context, return_inverse=True)
         zero = np.zeros(len(seen), np.int64)
-        k, ok = p["contexts"].successor(seen.astype(_U), zero, zero + p["contexts"].n)
-        k, ok = k[inverse], ok[inverse]
-        live = np.flatnonzero(ok)
-        k = k[live]
-        s = self.own_short[k].astype(np.int64)
-        live, k, s = (x[p["shorts"][s] == short[live].astype(_U)] for x in (live, k, s))
-
-        def within(seq, ptr, r: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, known = p["contexts"].successor(seen.astype(_U), zero, zero + p["contexts"].n)
+        k = k[known]
+        at = np.cumsum(known) - 1  # of a context among those known
+        live = np.flatnonzero(known[inverse])
+
+        def within(seq: EliasFano, ptr: EliasFano, r: np.ndarray, of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Successors of x in the ranges r[of]: positions, hits, places in the range."""
             lo, hi = ptr[r].astype(np.int64), ptr[r + 1].astype(np.int64)
             base = np.zeros(len(r), _U)
             base[lo > 0] = seq[lo[lo > 0] - 1] + _ONE  # one above the last of the range before
-            at, hit = seq.successor(x.astype(_U) + base, lo, hi)
-            return at, hit, at - lo
-
-        _, hit, place = within(p["short_words"], p["short_ptr"], s, word[live])
-        live, k, place = live[hit], k[hit], place[hit]
-        at, hit, _ = within(p["places"], p["ptr"], k, place)
-        out[live[hit]] = at[hit]
+            found, hit = seq.successor(x.astype(_U) + base[of], lo[of], hi[of])
+            return found, hit, found - lo[of]
+
+        own = at[inverse[live]]
+        _, hit, place = within(p["short_words"], p["short_ptr"], self.own_short[k].astype(np.int64), own, word[live])
+        live, own, place = live[hit], own[hit], place[hit]
+        found, hit, _ = within(p["places"], p["ptr"], k, own, place)
+        out[live[hit]] = found[hit]
         return out

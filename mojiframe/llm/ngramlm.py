@@ -17,11 +17,15 @@ sum of the rounded log10 p of all tokens and the end.
 How it runs.  Texts become chunks of a few MB (one row each: token stream, word
 hashes).  For every order a chunk sends its *distinct* n-grams with their training
 counts to shards by the hash of the n-gram, so a frequent n-gram is one entry a
-chunk and never gathers in one place.  A shard adds the counts up, builds its
-part of the trie (``eliasfano.TrieLevel``, memory-mapped), and answers each chunk from
-it with numbers, counts and quantised probabilities.  The number of an
-n-gram is the context of the next order.  Shards number one for every
-``SHARD_BYTES`` of packed chunks, ``spark.sql.shuffle.partitions`` at least, so their size stays as the input grows.
+chunk and never gathers in one place.  A shard adds the counts up and writes its part of
+the level once, as a file in the shared folder (``eliasfano.WordLevel``, ``eliasfano.TrieLevel``).
+Chunks map the files of the orders done and look their n-grams up there, by
+successor search relative to the context; the number of an n-gram found is the context of the next
+order.  Nothing else is kept of an order: no answer is shuffled, and what is in flight are the counts
+of one order.  Shards number one for every ``SHARD_BYTES`` of packed chunks, so their size stays as the input grows.
+
+A level's file has its order and shard for a name and the same bytes whichever task writes it; it appears
+under that name when it is whole, so a task that runs twice does no harm.
 
 Word hashes have 64 bits; two different words among k meet with a chance of
 about k*k / 2**65.
@@ -33,19 +37,21 @@ come; without training rows every score is 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mojiframe.llm.common import crc_mod, materialise, release, slices, text_buffer
-from mojiframe.llm.eliasfano import TrieLevel
+from mojiframe.llm.common import crc_mod, delete, materialise, release, scratch_path, slices, text_buffer
+from mojiframe.llm.eliasfano import EliasFano, TrieLevel, WordLevel
 from mojiframe.llm.words import SPACE_WORDS, mix, split
 
 ORDER = 3
@@ -54,8 +60,8 @@ POWER = 0.9
 MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
 CHUNK_BYTES = 5 << 20
-SHARD_BYTES = 8 << 20  # packed chunks that a shard answers for
-BUCKET = 1 << 19  # n-grams that a shard works on at a time
+SHARD_BYTES = 4 << 20  # packed chunks that a shard counts for
+OPEN_LEVELS = 256  # files that a task holds mapped
 MISSING = 0xFFFF
 
 _U = np.uint64
@@ -107,8 +113,8 @@ def backing(total: np.ndarray, mu: float) -> np.ndarray:
 
 
 def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """Two rows a chunk: part ``stream`` (ids; token counts, training flags and each
-    token's place in the word list) and part ``words`` (hashes and training counts)."""
+    """A row a chunk: ids, stream (token counts, training flags and each token's place in
+    the word list) and words (hashes and training counts)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +137,13 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
                 place[by] = np.arange(len(by))
                 trained = np.bincount(inverse, weights=np.repeat(learn, np.diff(first)), minlength=len(seen)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk, chunk]), pa.array([b.column(0).to_pylist(), None], pa.list_(b.column(0).type)),
-                    pa.array([pack(_small(np.diff(first)), learn.astype(np.uint8), _small(place[inverse])), pack(seen[by], _small(trained[by]))], pa.binary()),
-                    pa.array(["stream", "words"])], names=["chunk", "ids", "data", "part"])
+                    pa.array([chunk]), pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)),
+                    pa.array([pack(_small(np.diff(first)), learn.astype(np.uint8), _small(place[inverse]))], pa.binary()),
+                    pa.array([pack(seen[by], _small(trained[by]))], pa.binary())], names=["chunk", "ids", "stream", "words"])
                 chunk += 1
 
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), train.alias("train"))
-    return d.mapInArrow(run, f"chunk long, ids array<{kind}>, data binary, part string")
+    return d.mapInArrow(run, f"chunk long, ids array<{kind}>, stream binary, words binary")
 
 
 def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,82 +158,113 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h ^ _U(0x1D8E4E27C47D124F)) % _U(shards)).astype(np.int64)
 
 
-def _deal(chunk: int, shard: np.ndarray, shards: int, arrays, turn: int = 0, turns: int = 1) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (shard, chunk, data): ``arrays(rows)`` for the rows of each shard, in order."""
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that occur, each with its rows."""
     by = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[by], np.arange(shards + 1))
-    for s in range(turn, shards, turns):
-        if cut[s] < cut[s + 1]:
-            yield s, chunk, pack(*arrays(by[cut[s]:cut[s + 1]]))
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([r[2] for r in rows], pa.binary())], names=["shard", "chunk", "data"])
-
-
-def count_words(words: DataFrame, shards: int) -> DataFrame:
-    """Answers (shard, chunk, data: places, numbers and counts of the words sent); the
-    row of chunk -1 has the shard's count of tokens and of words."""
+    cut = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])) if len(by) else by
+    for rows in np.split(by, cut[1:]) if len(by) else []:
+        yield int(shard[rows[0]]), rows
+
+
+def _requests(shard: np.ndarray, arrays: Callable[[np.ndarray], tuple]) -> pa.RecordBatch:
+    """Rows (shard, data): ``arrays(rows)`` for the rows of each shard, in order."""
+    rows = [(s, pack(*arrays(r))) for s, r in _by_shard(shard)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                                      names=["shard", "data"])
+
+
+class Levels:
+    """The files of the model in the shared folder, mapped as they are asked for."""
+
+    def __init__(self, root: str, shards: int, min_context: int):
+        self.root, self.shards, self.min_context = root, shards, min_context
+        self.opened = lru_cache(OPEN_LEVELS)(self._open)
+
+    def __reduce__(self):
+        return Levels, (self.root, self.shards, self.min_context)  # every task maps its own
+
+    def _place(self) -> tuple[pafs.FileSystem, str]:
+        root = self.root.replace("file:", "file://", 1) if self.root.startswith("file:/") and not self.root.startswith("file://") else self.root
+        return pafs.FileSystem.from_uri(root)
+
+    def write(self, order: int, shard: int, data: bytes) -> None:
+        fs, folder = self._place()
+        fs.create_dir(folder, recursive=True)
+        own = f"{folder}/.{order}-{shard}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as f:
+            f.write(data)
+        fs.move(own, f"{folder}/{order}-{shard}")
+
+    def _open(self, order: int, shard: int) -> WordLevel | TrieLevel | None:
+        """A level, or None for a shard that has no n-grams of this order."""
+        fs, folder = self._place()
+        path = f"{folder}/{order}-{shard}"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+        return (WordLevel if order == 1 else TrieLevel).open(source.read_buffer())
+
+    def find(self, order: int, shard: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and counts (0: unknown, or too rare to be a context), codes (``MISSING``: none)."""
+        number, count, code = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64), np.full(len(shard), MISSING, np.uint16)
+        for s, rows in _by_shard(shard):
+            level = self.opened(order, s)
+            if level is None:
+                continue
+            at = level.find(*[k[rows] for k in keys])
+            rows, at = rows[at >= 0], at[at >= 0]
+            if order > 1:
+                code[rows] = level.codes[at]
+            if len(level.counts):
+                c = level.counts[at].astype(np.int64)
+                known = c >= (self.min_context if order > 1 else 1)
+                count[rows[known]] = c[known]
+                number[rows[known]] = at[known] * self.shards + s + FIRST
+        return number, count, code
+
+
+def count_words(chunks: DataFrame, levels: Levels) -> DataFrame:
+    """The first level; a row a shard with its tokens and its words."""
 
     def ask(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                h, count = unpack(b.column(1)[i].as_py())
-                yield _rows(list(_deal(b.column(0)[i].as_py(), _shard(h, shards), shards, lambda r: (h[r], count[r], _small(r))))).to_batches()[0]
+            for words in b.column(0):
+                h, count = unpack(words.as_py())
+                known = np.flatnonzero(count)
+                h, count = h[known], count[known]
+                yield _requests(_shard(h, levels.shards), lambda r: (h[r], count[r]))
 
-    def answer(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
+    def learn(t: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in t.column("data")]
-        inverse, _ = pd.factorize(np.concatenate([g[0] for g in got]))
+        inverse, h = pd.factorize(np.concatenate([g[0] for g in got]))
         count = np.bincount(inverse, weights=np.concatenate([g[1] for g in got])).astype(np.int64)
-        known = count > 0
-        number = np.where(known, (np.cumsum(known) - 1) * shards + shard + FIRST, 0)
-        out, at = [(shard, -1, pack(np.array([count.sum(), known.sum()])))], 0
-        for g, chunk in zip(got, t.column("chunk").to_pylist()):
-            i = inverse[at:at + len(g[0])]
-            at += len(i)
-            out.append((shard, chunk, pack(g[2], _small(number[i]), _small(count[i]))))
-        return _rows(out)
+        by = np.argsort(h)
+        levels.write(1, t.column("shard")[0].as_py(), WordLevel(EliasFano.build(h[by]), _small(count[by])).to_bytes())
+        return pa.table({"tokens": pa.array([count.sum()], pa.int64()), "types": pa.array([len(h)], pa.int64())})
 
-    asked = words.select("chunk", "data").mapInArrow(ask, "shard long, chunk long, data binary")
-    return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, data binary")
+    asked = chunks.select("words").mapInArrow(ask, "shard long, data binary")
+    return asked.groupBy("shard").applyInArrow(learn, "tokens long, types long")
 
 
 class Chunk:
     """What a chunk knows of its tokens, order by order."""
 
-    def __init__(self, stream: bytes, tokens: int, types: int, mu: float, min_context: int, shards: int):
-        size, self.learn, self.place = unpack(stream)
-        self.size = size.astype(np.int64)
+    def __init__(self, stream: bytes, words: bytes, stats: tuple[int, int], mu: float, levels: Levels):
+        size, self.learn, place = unpack(stream)
+        self.size, self.place = size.astype(np.int64), place.astype(np.int64)
         self.first = np.append(0, np.cumsum(self.size))
         self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
-        self.tokens, self.types, self.mu, self.min_context, self.shards = tokens, types, mu, min_context, shards
-        self.order = 0
-
-    def words(self, answers: list[tuple[int, bytes]]) -> None:
-        """Take in the first order."""
-        place, number, count = (np.concatenate(x).astype(np.int64) for x in zip(*[unpack(data) for _, data in answers]))
-        order = np.argsort(place)
-        number, count = number[order], count[order]
+        self.mu, self.levels = mu, levels
+        h = unpack(words)[0]
+        number, count, _ = levels.find(1, _shard(h, levels.shards), h)
         self.n_words = len(number)
         self.word, self.base_count = number[self.place], count[self.place]
-        self.base = np.log10((self.base_count + 1) / (self.tokens + self.types + 1))
-        self.code = quantise((self.base_count + 1) / (self.tokens + self.types + 1))
+        p = (self.base_count + 1) / (stats[0] + stats[1] + 1)
+        self.base, self.code = np.log10(p), quantise(p)
         self.number, self.count = self.word, self.base_count  # of the n-gram that ends here
         self.starts = int(self.base_count[self.first[1] - 1])  # as many starts as ends
         self.order = 1
 
-    @staticmethod
-    def _place_back(shard: np.ndarray, answers: list[tuple[int, bytes]], arrays: int) -> list[np.ndarray]:
-        out = [np.zeros(len(shard), np.int64) for _ in range(arrays)]
-        by = np.argsort(shard, kind="stable")
-        for s, data in answers:
-            lo, hi = np.searchsorted(shard[by], [s, s + 1])
-            for o, a in zip(out, unpack(data)):
-                o[by[lo:hi]] = a
-        return out
-
     def ask(self) -> None:
         """The distinct n-grams of the next order."""
         k = self.order + 1
@@ -241,7 +278,7 @@ class Chunk:
             self.context[opening], self.context_count[opening] = START, self.starts
         else:
             self.short[inner] = self.shorter[inner - 1]
-        self.live = (self.context > 0) & (self.context_count >= self.min_context)
+        self.live = (self.context > 0) & (self.context_count >= self.levels.min_context)
         pos = np.flatnonzero(self.live & (self.word > 0))
         own = pd.factorize(self.context[pos])[0]
         kind, where = _kinds(own * self.n_words + self.place[pos])
@@ -251,24 +288,26 @@ class Chunk:
         self.pos, self.gram_at, self.inverse = pos, pos[where[order]], rank[kind]
         self.trained = np.bincount(self.inverse, weights=self.learn[self.doc[pos]], minlength=len(order)).astype(np.int64)
         g = self.gram_at
-        self.shard = _shard(self.context[g].astype(_U) * _U(0x9E3779B97F4A7C15) + self.word[g].astype(_U), self.shards)
+        self.shard = _shard(self.context[g].astype(_U) * _U(0x9E3779B97F4A7C15) + self.word[g].astype(_U), self.levels.shards)
 
-    def requests(self, chunk: int, turn: int, turns: int) -> Iterator[tuple[int, int, bytes]]:
-        """By shard, of every ``turns``-th shard: context numbers, run lengths, counts and
-        shorts; words, training counts, lower codes."""
-        g = self.gram_at
+    def requests(self) -> pa.RecordBatch:
+        """By shard, of what is learned from: context numbers, run lengths, counts and shorts; words,
+        training counts, lower codes."""
+        known = np.flatnonzero(self.trained)
+        g, trained = self.gram_at[known], self.trained[known]
 
         def arrays(r):
             x = g[r]
             run = np.flatnonzero(np.append(True, self.context[x][1:] != self.context[x][:-1]))
             return (_small(self.context[x[run]]), _small(np.diff(np.append(run, len(x)))), _small(self.context_count[x[run]]),
-                    _small(self.short[x[run]]), _small(self.word[x]), _small(self.trained[r]), self.code[x])
+                    _small(self.short[x[run]]), _small(self.word[x]), _small(trained[r]), self.code[x])
 
-        return _deal(chunk, self.shard, self.shards, arrays, turn, turns)
+        return _requests(self.shard[known], arrays)
 
-    def take(self, answers: list[tuple[int, bytes]]) -> None:
-        """The probabilities, numbers and counts of the order asked for."""
-        number, count, code = self._place_back(self.shard, answers, 3)
+    def take(self) -> None:
+        """The probabilities, numbers and counts of the order asked for, from its level."""
+        g = self.gram_at
+        number, count, code = self.levels.find(self.order + 1, self.shard, self.context[g], self.word[g])
         lower = unquantise(self.code)
         total = np.maximum(self.context_count, 1)
         spread = backing(total, self.mu)
@@ -282,76 +321,39 @@ class Chunk:
         self.number[self.pos], self.count[self.pos] = number[self.inverse], count[self.inverse]
         self.code, self.order = new, self.order + 1
 
+    def up_to(self, order: int) -> None:
+        while self.order < order:
+            self.ask()
+            self.take()
 
-def _gathered(t: pa.Table, stats: tuple[int, int], mu: float, min_context: int, shards: int) -> tuple[int, Chunk, list | None]:
-    """A chunk with all its answers taken in."""
-    level = np.array(t.column("level").to_pylist())
-    own = int(np.flatnonzero(level == 0)[0])
-    c = Chunk(t.column("data")[own].as_py(), *stats, mu, min_context, shards)
-    for k in range(1, int(level.max()) + 1 if len(level) else 1):
-        got = [(t.column("shard")[int(i)].as_py(), t.column("data")[int(i)].as_py()) for i in np.flatnonzero(level == k)]
-        if k == 1:
-            c.words(got)
-        else:
-            c.ask()
-            c.take(got)
-    return t.column("chunk")[0].as_py(), c, t.column("ids")[own].as_py()
 
+def count_grams(chunks: DataFrame, order: int, stats: tuple[int, int], mu: float, levels: Levels, last: bool) -> DataFrame:
+    """The level of an order; a row a shard with its n-grams."""
 
-def _with_answers(chunks: DataFrame, answers: list[DataFrame], ids: bool) -> DataFrame:
-    kind = chunks.schema["ids"].dataType
-    all_rows = chunks.select(F.lit(0).alias("level"), "chunk", F.lit(0).cast("long").alias("shard"), "data",
-                             F.col("ids") if ids else F.lit(None).cast(kind).alias("ids"))
-    for k, a in enumerate(answers, 1):
-        all_rows = all_rows.union(a.where("chunk >= 0").select(F.lit(k), "chunk", "shard", "data", F.lit(None).cast(kind)))
-    return all_rows.groupBy("chunk")
-
-
-def count_grams(chunks: DataFrame, answers: list[DataFrame], stats: tuple[int, int], mu: float, min_context: int, shards: int,
-                last: bool, turn: int, turns: int) -> DataFrame:
-    """The next order: requests of the chunks to every ``turns``-th shard, answered by
-    the shards' tries."""
-
-    def ask(t: pa.Table) -> pa.Table:
-        chunk, c, _ = _gathered(t, stats, mu, min_context, shards)
-        c.ask()
-        return _rows(list(c.requests(chunk, turn, turns)))
+    def ask(batches):
+        for b in batches:
+            for stream, words in zip(b.column(0), b.column(1)):
+                c = Chunk(stream.as_py(), words.as_py(), stats, mu, levels)
+                c.up_to(order - 1)
+                c.ask()
+                yield c.requests()
 
-    def answer(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
+    def learn(t: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in t.column("data")]
         cat = lambda k: np.concatenate([g[k] for g in got])  # noqa: E731  in the widest type they need
-        runs = cat(1)
-        context, total, short = (np.repeat(cat(k), runs) for k in (0, 2, 3))
-        word, trained, lower = cat(4), cat(5), cat(6)
-        cut = np.append(0, np.cumsum([len(g[4]) for g in got]))
-        del got
-        number, shown, code = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.empty(len(word), np.uint16)
-        buckets = -(-len(word) // BUCKET)
-        bucket = (mix(context.astype(_U)) % _U(max(1, buckets))).astype(np.int32)  # a context is whole in its bucket
-        for b in range(buckets):
-            rows = np.flatnonzero(bucket == b)
-            c, w = context[rows].astype(np.int64), word[rows].astype(np.int64)
-            inverse, where = _kinds(pd.factorize(c)[0] * (int(w.max()) + 1) + w)
-            count = np.bincount(inverse, weights=trained[rows]).astype(np.int64)
-            known = where[count > 0]
-            weight = total[rows[known]].astype(np.float64)
-            spread = backing(weight, mu)
-            codes = quantise((count[count > 0] + spread * unquantise(lower[rows[known]].astype(np.float64))) / (weight + spread))
-            s = short[rows].astype(np.int64)
-            trie = TrieLevel.mapped(TrieLevel.build(c[known], s[known], w[known], codes)[0].to_bytes())
-            at = trie.find(c[where], s[where], w[where])
-            found = np.where(at >= 0, trie.codes[at], MISSING) if len(trie.codes) else np.full(len(at), MISSING)
-            code[rows] = found[inverse]
-            if not last:
-                useful = count >= min_context  # a rarer n-gram is no context
-                number[rows] = np.where(useful, (at * buckets + b) * shards + shard + FIRST, 0)[inverse]
-                shown[rows] = np.where(useful, count, 0)[inverse]
-        return _rows([(shard, chunk, pack(_small(number[i:j]), _small(shown[i:j]), code[i:j]))
-                      for i, j, chunk in zip(cut[:-1].tolist(), cut[1:].tolist(), t.column("chunk").to_pylist())])
-
-    asked = _with_answers(chunks, answers, False).applyInArrow(ask, "shard long, chunk long, data binary")
-    return asked.groupBy("shard").applyInArrow(answer, "shard long, chunk long, data binary")
+        runs, word = cat(1), cat(4).astype(np.int64)
+        kind = pd.factorize(cat(0))[0]
+        inverse, first = _kinds(np.repeat(kind, runs) * (int(word.max()) + 1) + word)
+        count = np.bincount(inverse, weights=cat(5)).astype(np.int64)
+        context, total, short = (np.repeat(cat(k), runs)[first].astype(np.int64) for k in (0, 2, 3))
+        spread = backing(total.astype(np.float64), mu)
+        codes = quantise((count + spread * unquantise(cat(6)[first].astype(np.float64))) / (total + spread))
+        level, _ = TrieLevel.build(context, short, word[first], codes, None if last else _small(count))
+        levels.write(order, t.column("shard")[0].as_py(), level.to_bytes())
+        return pa.table({"grams": pa.array([len(first)], pa.int64())})
+
+    asked = chunks.select("stream", "words").mapInArrow(ask, "shard long, data binary")
+    return asked.groupBy("shard").applyInArrow(learn, "grams long")
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -360,31 +362,31 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     with add-one smoothing) and score, learned from the rows where ``train`` holds."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    made = [materialise(make_chunks(docs, id_col, text_col, train), "chunks", by="part")]
-    size = made[0].agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    chunks, words = (made[0].where(F.col("part") == p) for p in ("stream", "words"))
-    made.append(materialise(count_words(words, shards), "words"))
-    answers = [made[1]]
-    release(made[0], part="part=words")  # the hashes are numbers from here on
-    own = answers[0].where("chunk = -1").select("data").toArrow().column(0)  # two numbers a shard
-    stats = tuple(int(x) for x in np.sum([unpack(x.as_py())[0] for x in own], axis=0)) if len(own) else (0, 0)
+    root = scratch_path(spark, "ngram-levels")
+    made = [materialise(make_chunks(docs, id_col, text_col, train).repartition("chunk"), "chunks")]
+    chunks = made[0]
+    size = chunks.agg(F.sum(F.octet_length("stream") + F.octet_length("words"))).first()[0] or 0
+    levels = Levels(root, max(1, -(-size // SHARD_BYTES)), min_context)
+    made.append(materialise(count_words(chunks, levels), "words"))
+    stats = tuple(made[-1].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
     for k in range(2, order + 1):
-        # in k - 1 turns, so that requests in flight stay small beside the tables that grow with the order
-        own = [materialise(count_grams(chunks, answers, stats, mu, min_context, shards, k == order, i, k - 1), f"grams-{k}-{i}") for i in range(k - 1)]
-        answers.append(reduce(DataFrame.union, own))
-        made += own
-
-    def finish(t: pa.Table) -> pa.Table:
-        _, c, ids = _gathered(t, stats, mu, min_context, shards)
-        add = lambda x: np.add.reduceat(x, c.first[:-1])  # noqa: E731  every text has a token
-        return pa.table([pa.array(ids, t.schema.field("ids").type.value_type), pa.array(c.size), pa.array(add((c.base_count > 0).astype(np.int64))),
-                         pa.array(np.full(len(ids), stats[0])), pa.array(add(c.base)), pa.array(add(c.code * -STEP))],
-                        names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = materialise(_with_answers(chunks, answers, True).applyInArrow(
+        made.append(materialise(count_grams(chunks, k, stats, mu, levels, k == order), f"grams-{k}"))
+
+    def finish(batches):
+        for b in batches:
+            for ids, stream, words in zip(*b.columns):
+                c = Chunk(stream.as_py(), words.as_py(), stats, mu, levels)
+                c.up_to(order)
+                add = lambda x: np.add.reduceat(x, c.first[:-1])  # noqa: E731  every text has a token
+                yield pa.RecordBatch.from_arrays(
+                    [ids.values, pa.array(c.size), pa.array(add((c.base_count > 0).astype(np.int64))), pa.array(np.full(len(c.size), stats[0])),
+                     pa.array(add(c.base)), pa.array(add(c.code * -STEP))],
+                    names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = materialise(chunks.select("ids", "stream", "words").mapInArrow(
         finish, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     release(*made)
+    delete(spark, root)
     return out.withColumnRenamed("id", id_col)
 
 

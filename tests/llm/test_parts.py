@@ -40,10 +40,14 @@ def test_elias_fano(n, top):
     v = np.sort(rng.integers(0, top, n))
     e = EliasFano.build(v)
     assert (e[np.arange(n)] == v.astype(np.uint64)).all()
-    x, zero = rng.integers(0, top, 300), np.zeros(300, np.int64)
-    for seq in (e, e.unfolded()):
-        at, hit = seq.successor(x.astype(np.uint64), zero, zero + n)
-        assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
+    x, zero = np.concatenate([rng.integers(0, top, 300), v[:50], v[-1:] + 1, v[-1:] * 2 + 7]), np.zeros(302 + min(n, 50), np.int64)
+    at, hit = e.successor(x.astype(np.uint64), zero, zero + n)
+    assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
+    lo = rng.integers(0, n + 1, len(x))
+    hi = np.minimum(lo + rng.integers(0, n + 1, len(x)), n)
+    at, hit = e.successor(x.astype(np.uint64), lo, hi)
+    want = [a + int(np.searchsorted(v[a:b], y)) for a, b, y in zip(lo, hi, x)]
+    assert at.tolist() == want and hit.tolist() == [w < b and v[w] == y for w, b, y in zip(want, hi, x)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 40, 5000])
@@ -53,12 +57,12 @@ def test_trie_level(n):
     grams = np.unique(np.stack([context, context % 7, rng.integers(2, 300, n)], 1), axis=0)[::-1]
     codes = rng.integers(0, 65535, len(grams)).astype(np.uint16)
     level, at = TrieLevel.build(*grams.T, codes)
-    level = TrieLevel.mapped(level.to_bytes())
-    assert (level.find(*grams.T) == at).all() and (level.codes[at] == codes).all()
-    for m in (3, 4000):  # few queries walk the compact form, many unfold it
-        q = np.stack([rng.integers(0, n + 3, m), np.zeros(m, int), rng.integers(0, 310, m)], 1)
-        q[:, 1] = q[:, 0] % 7
-        known = set(map(tuple, grams.tolist()))
+    assert (level.find(grams[:, 0], grams[:, 2]) == at).all()
+    level = TrieLevel.open(TrieLevel.build(*grams.T, codes, at % 200)[0].to_bytes())
+    assert (level.find(grams[:, 0], grams[:, 2]) == at).all() and (level.codes[at] == codes).all() and (level.counts[at] == at % 200).all()
+    for m in (0, 3, 4000):
+        q = np.stack([rng.integers(0, n + 3, m), rng.integers(0, 310, m)], 1)
+        known = {(c, w) for c, _, w in grams.tolist()}
         assert [x >= 0 for x in level.find(*q.T)] == [tuple(x) in known for x in q.tolist()]
 
 
