@@ -7,6 +7,11 @@ import numpy as np
 
 _U = np.uint64
 _ONE = _U(1)
+_BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: The places of the ones of each byte, in order.
+_PLACES = np.zeros((256, 8), _U)
+for _b in range(256):
+    _PLACES[_b, :_b.bit_count()] = [k for k in range(8) if _b >> k & 1]
 
 
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,15 +61,16 @@ class EliasFano:
 
     @staticmethod
     def _nth(w: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """The place of the one in each word that comes after ``left`` others."""
-        at = np.zeros(len(w), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(w & ((_ONE << _U(half)) - _ONE)).astype(np.int64)
-            up = left >= c
-            left = np.where(up, left - c, left)
-            at += np.where(up, half, 0)
-            w = np.where(up, w >> _U(half), w)
-        return at
+        """The place of the one in each word that comes after ``left`` others: sums of ones up to each byte
+        tell the byte, a table the place in it."""
+        left = left.astype(_U)
+        x = w - (w >> _ONE & _U(0x5555555555555555))
+        x = (x & _U(0x3333333333333333)) + (x >> _U(2) & _U(0x3333333333333333))
+        sums = (x + (x >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _BYTES
+        past = (left * _BYTES | _TOPS) - sums & _TOPS  # bytes that end with no more than ``left`` ones
+        shift = np.bitwise_count(past).astype(_U) << _U(3)
+        left -= sums << _U(8) >> shift & _U(0xFF)
+        return (shift + _PLACES[w >> shift & _U(0xFF), left]).astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The values at the positions ``i``."""

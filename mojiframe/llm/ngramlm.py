@@ -160,7 +160,7 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The shards that occur, each with its rows."""
-    by = np.argsort(shard, kind="stable")
+    by = np.argsort(_small(shard), kind="stable")
     cut = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])) if len(by) else by
     for rows in np.split(by, cut[1:]) if len(by) else []:
         yield int(shard[rows[0]]), rows
@@ -223,6 +223,20 @@ class Levels:
         return number, count, code
 
 
+    def counts(self, order: int, number: np.ndarray) -> np.ndarray:
+        """Counts of the n-grams of these numbers; as many texts start as end."""
+        out = np.zeros(len(number), np.int64)
+        start = number == START
+        if start.any():
+            end = np.array([END])
+            out[start] = self.find(1, _shard(end, self.shards), end)[1]
+        inner = np.flatnonzero(~start)
+        at, shard = np.divmod(number[inner] - FIRST, self.shards)
+        for s, rows in _by_shard(shard):
+            out[inner[rows]] = self.opened(order, s).counts[at[rows]]
+        return out
+
+
 def count_words(chunks: DataFrame, levels: Levels) -> DataFrame:
     """The first level; a row a shard with its tokens and its words."""
 
@@ -282,7 +296,7 @@ class Chunk:
         pos = np.flatnonzero(self.live & (self.word > 0))
         own = pd.factorize(self.context[pos])[0]
         kind, where = _kinds(own * self.n_words + self.place[pos])
-        order = np.argsort(own[where], kind="stable")  # n-grams of a context lie together
+        order = np.argsort(self.context[pos[where]], kind="stable")  # n-grams by context
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.pos, self.gram_at, self.inverse = pos, pos[where[order]], rank[kind]
@@ -291,7 +305,7 @@ class Chunk:
         self.shard = _shard(self.context[g].astype(_U) * _U(0x9E3779B97F4A7C15) + self.word[g].astype(_U), self.levels.shards)
 
     def requests(self) -> pa.RecordBatch:
-        """By shard, of what is learned from: context numbers, run lengths, counts and shorts; words,
+        """By shard, of what is learned from: steps between context numbers, run lengths, shorts; words,
         training counts, lower codes."""
         known = np.flatnonzero(self.trained)
         g, trained = self.gram_at[known], self.trained[known]
@@ -299,7 +313,7 @@ class Chunk:
         def arrays(r):
             x = g[r]
             run = np.flatnonzero(np.append(True, self.context[x][1:] != self.context[x][:-1]))
-            return (_small(self.context[x[run]]), _small(np.diff(np.append(run, len(x)))), _small(self.context_count[x[run]]),
+            return (_small(np.diff(self.context[x[run]], prepend=0)), _small(np.diff(np.append(run, len(x)))),
                     _small(self.short[x[run]]), _small(self.word[x]), _small(trained[r]), self.code[x])
 
         return _requests(self.shard[known], arrays)
@@ -341,13 +355,14 @@ def count_grams(chunks: DataFrame, order: int, stats: tuple[int, int], mu: float
     def learn(t: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in t.column("data")]
         cat = lambda k: np.concatenate([g[k] for g in got])  # noqa: E731  in the widest type they need
-        runs, word = cat(1), cat(4).astype(np.int64)
-        kind = pd.factorize(cat(0))[0]
-        inverse, first = _kinds(np.repeat(kind, runs) * (int(word.max()) + 1) + word)
-        count = np.bincount(inverse, weights=cat(5)).astype(np.int64)
-        context, total, short = (np.repeat(cat(k), runs)[first].astype(np.int64) for k in (0, 2, 3))
-        spread = backing(total.astype(np.float64), mu)
-        codes = quantise((count + spread * unquantise(cat(6)[first].astype(np.float64))) / (total + spread))
+        runs, word = cat(1), cat(3).astype(np.int64)
+        contexts = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
+        inverse, first = _kinds(np.repeat(pd.factorize(contexts)[0], runs) * (int(word.max()) + 1) + word)
+        count = np.bincount(inverse, weights=cat(4)).astype(np.int64)
+        context, short = (np.repeat(x, runs)[first].astype(np.int64) for x in (contexts, cat(2)))
+        total = levels.counts(order - 1, context).astype(np.float64)
+        spread = backing(total, mu)
+        codes = quantise((count + spread * unquantise(cat(5)[first].astype(np.float64))) / (total + spread))
         level, _ = TrieLevel.build(context, short, word[first], codes, None if last else _small(count))
         levels.write(order, t.column("shard")[0].as_py(), level.to_bytes())
         return pa.table({"grams": pa.array([len(first)], pa.int64())})
