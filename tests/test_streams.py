@@ -29,3 +29,19 @@ def test_stopped_and_restarted(spark, tmp_path):
     assert out.count() == 600 == out.select("id").distinct().count()
     assert {(r.y_pred, round(r.p, 6)) for r in out.where("id % 2 = 0").collect()} == {(1, 0.890903)}
     assert out.where("id % 2 = 1 and y_pred = 0").count() == 300
+
+
+def test_documents_in_a_folder_of_parts(spark, tmp_path):
+    """A table may be one file or a folder of files with any names."""
+    from mojiframe.streaming.variants_stream import document_stream, start_to_parquet, variants_stream
+
+    rows = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(4).write.parquet(str(tmp_path / "many/documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "staged"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "staged").glob("part-*.parquet")).rename(tmp_path / "one/documents.parquet")
+    for form in ("many", "one"):
+        v = variants_stream(document_stream(spark, str(tmp_path / form)))
+        start_to_parquet(v, str(tmp_path / f"{form}-out"), str(tmp_path / f"{form}-ckpt")).awaitTermination()
+        out = spark.read.schema(v.schema).parquet(str(tmp_path / f"{form}-out"))
+        assert sorted((r.id, r.x_text) for r in out.collect()) == [(i, f"text {i}") for i in range(40)]
