@@ -81,3 +81,29 @@ def test_malformed_rows_fail(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a,b,c\n1,2,not a number\n", encoding="utf-8")
     with pytest.raises(Exception):
         csvlines.read_csv(spark, str(tmp_path), IO.T._parse_datatype_string(SCHEMA)).collect()
+
+
+def test_memory_does_not_follow_arrow_batches():
+    """Long batches are gone through in stretches; records come out the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    lines = [f'{i},"a ""b"",' if i % 3 == 0 else 'c",d' if i % 3 == 1 else f"{i}," + "words " * 500 for i in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * len(lines), pa.int64()), pa.array(lines)], names=["split", "value"])
+    bytes_ = sum(map(len, lines))
+
+    class Splits:
+        value = {1: (False, 0, 0, -1, 0)}
+
+    tracemalloc.start()
+    (count,) = csvlines._count(iter([batch]))
+    n = 0
+    for b in csvlines._assemble(Splits, False)(iter([batch])):
+        assert b.column("id").to_pylist() == list(range(n, n + b.num_rows))
+        assert all(x.count('"') % 2 == 0 for x in b.column("text").to_pylist())
+        n += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 == count.column("outside")[0].as_py()
+    assert peak < 10 * bytes_ and peak < 80 * csvlines.STRETCH, (peak, bytes_)
