@@ -7,6 +7,10 @@ import numpy as np
 
 _U = np.uint64
 _ONE = _U(1)
+#: Values that are compared one after the other before a binary search takes the rest.
+STEPS = 3
+#: One of so many ones or zeros has its word listed.
+EVERY = 64
 _BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 #: The places of the ones of each byte, in order.
 _PLACES = np.zeros((256, 8), _U)
@@ -36,15 +40,20 @@ def _read_bits(words: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: low bits in an array, high bits as a unary bit vector
-    with a directory of ones per word."""
+    """A monotone sequence: low bits in an array, high bits as a unary bit vector.  A directory
+    of the ones before each word, and the words of every 64th one and zero, are made when the sequence is opened."""
 
-    FIELDS = ("head", "low", "high", "ones")
+    FIELDS = ("head", "low", "high")
 
-    def __init__(self, head, low, high, ones):
-        self.head, self.low, self.high, self.ones = head, low, high, ones
+    def __init__(self, head, low, high):
+        self.head, self.low, self.high = head, low, high
         self.n, self.width = int(head[0]), int(head[1])
-        self.zeros = (np.arange(len(ones)) << 6) - ones  # as the directory of ones, a number a word
+        kind = np.int32 if len(high) < 1 << 25 else np.int64
+        self.ones = np.zeros(len(high) + 1, kind)
+        np.cumsum(np.bitwise_count(high), dtype=kind, out=self.ones[1:])
+        zeros = self._zeros()
+        self.one_words = np.searchsorted(self.ones, np.arange(0, int(self.ones[-1]), EVERY, kind), "right").astype(kind) - 1
+        self.zero_words = np.searchsorted(zeros, np.arange(0, int(zeros[-1]), EVERY, kind), "right").astype(kind) - 1
         self.last = int(self[np.array([self.n - 1])][0]) >> self.width if self.n else 0  # the greatest high bits
 
     @classmethod
@@ -56,8 +65,25 @@ class EliasFano:
         top = (v >> _U(width)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(top[-1]) >> 6) + 1 if n else 0, _U)
         np.bitwise_or.at(high, top >> 6, _ONE << (top & 63).astype(_U))
-        ones = np.append(0, np.cumsum(np.bitwise_count(high).astype(np.int64)))
-        return cls(np.array([n, width], np.int64), _pack_bits(v & ((_ONE << _U(width)) - _ONE), width), high, ones)
+        return cls(np.array([n, width], np.int64), _pack_bits(v & ((_ONE << _U(width)) - _ONE), width), high)
+
+    def _zeros(self) -> np.ndarray:
+        """The zeros before each word."""
+        return (np.arange(len(self.ones), dtype=self.ones.dtype) << 6) - self.ones
+
+    def _word(self, t: np.ndarray, ones: bool) -> np.ndarray:
+        """The word of the one or zero that comes after ``t`` others: a few words from the last that is listed."""
+        before = (lambda w: self.ones[w]) if ones else lambda w: (w << 6) - self.ones[w]
+        word = (self.one_words if ones else self.zero_words)[t >> EVERY.bit_length() - 1].astype(np.int64)
+        rows = np.flatnonzero(before(word + 1) <= t)
+        for _ in range(STEPS):
+            if not len(rows):
+                return word
+            word[rows] += 1
+            rows = rows[before(word[rows] + 1) <= t[rows]]
+        if len(rows):
+            word[rows] = np.searchsorted(self.ones if ones else self._zeros(), t[rows].astype(self.ones.dtype), "right") - 1
+        return word
 
     @staticmethod
     def _nth(w: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -72,16 +98,35 @@ class EliasFano:
         left -= sums << _U(8) >> shift & _U(0xFF)
         return (shift + _PLACES[w >> shift & _U(0xFF), left]).astype(np.int64)
 
+    def _places(self, i: np.ndarray) -> np.ndarray:
+        """The places in the unary bits of the values at the positions ``i``."""
+        word = self._word(i, True)
+        return (word << 6) + self._nth(self.high[word], (i - self.ones[word]).astype(np.int64))
+
+    def _values(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((at - i).astype(_U) << _U(self.width)) | _read_bits(self.low, i, self.width)
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The values at the positions ``i``."""
-        word = np.searchsorted(self.ones, i, "right") - 1
-        at = (word << 6) + self._nth(self.high[word], (i - self.ones[word]).astype(np.int64))
-        return ((at - i).astype(_U) << _U(self.width)) | _read_bits(self.low, i, self.width)
+        return self._values(i, self._places(i))
+
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the positions ``i`` and behind them: the next one in the unary bits is the next value's."""
+        at = self._places(i)
+        word, after = at >> 6, (at & 63).astype(_U)
+        rest = self.high[word] >> after >> _ONE << _ONE << after
+        open_ = np.flatnonzero(rest == 0)
+        while len(open_):
+            word[open_] += 1
+            rest[open_] = self.high[word[open_]]
+            open_ = open_[rest[open_] == 0]
+        following = (word << 6) + np.bitwise_count((rest & -rest) - _ONE)
+        return self._values(i, at), self._values(i + 1, following)
 
     def _starts(self, top: np.ndarray) -> np.ndarray:
         """How many values have high bits below ``top``, from the zero before them in the unary bits."""
-        word = np.searchsorted(self.zeros, top - 1, "right") - 1
-        at = (word << 6) + self._nth(~self.high[word], top - 1 - self.zeros[word])
+        word = self._word(top - 1, False)
+        at = (word << 6) + self._nth(~self.high[word], top - 1 - (word << 6) + self.ones[word])
         return at - (top - 1)
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,27 +135,74 @@ class EliasFano:
         if not self.n:
             return hi.copy(), np.zeros(len(x), bool)
         top = (x >> _U(self.width)).astype(np.int64)
-        begin, end = np.full(len(x), self.n), np.full(len(x), self.n)
-        inner = top <= self.last
-        begin[inner & (top == 0)] = 0
-        some = np.flatnonzero(inner & (top > 0))
+        low = x & ((_ONE << _U(self.width)) - _ONE)
+        begin, same = np.full(len(x), self.n), np.zeros(len(x), bool)
+        begin[top == 0] = 0
+        some = np.flatnonzero((top <= self.last) & (top > 0))
         begin[some] = self._starts(top[some])
-        some = np.flatnonzero(top < self.last)
-        end[some] = self._starts(top[some] + 1)
-        low, stop = x & ((_ONE << _U(self.width)) - _ONE), end.copy()
-        live = np.flatnonzero(begin < end)
-        while len(live):
-            mid = (begin[live] + end[live]) >> 1
-            less = _read_bits(self.low, mid, self.width) < low[live]
-            begin[live] = np.where(less, mid + 1, begin[live])
-            end[live] = np.where(less, end[live], mid)
-            live = live[begin[live] < end[live]]
+        live = np.flatnonzero(top <= self.last)
+        for _ in range(STEPS):  # mostly one or two values share the high bits
+            at = begin[live]
+            bit = at + top[live]
+            live = live[(self.high[bit >> 6] >> (bit & 63).astype(_U) & _ONE).astype(bool)]
+            found = _read_bits(self.low, begin[live], self.width)
+            same[live] = found == low[live]
+            live = live[found < low[live]]
+            begin[live] += 1
+            if not len(live):
+                break
+            live = live[begin[live] < self.n]
+        if len(live):
+            end = np.full(len(live), self.n)
+            inner = np.flatnonzero(top[live] < self.last)
+            end[inner] = self._starts(top[live[inner]] + 1)
+            stop, first, least, rows = end.copy(), begin[live], low[live], np.arange(len(live))
+            rows = rows[first < end]
+            while len(rows):
+                mid = (first[rows] + end[rows]) >> 1
+                less = _read_bits(self.low, mid, self.width) < least[rows]
+                first[rows] = np.where(less, mid + 1, first[rows])
+                end[rows] = np.where(less, end[rows], mid)
+                rows = rows[first[rows] < end[rows]]
+            begin[live] = first
+            inner = np.flatnonzero(first < stop)
+            same[live[inner]] = _read_bits(self.low, first[inner], self.width) == least[inner]
         at = np.clip(begin, lo, hi)
-        hit = (begin <= at) & (at < stop) & (at < hi)
-        hit[hit] = _read_bits(self.low, at[hit], self.width) == low[hit]
+        hit = same & (at == begin) & (at < hi)
+        behind = np.flatnonzero((begin < lo) & (lo < hi))  # equal values may lie on both sides of lo
+        if len(behind):
+            hit[behind] = self[lo[behind]] == x[behind]
         return at, hit
 
 
+class Counts:
+    """Counts, nearly all small, in a byte each; those from 255 on lie apart with their positions."""
+
+    def __init__(self, small: np.ndarray, where: np.ndarray, great: np.ndarray):
+        self.small, self.where, self.great = small, where, great
+
+    @classmethod
+    def build(cls, counts: np.ndarray) -> Counts:
+        where = np.flatnonzero(counts >= 255)
+        return cls(np.minimum(counts, 255).astype(np.uint8), where.astype(np.uint32), counts[where].astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.small)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        apart = np.flatnonzero(out == 255)
+        out[apart] = self.great[np.searchsorted(self.where, at[apart].astype(np.uint32))]
+        return out
+
+
+def _pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order by a, then b; equal pairs in any order."""
+    if len(a) and (int(a.max()) + 1) * (int(b.max()) + 1) >= 1 << 63:
+        return np.lexsort((b, a))
+    return np.argsort(a.astype(np.int64) * (int(b.max()) + 1 if len(b) else 1) + b.astype(np.int64))
+
+
 def _relative(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Ranges that ascend become one ascending sequence: each starts above the last of the one before."""
     last = values[ptr[1:] - 1].astype(np.int64) + 1
@@ -167,15 +259,16 @@ class TrieLevel:
 
     PARTS = ("short_ptr", "short_words", "contexts", "ptr", "places")
 
-    def __init__(self, parts: dict[str, EliasFano], own_short: np.ndarray, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, parts: dict[str, EliasFano], own_short: np.ndarray, codes: np.ndarray, counts: Counts):
         self.parts, self.own_short, self.codes, self.counts = parts, own_short, codes, counts
+        self.short_bits = max(0, parts["short_ptr"].n - 2).bit_length()  # of the number of a short context
 
     @classmethod
     def build(cls, context: np.ndarray, short: np.ndarray, word: np.ndarray, codes: np.ndarray,
               counts: np.ndarray | None = None) -> tuple[TrieLevel, np.ndarray]:
         """The level and, for each n-gram given, its position in it."""
         n = len(context)
-        by = np.lexsort((word, short))
+        by = _pair_order(short, word)
         s, w = short[by], word[by]
         new_s = np.append(True, s[1:] != s[:-1])[:n]
         new = np.append(True, (s[1:] != s[:-1]) | (w[1:] != w[:-1]))[:n]
@@ -184,7 +277,15 @@ class TrieLevel:
         place = np.empty(n, np.int64)
         place[by] = pair - starts[np.cumsum(new_s) - 1] if n else pair
         short_ptr = np.append(starts, new.sum())
-        order = np.lexsort((place, context))
+        if (context[1:] >= context[:-1]).all():
+            # contexts side by side: only those with several words are left to order
+            several = np.zeros(n, bool)
+            several[1:] = context[1:] == context[:-1]
+            several[:-1] |= several[1:].copy()
+            rows, order = np.flatnonzero(several), np.arange(n)
+            order[rows] = rows[_pair_order(context[rows], place[rows])]
+        else:
+            order = _pair_order(context, place)
         c = context[order]
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1])[:n])
         ptr = np.append(first, n)
@@ -196,24 +297,56 @@ class TrieLevel:
         of[by] = np.cumsum(new_s) - 1
         at = np.empty(n, np.int64)
         at[order] = np.arange(n)
-        counts = counts[order] if counts is not None else np.zeros(0, np.uint8)
-        return cls({k: EliasFano.build(v) for k, v in parts.items()}, of[order][first].astype(np.int32), codes[order], counts), at
+        level = cls({k: EliasFano.build(v) for k, v in parts.items()}, np.zeros(0, _U), codes[order],
+                    Counts.build(counts[order] if counts is not None else np.zeros(0, np.int64)))
+        level.own_short = _pack_bits(of[order][first].astype(_U), level.short_bits)
+        return level, at
 
     def to_bytes(self) -> bytes:
-        return to_bytes([*(getattr(self.parts[p], f) for p in self.PARTS for f in EliasFano.FIELDS), self.own_short, self.codes, self.counts])
+        return to_bytes([*(getattr(self.parts[p], f) for p in self.PARTS for f in EliasFano.FIELDS), self.own_short, self.codes,
+                         self.counts.small, self.counts.where, self.counts.great])
 
     @classmethod
     def open(cls, buffer) -> TrieLevel:
-        *flat, own_short, codes, counts = views(buffer)
-        return cls({p: EliasFano(*flat[4 * i:4 * i + 4]) for i, p in enumerate(cls.PARTS)}, own_short, codes, counts)
+        *flat, own_short, codes, small, where, great = views(buffer)
+        m = len(EliasFano.FIELDS)
+        return cls({p: EliasFano(*flat[m * i:m * i + m]) for i, p in enumerate(cls.PARTS)}, own_short, codes, Counts(small, where, great))
+
+    def _short(self, k: np.ndarray) -> np.ndarray:
+        return _read_bits(self.own_short, k, self.short_bits).astype(np.int64)
+
+    @staticmethod
+    def _base(seq: EliasFano, lo: np.ndarray) -> np.ndarray:
+        """Where ranges that start at ``lo`` begin to count: one above the last value of the range before."""
+        base = np.zeros(len(lo), _U)
+        inner = np.flatnonzero(lo > 0)
+        base[inner] = seq[lo[inner] - 1] + _ONE
+        return base
+
+    def grams(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts and words of the n-grams at the positions ``at``, which ascend."""
+        p = self.parts
+        zero = np.zeros(len(at), np.int64)
+        k = p["ptr"].successor((at + 1).astype(_U), zero, zero + p["ptr"].n)[0] - 1
+        own = np.append(True, k[1:] != k[:-1])[:len(k)]
+        of, k = np.cumsum(own) - 1, k[own]
+        place = p["places"][at] - self._base(p["places"], p["ptr"][k].astype(np.int64))[of]
+        place = place.astype(np.int64)
+        if self.short_bits:
+            begin = p["short_ptr"][self._short(k)].astype(np.int64)
+            word = p["short_words"][begin[of] + place] - self._base(p["short_words"], begin)[of]
+        else:  # one short context: one range from zero
+            word = p["short_words"][place]
+        return p["contexts"][k].astype(np.int64)[of], word.astype(np.int64)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Positions of the n-grams, -1 where there is none."""
+        """Positions of the n-grams, -1 where there is none; quickest with equal contexts side by side."""
         out = np.full(len(context), -1, np.int64)
         if not len(self.codes) or not len(out):
             return out
         p = self.parts
-        seen, inverse = np.unique(context, return_inverse=True)
+        own = np.append(True, context[1:] != context[:-1])
+        seen, inverse = context[own], np.cumsum(own) - 1
         zero = np.zeros(len(seen), np.int64)
         k, known = p["contexts"].successor(seen.astype(_U), zero, zero + p["contexts"].n)
         k = k[known]
@@ -222,14 +355,16 @@ class TrieLevel:
 
         def within(seq: EliasFano, ptr: EliasFano, r: np.ndarray, of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Successors of x in the ranges r[of]: positions, hits, places in the range."""
-            lo, hi = ptr[r].astype(np.int64), ptr[r + 1].astype(np.int64)
-            base = np.zeros(len(r), _U)
-            base[lo > 0] = seq[lo[lo > 0] - 1] + _ONE  # one above the last of the range before
-            found, hit = seq.successor(x.astype(_U) + base[of], lo[of], hi[of])
+            lo, hi = (v.astype(np.int64) for v in ptr.pairs(r))
+            found, hit = seq.successor(x.astype(_U) + self._base(seq, lo)[of], lo[of], hi[of])
             return found, hit, found - lo[of]
 
         own = at[inverse[live]]
-        _, hit, place = within(p["short_words"], p["short_ptr"], self.own_short[k].astype(np.int64), own, word[live])
+        if self.short_bits:
+            _, hit, place = within(p["short_words"], p["short_ptr"], self._short(k), own, word[live])
+        else:  # one short context: one range from zero
+            zero = np.zeros(len(live), np.int64)
+            place, hit = p["short_words"].successor(word[live].astype(_U), zero, zero + p["short_words"].n)
         live, own, place = live[hit], own[hit], place[hit]
         found, hit, _ = within(p["places"], p["ptr"], k, own, place)
         out[live[hit]] = found[hit]

@@ -17,12 +17,14 @@ sum of the rounded log10 p of all tokens and the end.
 How it runs.  Texts become chunks of a few MB (one row each: token stream, word
 hashes).  For every order a chunk sends its *distinct* n-grams with their training
 counts to shards by the hash of the n-gram, so a frequent n-gram is one entry a
-chunk and never gathers in one place.  A shard adds the counts up and writes its part of
+chunk and never gathers in one place.  An n-gram goes as two numbers, those of its context and of
+the n-gram without its first word: the levels below tell the rest.  A shard adds the counts up and writes its part of
 the level once, as a file in the shared folder (``eliasfano.WordLevel``, ``eliasfano.TrieLevel``).
 Chunks map the files of the orders done and look their n-grams up there, by
 successor search relative to the context; the number of an n-gram found is the context of the next
-order.  Nothing else is kept of an order: no answer is shuffled, and what is in flight are the counts
-of one order.  Shards number one for every ``SHARD_BYTES`` of packed chunks, so their size stays as the input grows.
+order.  Nothing else is kept of an order: no answer is shuffled.  The counts of an order lie in the shared folder
+in ``TURNS`` parts, each of some shards; a part is shuffled, learned from and deleted before the next, so the counts
+go as the level comes.  Shards number one for every ``SHARD_BYTES`` of packed chunks, so their size stays as the input grows.
 
 A level's file has its order and shard for a name and the same bytes whichever task writes it; it appears
 under that name when it is whole, so a task that runs twice does no harm.
@@ -61,6 +63,7 @@ MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
 CHUNK_BYTES = 5 << 20
 SHARD_BYTES = 4 << 20  # packed chunks that a shard counts for
+TURNS = 8  # parts of an order's counts
 OPEN_LEVELS = 256  # files that a task holds mapped
 MISSING = 0xFFFF
 
@@ -103,8 +106,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(p) / STEP), MISSING - 1).astype(np.uint16)
 
 
+_POWERS = 10.0 ** (np.arange(1 << 16) * -STEP)
+
+
 def unquantise(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code * -STEP)
+    return _POWERS[code]
 
 
 def backing(total: np.ndarray, mu: float) -> np.ndarray:
@@ -112,6 +118,13 @@ def backing(total: np.ndarray, mu: float) -> np.ndarray:
     return mu * total ** POWER
 
 
+def smoothed(count: np.ndarray, lower: np.ndarray, total: np.ndarray, mu: float) -> np.ndarray:
+    """Codes of n-grams from their counts, the codes without the first word and the counts of their contexts."""
+    total = total.astype(np.float64)
+    spread = backing(total, mu)
+    return quantise((count + spread * unquantise(lower)) / (total + spread))
+
+
 def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
     """A row a chunk: ids, stream (token counts, training flags and each token's place in
     the word list) and words (hashes and training counts)."""
@@ -146,14 +159,6 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
     return d.mapInArrow(run, f"chunk long, ids array<{kind}>, stream binary, words binary")
 
 
-def _kinds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kind of each key, and where each kind comes first; kinds number as they come."""
-    kind, seen = pd.factorize(key)
-    first = np.empty(len(seen), np.int64)
-    first[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
-    return kind, first
-
-
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h ^ _U(0x1D8E4E27C47D124F)) % _U(shards)).astype(np.int64)
 
@@ -205,7 +210,7 @@ class Levels:
         return (WordLevel if order == 1 else TrieLevel).open(source.read_buffer())
 
     def find(self, order: int, shard: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers and counts (0: unknown, or too rare to be a context), codes (``MISSING``: none)."""
+        """Numbers (0: unknown), counts (0: unknown, or too rare to be a context), codes (``MISSING``: none)."""
         number, count, code = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64), np.full(len(shard), MISSING, np.uint16)
         for s, rows in _by_shard(shard):
             level = self.opened(order, s)
@@ -217,12 +222,10 @@ class Levels:
                 code[rows] = level.codes[at]
             if len(level.counts):
                 c = level.counts[at].astype(np.int64)
-                known = c >= (self.min_context if order > 1 else 1)
-                count[rows[known]] = c[known]
-                number[rows[known]] = at[known] * self.shards + s + FIRST
+                count[rows] = np.where(c >= (self.min_context if order > 1 else 1), c, 0)
+                number[rows] = at * self.shards + s + FIRST
         return number, count, code
 
-
     def counts(self, order: int, number: np.ndarray) -> np.ndarray:
         """Counts of the n-grams of these numbers; as many texts start as end."""
         out = np.zeros(len(number), np.int64)
@@ -236,6 +239,16 @@ class Levels:
             out[inner[rows]] = self.opened(order, s).counts[at[rows]]
         return out
 
+    def grams(self, order: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, words and codes of the n-grams of these numbers, from the second order on."""
+        context, word, code = np.empty(len(number), np.int64), np.empty(len(number), np.int64), np.empty(len(number), np.uint16)
+        at, shard = np.divmod(number - FIRST, self.shards)
+        for s, rows in _by_shard(shard):
+            level, rows = self.opened(order, s), rows[np.argsort(at[rows])]
+            context[rows], word[rows] = level.grams(at[rows])
+            code[rows] = level.codes[at[rows]]
+        return context, word, code
+
 
 def count_words(chunks: DataFrame, levels: Levels) -> DataFrame:
     """The first level; a row a shard with its tokens and its words."""
@@ -273,40 +286,36 @@ class Chunk:
         number, count, _ = levels.find(1, _shard(h, levels.shards), h)
         self.n_words = len(number)
         self.word, self.base_count = number[self.place], count[self.place]
-        p = (self.base_count + 1) / (stats[0] + stats[1] + 1)
-        self.base, self.code = np.log10(p), quantise(p)
+        p = (count + 1) / (stats[0] + stats[1] + 1)
+        self.base, self.code = np.log10(p)[self.place], quantise(p)[self.place]
         self.number, self.count = self.word, self.base_count  # of the n-gram that ends here
         self.starts = int(self.base_count[self.first[1] - 1])  # as many starts as ends
         self.order = 1
 
     def ask(self) -> None:
-        """The distinct n-grams of the next order."""
+        """The distinct n-grams of the next order, by context."""
         k = self.order + 1
         n = len(self.place)
-        self.context, self.context_count, self.short = (np.zeros(n, np.int64) for _ in range(3))
-        at = np.arange(n) - self.first[self.doc]
-        inner = np.flatnonzero(at > 0)
-        self.context[inner], self.context_count[inner] = self.number[inner - 1], self.count[inner - 1]
-        if k == 2:
-            opening = at == 0
-            self.context[opening], self.context_count[opening] = START, self.starts
-        else:
-            self.short[inner] = self.shorter[inner - 1]
+        self.context, self.context_count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.context[1:], self.context_count[1:] = self.number[:-1], self.count[:-1]
+        opening = self.first[:-1]
+        self.context[opening], self.context_count[opening] = (START, self.starts) if k == 2 else (0, 0)
         self.live = (self.context > 0) & (self.context_count >= self.levels.min_context)
         pos = np.flatnonzero(self.live & (self.word > 0))
-        own = pd.factorize(self.context[pos])[0]
-        kind, where = _kinds(own * self.n_words + self.place[pos])
-        order = np.argsort(self.context[pos[where]], kind="stable")  # n-grams by context
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pos, self.gram_at, self.inverse = pos, pos[where[order]], rank[kind]
-        self.trained = np.bincount(self.inverse, weights=self.learn[self.doc[pos]], minlength=len(order)).astype(np.int64)
+        key = self.context[pos] * self.n_words + self.place[pos]
+        order = np.argsort(key)
+        key, self.pos = key[order], pos[order]
+        new = np.append(True, key[1:] != key[:-1])[:len(key)]
+        cut = np.flatnonzero(new)
+        self.inverse, self.gram_at = np.cumsum(new) - 1, self.pos[cut]
+        learn = self.learn[self.doc[self.pos]]
+        self.trained = np.add.reduceat(learn, cut, dtype=np.int64) if len(cut) else np.zeros(0, np.int64)
         g = self.gram_at
         self.shard = _shard(self.context[g].astype(_U) * _U(0x9E3779B97F4A7C15) + self.word[g].astype(_U), self.levels.shards)
 
     def requests(self) -> pa.RecordBatch:
-        """By shard, of what is learned from: steps between context numbers, run lengths, shorts; words,
-        training counts, lower codes."""
+        """By shard, of what is learned from: steps between context numbers, run lengths; numbers of the n-grams
+        without their first words, training counts."""
         known = np.flatnonzero(self.trained)
         g, trained = self.gram_at[known], self.trained[known]
 
@@ -314,35 +323,41 @@ class Chunk:
             x = g[r]
             run = np.flatnonzero(np.append(True, self.context[x][1:] != self.context[x][:-1]))
             return (_small(np.diff(self.context[x[run]], prepend=0)), _small(np.diff(np.append(run, len(x)))),
-                    _small(self.short[x[run]]), _small(self.word[x]), _small(trained[r]), self.code[x])
+                    _small(self.number[x]), _small(trained[r]))
 
         return _requests(self.shard[known], arrays)
 
-    def take(self) -> None:
-        """The probabilities, numbers and counts of the order asked for, from its level."""
+    def take(self, last: bool = False) -> None:
+        """The probabilities, numbers and counts of the order asked for, from its level.  At the last order an n-gram
+        that comes here as often as its context does anywhere needs no search: its count is that of the context."""
         g = self.gram_at
-        number, count, code = self.levels.find(self.order + 1, self.shard, self.context[g], self.word[g])
-        lower = unquantise(self.code)
-        total = np.maximum(self.context_count, 1)
-        spread = backing(total, self.mu)
-        unseen = quantise(spread * lower / (total + spread))
-        new = np.where(self.live, unseen, self.code)
+        number, count = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+        code = np.full(len(g), MISSING, np.uint16)
+        sure = (self.trained == self.context_count[g]) if last else np.zeros(len(g), bool)
+        total = self.context_count[g[sure]]
+        code[sure] = smoothed(total, self.code[g[sure]], total, self.mu)
+        rest = np.flatnonzero(~sure)
+        x = g[rest]
+        number[rest], count[rest], code[rest] = self.levels.find(self.order + 1, self.shard[rest], self.context[x], self.word[x])
         got = code[self.inverse]
-        new[self.pos] = np.where(got == MISSING, new[self.pos], got)
-        # the context without its first word, as the next order sees it one token later
-        self.shorter = self.word if self.order == 1 else self.number
+        known = got != MISSING
+        new, unseen = self.code.copy(), self.live.copy()
+        new[self.pos[known]] = got[known]
+        unseen[self.pos[known]] = False
+        unseen = np.flatnonzero(unseen)
+        new[unseen] = smoothed(np.zeros(len(unseen)), self.code[unseen], self.context_count[unseen], self.mu)
         self.number, self.count = np.zeros(len(self.place), np.int64), np.zeros(len(self.place), np.int64)
         self.number[self.pos], self.count[self.pos] = number[self.inverse], count[self.inverse]
         self.code, self.order = new, self.order + 1
 
-    def up_to(self, order: int) -> None:
+    def up_to(self, order: int, last: bool = False) -> None:
         while self.order < order:
             self.ask()
-            self.take()
+            self.take(last and self.order + 1 == order)
 
 
-def count_grams(chunks: DataFrame, order: int, stats: tuple[int, int], mu: float, levels: Levels, last: bool) -> DataFrame:
-    """The level of an order; a row a shard with its n-grams."""
+def count_grams(chunks: DataFrame, order: int, stats: tuple[int, int], mu: float, levels: Levels) -> DataFrame:
+    """The counts of an order; rows of a turn, a shard and what a chunk has for it."""
 
     def ask(batches):
         for b in batches:
@@ -352,23 +367,33 @@ def count_grams(chunks: DataFrame, order: int, stats: tuple[int, int], mu: float
                 c.ask()
                 yield c.requests()
 
+    asked = chunks.select("stream", "words").mapInArrow(ask, "shard long, data binary")
+    return asked.withColumn("turn", (F.col("shard") % TURNS).cast("int"))
+
+
+def learn_grams(asked: DataFrame, order: int, stats: tuple[int, int], mu: float, levels: Levels, last: bool) -> DataFrame:
+    """The level of an order for the shards of a turn; a row a shard with its n-grams."""
+
     def learn(t: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in t.column("data")]
         cat = lambda k: np.concatenate([g[k] for g in got])  # noqa: E731  in the widest type they need
-        runs, word = cat(1), cat(3).astype(np.int64)
         contexts = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
-        inverse, first = _kinds(np.repeat(pd.factorize(contexts)[0], runs) * (int(word.max()) + 1) + word)
-        count = np.bincount(inverse, weights=cat(4)).astype(np.int64)
-        context, short = (np.repeat(x, runs)[first].astype(np.int64) for x in (contexts, cat(2)))
-        total = levels.counts(order - 1, context).astype(np.float64)
-        spread = backing(total, mu)
-        codes = quantise((count + spread * unquantise(cat(5)[first].astype(np.float64))) / (total + spread))
-        level, _ = TrieLevel.build(context, short, word[first], codes, None if last else _small(count))
+        context, suffix = np.repeat(contexts, cat(1)), cat(2).astype(np.int64)
+        by = np.argsort(np.repeat(pd.factorize(contexts)[0], cat(1)) * (int(suffix.max()) + 1) + suffix)
+        context, suffix = context[by], suffix[by]
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])))
+        count = np.add.reduceat(cat(3)[by], first, dtype=np.int64)
+        context, suffix = context[first], suffix[first]
+        if order == 2:
+            short, word, lower = np.zeros(len(suffix), np.int64), suffix, quantise((levels.counts(1, suffix) + 1) / (stats[0] + stats[1] + 1))
+        else:
+            short, word, lower = levels.grams(order - 1, suffix)
+        codes = smoothed(count, lower, levels.counts(order - 1, context), mu)
+        level, _ = TrieLevel.build(context, short, word, codes, None if last else count)
         levels.write(order, t.column("shard")[0].as_py(), level.to_bytes())
         return pa.table({"grams": pa.array([len(first)], pa.int64())})
 
-    asked = chunks.select("stream", "words").mapInArrow(ask, "shard long, data binary")
-    return asked.groupBy("shard").applyInArrow(learn, "grams long")
+    return asked.select("shard", "data").groupBy("shard").applyInArrow(learn, "grams long")
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -385,13 +410,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     made.append(materialise(count_words(chunks, levels), "words"))
     stats = tuple(made[-1].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
     for k in range(2, order + 1):
-        made.append(materialise(count_grams(chunks, k, stats, mu, levels, k == order), f"grams-{k}"))
+        asked = materialise(count_grams(chunks, k, stats, mu, levels), f"counts-{k}", by="turn")
+        for turn in range(min(TURNS, levels.shards)):
+            made.append(materialise(learn_grams(asked.where(F.col("turn") == turn), k, stats, mu, levels, k == order), f"grams-{k}"))
+            release(asked, part=f"turn={turn}")
+        made.append(asked)
 
     def finish(batches):
         for b in batches:
             for ids, stream, words in zip(*b.columns):
                 c = Chunk(stream.as_py(), words.as_py(), stats, mu, levels)
-                c.up_to(order)
+                c.up_to(order, last=True)
                 add = lambda x: np.add.reduceat(x, c.first[:-1])  # noqa: E731  every text has a token
                 yield pa.RecordBatch.from_arrays(
                     [ids.values, pa.array(c.size), pa.array(add((c.base_count > 0).astype(np.int64))), pa.array(np.full(len(c.size), stats[0])),
