@@ -40,21 +40,14 @@ def _read_bits(words: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: low bits in an array, high bits as a unary bit vector.  A directory
-    of the ones before each word, and the words of every 64th one and zero, are made when the sequence is opened."""
+    """A monotone sequence: low bits in an array, high bits as a unary bit vector with a directory
+    of the ones before each word and of the words of every 64th one and zero."""
 
-    FIELDS = ("head", "low", "high")
+    FIELDS = ("head", "low", "high", "ones", "one_words", "zero_words")
 
-    def __init__(self, head, low, high):
-        self.head, self.low, self.high = head, low, high
-        self.n, self.width = int(head[0]), int(head[1])
-        kind = np.int32 if len(high) < 1 << 25 else np.int64
-        self.ones = np.zeros(len(high) + 1, kind)
-        np.cumsum(np.bitwise_count(high), dtype=kind, out=self.ones[1:])
-        zeros = self._zeros()
-        self.one_words = np.searchsorted(self.ones, np.arange(0, int(self.ones[-1]), EVERY, kind), "right").astype(kind) - 1
-        self.zero_words = np.searchsorted(zeros, np.arange(0, int(zeros[-1]), EVERY, kind), "right").astype(kind) - 1
-        self.last = int(self[np.array([self.n - 1])][0]) >> self.width if self.n else 0  # the greatest high bits
+    def __init__(self, head, low, high, ones, one_words, zero_words):
+        self.head, self.low, self.high, self.ones, self.one_words, self.zero_words = head, low, high, ones, one_words, zero_words
+        self.n, self.width, self.last = head.tolist()  # last: the greatest high bits
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -65,7 +58,12 @@ class EliasFano:
         top = (v >> _U(width)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(top[-1]) >> 6) + 1 if n else 0, _U)
         np.bitwise_or.at(high, top >> 6, _ONE << (top & 63).astype(_U))
-        return cls(np.array([n, width], np.int64), _pack_bits(v & ((_ONE << _U(width)) - _ONE), width), high)
+        kind = np.int32 if len(high) < 1 << 25 else np.int64
+        ones = np.append(0, np.cumsum(np.bitwise_count(high), dtype=kind)).astype(kind)
+        zeros = (np.arange(len(ones), dtype=kind) << 6) - ones
+        listed = [np.searchsorted(x, np.arange(0, int(x[-1]), EVERY, kind), "right").astype(kind) - 1 for x in (ones, zeros)]
+        head = np.array([n, width, int(v[-1]) >> width if n else 0], np.int64)
+        return cls(head, _pack_bits(v & ((_ONE << _U(width)) - _ONE), width), high, ones, *(x.astype(kind) for x in listed))
 
     def _zeros(self) -> np.ndarray:
         """The zeros before each word."""

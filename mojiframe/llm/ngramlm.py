@@ -62,9 +62,9 @@ POWER = 0.9
 MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
 CHUNK_BYTES = 5 << 20
-SHARD_BYTES = 4 << 20  # packed chunks that a shard counts for
+SHARD_BYTES = 8 << 20  # packed chunks that a shard counts for
 TURNS = 8  # parts of an order's counts
-OPEN_LEVELS = 256  # files that a task holds mapped
+OPEN_LEVELS = 512  # files that a task holds mapped
 MISSING = 0xFFFF
 
 _U = np.uint64
