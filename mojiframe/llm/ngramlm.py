@@ -25,6 +25,8 @@ successor search relative to the context; the number of an n-gram found is the c
 order.  Nothing else is kept of an order: no answer is shuffled.  The counts of an order lie in the shared folder
 in ``TURNS`` parts, each of some shards; a part is shuffled, learned from and deleted before the next, so the counts
 go as the level comes.  Shards number one for every ``SHARD_BYTES`` of packed chunks, so their size stays as the input grows.
+A chunk looks into every shard of each order, so its text is large, words have fewer shards, and files stay mapped
+from one chunk to the next; counts of contexts come with the n-grams, not from the files.
 
 A level's file has its order and shard for a name and the same bytes whichever task writes it; it appears
 under that name when it is whole, so a task that runs twice does no harm.
@@ -61,10 +63,11 @@ MU = 2.0
 POWER = 0.9
 MIN_CONTEXT = 1  # every context that was seen
 STEP = 1 / 4096
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20  # packed chunks that a shard counts for
 TURNS = 8  # parts of an order's counts
-OPEN_LEVELS = 512  # files that a task holds mapped
+WORD_SHARE = 16  # shards of n-grams for one of words, which are fewer
+OPEN_LEVELS = 4096  # files that a task holds mapped: some kilobytes each, and a chunk goes through all of them
 MISSING = 0xFFFF
 
 _U = np.uint64
@@ -183,11 +186,16 @@ class Levels:
 
     def __init__(self, root: str, shards: int, min_context: int):
         self.root, self.shards, self.min_context = root, shards, min_context
+        self.word_shards = max(1, shards // WORD_SHARE)
         self.opened = lru_cache(OPEN_LEVELS)(self._open)
 
     def __reduce__(self):
         return Levels, (self.root, self.shards, self.min_context)  # every task maps its own
 
+    def of(self, order: int) -> int:
+        """How many shards an order has."""
+        return self.word_shards if order == 1 else self.shards
+
     def _place(self) -> tuple[pafs.FileSystem, str]:
         root = self.root.replace("file:", "file://", 1) if self.root.startswith("file:/") and not self.root.startswith("file://") else self.root
         return pafs.FileSystem.from_uri(root)
@@ -223,7 +231,7 @@ class Levels:
             if len(level.counts):
                 c = level.counts[at].astype(np.int64)
                 count[rows] = np.where(c >= (self.min_context if order > 1 else 1), c, 0)
-                number[rows] = at * self.shards + s + FIRST
+                number[rows] = at * self.of(order) + s + FIRST
         return number, count, code
 
     def counts(self, order: int, number: np.ndarray) -> np.ndarray:
@@ -232,9 +240,9 @@ class Levels:
         start = number == START
         if start.any():
             end = np.array([END])
-            out[start] = self.find(1, _shard(end, self.shards), end)[1]
+            out[start] = self.find(1, _shard(end, self.word_shards), end)[1]
         inner = np.flatnonzero(~start)
-        at, shard = np.divmod(number[inner] - FIRST, self.shards)
+        at, shard = np.divmod(number[inner] - FIRST, self.of(order))
         for s, rows in _by_shard(shard):
             out[inner[rows]] = self.opened(order, s).counts[at[rows]]
         return out
@@ -259,7 +267,7 @@ def count_words(chunks: DataFrame, levels: Levels) -> DataFrame:
                 h, count = unpack(words.as_py())
                 known = np.flatnonzero(count)
                 h, count = h[known], count[known]
-                yield _requests(_shard(h, levels.shards), lambda r: (h[r], count[r]))
+                yield _requests(_shard(h, levels.word_shards), lambda r: (h[r], count[r]))
 
     def learn(t: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in t.column("data")]
@@ -283,7 +291,7 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         self.mu, self.levels = mu, levels
         h = unpack(words)[0]
-        number, count, _ = levels.find(1, _shard(h, levels.shards), h)
+        number, count, _ = levels.find(1, _shard(h, levels.word_shards), h)
         self.n_words = len(number)
         self.word, self.base_count = number[self.place], count[self.place]
         p = (count + 1) / (stats[0] + stats[1] + 1)
@@ -315,7 +323,7 @@ class Chunk:
 
     def requests(self) -> pa.RecordBatch:
         """By shard, of what is learned from: steps between context numbers, run lengths; numbers of the n-grams
-        without their first words, training counts."""
+        without their first words, training counts; counts of the contexts."""
         known = np.flatnonzero(self.trained)
         g, trained = self.gram_at[known], self.trained[known]
 
@@ -323,7 +331,7 @@ class Chunk:
             x = g[r]
             run = np.flatnonzero(np.append(True, self.context[x][1:] != self.context[x][:-1]))
             return (_small(np.diff(self.context[x[run]], prepend=0)), _small(np.diff(np.append(run, len(x)))),
-                    _small(self.number[x]), _small(trained[r]))
+                    _small(self.number[x]), _small(trained[r]), _small(self.context_count[x[run]]))
 
         return _requests(self.shard[known], arrays)
 
@@ -378,17 +386,17 @@ def learn_grams(asked: DataFrame, order: int, stats: tuple[int, int], mu: float,
         got = [unpack(x.as_py()) for x in t.column("data")]
         cat = lambda k: np.concatenate([g[k] for g in got])  # noqa: E731  in the widest type they need
         contexts = np.concatenate([np.cumsum(g[0], dtype=np.int64) for g in got])
-        context, suffix = np.repeat(contexts, cat(1)), cat(2).astype(np.int64)
+        context, suffix, total = np.repeat(contexts, cat(1)), cat(2).astype(np.int64), np.repeat(cat(4), cat(1))
         by = np.argsort(np.repeat(pd.factorize(contexts)[0], cat(1)) * (int(suffix.max()) + 1) + suffix)
         context, suffix = context[by], suffix[by]
         first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])))
         count = np.add.reduceat(cat(3)[by], first, dtype=np.int64)
-        context, suffix = context[first], suffix[first]
+        context, suffix, total = context[first], suffix[first], total[by[first]]
         if order == 2:
             short, word, lower = np.zeros(len(suffix), np.int64), suffix, quantise((levels.counts(1, suffix) + 1) / (stats[0] + stats[1] + 1))
         else:
             short, word, lower = levels.grams(order - 1, suffix)
-        codes = smoothed(count, lower, levels.counts(order - 1, context), mu)
+        codes = smoothed(count, lower, total, mu)
         level, _ = TrieLevel.build(context, short, word, codes, None if last else count)
         levels.write(order, t.column("shard")[0].as_py(), level.to_bytes())
         return pa.table({"grams": pa.array([len(first)], pa.int64())})

@@ -74,3 +74,27 @@ def test_select_in_long_runs():
     zero = np.zeros(len(x), np.int64)
     at, hit = e.successor(x.astype(np.uint64), zero, zero + len(v))
     assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
+
+
+def test_a_task_maps_each_level_once(tmp_path, monkeypatch):
+    """With more shards than a task held mapped every chunk opened every level anew; words need few shards."""
+    opened = []
+    monkeypatch.setattr(ngramlm.Levels, "_open", lambda self, order, shard: opened.append((order, shard)))
+    levels = ngramlm.Levels(str(tmp_path), 700, 1)
+    shard = np.arange(700)
+    for _ in range(3):
+        for order in (2, 3):
+            levels.find(order, shard, shard, shard)
+        levels.find(1, shard % levels.of(1), shard.astype(np.uint64))
+    assert len(opened) == len(set(opened)) == 1400 + levels.of(1) and levels.of(1) < 50
+
+
+def test_scores_do_not_depend_on_word_shards(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i * k * k) % 89}" for k in range(60))) for i in range(16)], "doc_id long, text string")
+    monkeypatch.setattr(ngramlm, "SHARD_BYTES", 16)
+    score = lambda: sorted(tuple(r) for r in ngramlm.score_texts(frame, F.col("doc_id") < 12).collect())
+    few = score()
+    monkeypatch.setattr(ngramlm, "WORD_SHARE", 1)
+    assert score() == few
